@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from mnemospark.llm import op1_packing, op5_token_files, op9_exact_dedup
+from mnemospark.llm import op1_packing, op4_ngram_join, op5_token_files, op9_exact_dedup
 
 QUERIES = {
     "op1_packing": op1_packing.op1_packing,
+    "op4_ngram_join": op4_ngram_join.op4_ngram_join,
     "op5_token_files": op5_token_files.op5_token_files,
     "op9_exact_dedup": op9_exact_dedup.op9_exact_dedup,
 }
