@@ -1,63 +1,119 @@
 """Token ids of whole texts by the tokenizers library, with a bounded memo of words.
 
-Both public vocabularies cut a text before every single space, and no token crosses that cut. So in
-printable text whose blanks are single spaces and line ends, the ids of a text are those of its words
-in a row; words repeat, and each worker encodes a word once. Any other text is encoded whole.
+Both public vocabularies cut a text before every single space and around every single line end, and no
+token crosses those cuts. So in printable text whose blanks are single spaces and line ends, the ids of
+a text are those of its words in a row; words repeat, and a worker has the library encode a word once.
+New words go to the library many at a time, parted by a token that none of them holds. Any other text
+is encoded whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Words that a worker remembers; beyond that it forgets all and begins anew.
-MEMO = 300_000
+#: Words of a generation. A worker remembers two (some 200 MB at most): what it met again lives on.
+MEMO = 400_000
+#: The printable character that stands for each byte in byte-level vocabularies: itself, or one from U+0100 on, in order.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(b) for b in _SELF} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_SELF}))}
+
+#: ASCII marks that may end a word; without the apostrophe, which can begin a token with letters.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 
 
 class Encoder:
     """ids of texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str, keeps_space: bool) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.keeps_space, self.memo = keeps_space, {}
+        self.keeps_space = keeps_space
+        # What parts new words: a line end where blanks are kept, else a mark that is one token.
+        marks = ["\n"] if keeps_space else "§¶©®™"
+        self.mark, self.mark_id = next((c, ids[0]) for c in marks if len(ids := self.tok.encode(c, add_special_tokens=False).ids) == 1)
+        # The same model without the patterns that cut a text, for words of letters alone, which no pattern cuts.
+        self.plain = Tokenizer(self.tok.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _many(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        memo, plans, whole, new = self.memo, [], [], {}
-        if len(memo) > MEMO:
-            memo.clear()
-        for t in texts:
-            t = t or ""
-            if not t.replace("\n", " ").isprintable() or "<|" in t:
-                words = None
-            elif self.keeps_space:
-                if "  " in t or " \n" in t or "\n " in t or t[-1:] in (" ", "\n"):
-                    words = None
+    def _learn(self, words: set[str]) -> None:
+        odd = [w for w in words if self.mark in w]
+        self.memo.update(zip(odd, self._whole(odd), strict=True))
+        words = words.difference(odd)
+        # A run of letters and the marks after it are cut from each other: each is encoded, and remembered, by itself.
+        letters, others, ended = [], [], []
+        for w in words:
+            core = w.rstrip(MARKS)
+            # Letters up to U+00FF are single composed characters with a lower case of one character.
+            if core.lstrip(" ").isalpha() and max(core) < "\u0100":
+                if core != w:
+                    ended.append((w, core, w[len(core) :]))
                 else:
-                    head, *rest = t.split(" ")
-                    words = [head, *map(" ".__add__, rest)] if head else [" " + w for w in rest] if rest else []
+                    letters.append(w)
             else:
-                words = t.split()
-            plans.append(words)
-            if words is None:
-                whole.append(t)
+                others.append(w)
+        more = {c for _, c, _ in ended}
+        letters += more.difference(self.memo, letters)
+        marks = {m for _, _, m in ended}
+        others += marks.difference(self.memo, others)
+        self._joined(letters, self.plain, True)
+        self._joined(others, self.tok, False)
+        self.memo.update([(w, self.memo[c] + self.memo[m]) for w, c, m in ended])
+
+    def _joined(self, words: list[str], tok, mapped: bool) -> None:
+        """Has the library encode many words as one text, and takes it apart at the mark."""
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            if mapped:
+                # As the byte-level step would write them: a printable character for each byte.
+                mark = "\n" + self.mark.encode().decode("latin-1").translate(BYTES) + "\n"
+                text = "\x00".join(some if self.keeps_space else map(str.lower, some))
+                text = text.encode().decode("latin-1").translate(BYTES).replace(BYTES[0], mark)
             else:
-                new.update(dict.fromkeys(w for w in words if w not in memo))
+                text = (self.mark if self.keeps_space else f" {self.mark} ").join(some)
+            ids = np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == self.mark_id)
+            b = ids.tobytes()
+            starts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(b)]
+            self.memo.update(zip(some, [b[i:j] for i, j in zip(starts, ends, strict=True)], strict=True))
+
+    def _words(self, t: str) -> list[str] | None:
+        """The words whose ids in a row are the text's, or None if it must be encoded whole."""
+        if not t.replace("\n", " ").isprintable():
+            return None
+        if not self.keeps_space:
+            return t.split()
+        if "  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[-1:] in (" ", "\n") or t[:1] in (" ", "\n"):
+            return None
+        return t.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01") if t else []
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.memo) > MEMO:
+            self.memo, self.old = {}, self.memo
+        memo, plans = self.memo, [self._words(t or "") for t in texts]
+        new = set().union(*(w for w in plans if w is not None)).difference(memo)
+        if known := new.intersection(self.old):
+            memo.update((w, self.old[w]) for w in known)
+            new -= known
         if new:
-            memo.update(zip(new, self._many(list(new)), strict=True))
-        rest = iter(self._many(whole)) if whole else iter(())
-        return [next(rest) if w is None else b"".join(map(memo.__getitem__, w)) for w in plans]
+            self._learn(new)
+        rest = iter(self._whole([t for t, w in zip(texts, plans, strict=True) if w is None]))
+        get = memo.__getitem__
+        return [next(rest) if w is None else b"".join(map(get, w)) for w in plans]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(path: str, keeps_space: bool) -> Encoder:
-    """The worker's own, made once."""
+    """The worker's own, made once; one at a time, so that its memo is all a worker holds."""
     if (path, keeps_space) not in _encoders:
+        _encoders.clear()
         _encoders[path, keeps_space] = Encoder(path, keeps_space)
     return _encoders[path, keeps_space]
