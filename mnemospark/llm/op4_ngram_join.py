@@ -2,7 +2,9 @@
 
 1. Documents with equal shingle sets become one class, represented by its smallest id.
 2. Two sets that are similar enough share one of their rarest shingles (as many as a set may lack).
-   Stars over these rare shingles give weak components: no link leaves its weak component.
+   Documents that meet at such a shingle are pairs to look at, unless their sizes or the parity bits of
+   their sets show that they differ in too many shingles; where more than ``PAIRED`` meet, they are a
+   star instead. Components over these are weak components: no link leaves its weak component.
 3. The shingles of classes in weak components of two and more move once. A block of rows times its
    transpose accumulates the overlap counts; pairs below the bound that their sizes give are discarded.
    A component larger than a block is cut into row blocks, and every two of them meet in a task.
@@ -30,6 +32,10 @@ from mnemospark.llm.texthash import mix, shingle_sets
 
 #: Shingles whose frequency is kept (2 MB); a task reports at most so many of its own, seen LOCAL_LEAST times.
 FREQUENT, LOCAL_MOST, LOCAL_LEAST = 1 << 17, 20_000, 3
+#: So many documents that meet at a shingle are paired with each other; more become a star.
+PAIRED = 32
+#: Longs of parity bits. Bits that differ between two sets are at most the shingles in which these differ.
+PARITY = 16
 #: A block holds shingles of so many, each row counting for ROW_WEIGHT at least: at most 2,000 rows.
 BLOCK_WEIGHT, ROW_WEIGHT = 2_000_000, 1_000
 #: A column of at most so many rows is multiplied pair by pair.
@@ -82,6 +88,17 @@ def rarest(s: np.ndarray, n: int, values: np.ndarray, counts: np.ndarray) -> np.
     return np.concatenate([rare, x[np.lexsort((x, c))][: n - len(rare)]])
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * PARITY places: whether an odd number of the set's shingles falls there."""
+    odd = (np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.uint64)
+
+
+def longs(lists: list[np.ndarray]) -> pa.Array:
+    at = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(lists).view(np.int64) if lists else np.zeros(0, np.int64)))
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """The product of the incidence matrix and its transpose: how many shingles rows i and j share."""
     m = len(sets)
@@ -143,30 +160,64 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent
 
     def signatures(batches):
         values, counts = common.value
+        crowded = values[counts > PAIRED]
         for b in pieces(batches, "text"):
             sets = sets_of(b, k)
             with np.errstate(over="ignore"):
                 keys = [(int(mix(s).sum(dtype=np.uint64).view(np.int64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64))) for s in sets]
-            rare = [rarest(s, len(s) - -(-percent * len(s) // 100) + 1, values, counts).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
-            at = np.cumsum([0, *map(len, rare)]).astype(np.int32)
+            rare = [rarest(s, len(s) - -(-percent * len(s) // 100) + 1, values, counts) if len(s) else s for s in sets]
+            hot = [np.isin(s, crowded) for s in rare]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in keys], pa.int64()), pa.array([x for _, x in keys], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(rare) if rare else np.zeros(0, np.int64)))],
-                ["doc_id", "n", "k1", "k2", "rare"],
+                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in keys], pa.int64()), pa.array([x for _, x in keys], pa.int64()), longs([s[~h] for s, h in zip(rare, hot, strict=True)]), longs([s[h] for s, h in zip(rare, hot, strict=True)]), longs([parity(s) for s in sets])],
+                ["doc_id", "n", "k1", "k2", "rare", "hot", "bits"],
             )
 
-    t = scratch.put(docs.mapInArrow(signatures, "doc_id long, n long, k1 long, k2 long, rare array<long>"), "signatures")
+    t = scratch.put(docs.mapInArrow(signatures, "doc_id long, n long, k1 long, k2 long, rare array<long>, hot array<long>, bits array<long>"), "signatures")
     some = t.filter("n > 0 and doc_id is not null")
     classes = some.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"))
     classes = scratch.put(classes, "classes")
 
-    # Rare shingles of representatives: those that two classes share make stars.
+    # Rare shingles of representatives: who meets whom.
     reps = classes.select("rep", "n", "k1", "k2")
-    post = some.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "k1", "k2"], "left_semi")
-    post = post.select(F.col("doc_id").alias("rep"), F.explode("rare").alias("h")).distinct()
-    met = post.groupBy("h").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("h", "low")
-    met = scratch.put(met, "met")
-    weak = post.join(hinted(met), "h").filter("rep <> low").select("rep", "low").distinct()
-    weak = scratch.put(connected_components(spark, weak, "rep", "low"), "weak")
+    some = some.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "k1", "k2"], "left_semi").dropDuplicates(["doc_id"])
+    some = scratch.put(some.select(F.col("doc_id").alias("rep"), F.col("n").cast("int").alias("n"), "rare", "hot", "bits"), "representatives")
+
+    def meet(batches):
+        """Pairs of those that meet at a shingle; of more than PAIRED, the later ones with the first. Memory: PAIRED a shingle."""
+        held: dict[int, list] = {}
+        out: list[tuple[int, int, bool]] = []
+        for b in batches:
+            for h, rep, n in zip(b.column("h").to_pylist(), b.column("rep").to_pylist(), b.column("n").to_pylist(), strict=True):
+                got = held.setdefault(h, [])
+                if len(got) < PAIRED:
+                    out += [(min(rep, r), max(rep, r), False) for r, m in got if percent * max(n, m) <= 100 * min(n, m)]
+                    got.append((rep, n))
+                else:
+                    if len(got) == PAIRED:  # from here on a star, with those already there
+                        out += [(min(got[0][0], r), max(got[0][0], r), True) for r, _ in got[1:]]
+                        got.append((0, 0))
+                    out.append((min(got[0][0], rep), max(got[0][0], rep), True))
+            if out:
+                out = list(set(out))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["a", "b", "star"])
+                out = []
+
+    post = some.select("rep", "n", F.explode("rare").alias("h")).repartition("h")
+    pairs = post.mapInArrow(meet, "a long, b long, star boolean").filter("a <> b")
+    pairs = scratch.put(pairs.groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
+    side = some.select("rep", "n", "bits")
+    differ = F.expr("aggregate(zip_with(x.bits, y.bits, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)")
+    look = pairs.filter("not star").join(side.select(F.col("rep").alias("a"), F.struct("n", "bits").alias("x")), "a")
+    look = look.join(side.select(F.col("rep").alias("b"), F.struct("n", "bits").alias("y")), "b")
+    look = look.filter(differ * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n"))).select("a", "b")
+    # The frequent shingles are at most FREQUENT, so their smallest documents fit every executor.
+    crowd = some.select("rep", F.explode("hot").alias("h"))
+    first = crowd.groupBy("h").agg(F.min("rep").alias("low"))
+    crowd = crowd.join(F.broadcast(first), "h").filter("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
+    weak = look.unionByName(pairs.filter("star").select("a", "b")).unionByName(crowd)
+    weak = scratch.put(connected_components(spark, weak, "a", "b"), "weak")
+    scratch.drop("pairs")
+    scratch.drop("representatives")
 
     # Blocks of rows: whole weak components, or every two row blocks of a large one.
     rows = scratch.put(weak.join(reps.select(F.col("rep").alias("node"), "n"), "node"), "rows")
