@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemospark.llm.blocks import block_counts, dealt
 from mnemospark.llm.common import Scratch, hinted, pieces, text_bytes
 from mnemospark.llm.components import connected_components
 from mnemospark.llm.texthash import mix, shingle_sets
@@ -221,11 +222,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent
 
     # Blocks of rows: whole weak components, or every two row blocks of a large one.
     rows = scratch.put(weak.join(reps.select(F.col("rep").alias("node"), "n"), "node"), "rows")
-    weight = rows.groupBy("component").agg(F.sum(F.greatest("n", F.lit(ROW_WEIGHT))).alias("w"))
-    weight = weight.select("component", F.ceil(F.col("w") / BLOCK_WEIGHT).cast("int").alias("nb"), "w")
-    total = rows.agg(F.sum(F.greatest("n", F.lit(ROW_WEIGHT)))).first()[0] or 0
-    tasks = max(1, -(-total // (BLOCK_WEIGHT // 2)))
-    rows = scratch.put(rows.join(weight.select("component", "nb"), "component").select(F.col("node").alias("doc_id"), "component", "nb"), "dealt")
+    counts, tasks = block_counts(rows.withColumn("weight", F.greatest("n", F.lit(ROW_WEIGHT))), "weight", BLOCK_WEIGHT)
+    rows = scratch.put(rows.join(counts, "component").select(F.col("node").alias("doc_id"), "component", "nb"), "dealt")
 
     def ship(batches):
         for b in pieces(batches, "text"):
@@ -233,15 +231,6 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("component"), b.column("nb"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "component", "nb", "elements"])
 
     sets = docs.join(hinted(rows), "doc_id").mapInArrow(ship, "node long, component long, nb int, elements binary")
-    own = F.pmod(F.xxhash64("node"), F.col("nb"))
-    dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
-    dealt = dealt.select(
-        "node", "component", "elements",
-        F.when(F.col("nb") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(tasks))).alias("t"),
-        F.when(F.col("nb") > 1, F.least("own", "other")).otherwise(F.lit(-1)).alias("i"),
-        F.when(F.col("nb") > 1, F.greatest("own", "other")).otherwise(F.lit(-1)).alias("j"),
-    )
-
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
         for _, g in pdf.drop_duplicates(["node"]).groupby("component", sort=False):
@@ -249,7 +238,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent
                 found += stars(g["node"].to_numpy(), [np.frombuffer(x, np.uint64) for x in g["elements"]], percent)
         return pd.DataFrame(found, columns=["node", "root"], dtype="int64")
 
-    links = scratch.put(dealt.groupBy("t", "i", "j").applyInPandas(link, "node long, root long"), "links")
+    links = scratch.put(dealt(sets, "node", tasks).groupBy("t", "i", "j").applyInPandas(link, "node long, root long"), "links")
     strong = scratch.put(connected_components(spark, links, "node", "root"), "strong")
 
     # Only classes of several rows or in a component need to be looked up; any other row is its own component.

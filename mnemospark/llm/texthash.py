@@ -6,7 +6,7 @@ import numpy as np
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Fixed multipliers of the words of a shingle, in order, made by a rule.
-_MULT = [np.uint64((0xD1B54A32D192ED03 * (2 * k + 1)) & (2**64 - 1) | 1) for k in range(64)]
+MULT = [np.uint64((0xD1B54A32D192ED03 * (2 * k + 1)) & (2**64 - 1) | 1) for k in range(64)]
 LOWER_LUT = np.arange(256, dtype=np.uint8)
 LOWER_LUT[65:91] += 32
 BLANK_LUT = np.zeros(256, bool)
@@ -21,7 +21,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse, modulo 2**64, up to n at least."""
     if "p" not in _powers or len(_powers["p"]) < n:
         size = max(n, 1 << 20)
@@ -37,7 +37,7 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """A 64-bit hash of the bytes of each span."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    p, q = _power(len(raw) + 1)
+    p, q = powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * p[: len(raw)], out=total[1:])
     return mix((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(np.uint64) * _ODD)
@@ -73,9 +73,9 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarra
     first = np.searchsorted(of, np.arange(n + 1))
     if len(h) >= k:
         m = len(h) - k + 1
-        s = h[:m] * _MULT[0]
+        s = h[:m] * MULT[0]
         for j in range(1, k):
-            s += h[j : m + j] * _MULT[j]
+            s += h[j : m + j] * MULT[j]
         s = mix(s)
     out = []
     for d in range(n):
@@ -84,7 +84,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarra
             out.append(np.unique(s[a : b - k + 1]))
         elif b > a:
             with np.errstate(over="ignore"):
-                out.append(mix((h[a:b] * np.array(_MULT[: b - a])).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a)))
+                out.append(mix((h[a:b] * np.array(MULT[: b - a])).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
