@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from mnemospark.llm import op1_packing, op4_ngram_join, op5_token_files, op6_language, op8_line_dedup, op9_exact_dedup, op10_quality
+from mnemospark.llm import op1_packing, op4_ngram_join, op5_token_files, op6_language, op7_decontamination, op8_line_dedup, op9_exact_dedup, op10_quality
 
 QUERIES = {
     "op1_packing": op1_packing.op1_packing,
     "op4_ngram_join": op4_ngram_join.op4_ngram_join,
     "op5_token_files": op5_token_files.op5_token_files,
     "op6_language": op6_language.op6_language,
+    "op7_decontamination": op7_decontamination.op7_decontamination,
     "op8_line_dedup": op8_line_dedup.op8_line_dedup,
     "op9_exact_dedup": op9_exact_dedup.op9_exact_dedup,
     "op10_quality": op10_quality.op10_quality,
