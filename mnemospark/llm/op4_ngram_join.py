@@ -31,8 +31,9 @@ from mnemospark.llm.common import Scratch, hinted, pieces, text_bytes
 from mnemospark.llm.components import connected_components
 from mnemospark.llm.texthash import mix, shingle_sets
 
-#: Shingles whose frequency is kept (2 MB); a task reports at most so many of its own, seen LOCAL_LEAST times.
-FREQUENT, LOCAL_MOST, LOCAL_LEAST = 1 << 17, 20_000, 3
+#: Shingles whose frequency is kept (4 MB); a task reports at most so many of its own, seen LOCAL_LEAST times
+#: in sets that differ (copies would crowd out the passages that unlike documents share).
+FREQUENT, LOCAL_MOST, LOCAL_LEAST = 1 << 18, 50_000, 2
 #: So many documents that meet at a shingle are paired with each other; more become a star.
 PAIRED = 32
 #: Longs of parity bits. Bits that differ between two sets are at most the shingles in which these differ.
@@ -53,6 +54,7 @@ def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     def run(batches):
         values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         held: list[np.ndarray] = []
+        met: set[int] = set()
 
         def fold(values, counts, held, most):
             v, inv = np.unique(np.concatenate([values, *held]), return_inverse=True)
@@ -63,7 +65,10 @@ def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             return v, c
 
         for b in pieces(batches, "text"):
-            held += sets_of(b, k)
+            for s in sets_of(b, k):
+                if (key := hash(s.tobytes())) not in met:
+                    met.add(key)
+                    held.append(s)
             if sum(map(len, held)) > 2_000_000:
                 (values, counts), held = fold(values, counts, held, 2_000_000), []
         values, counts = fold(values, counts, held, LOCAL_MOST) if held else (values[:LOCAL_MOST], counts[:LOCAL_MOST])
@@ -76,17 +81,19 @@ def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return top["h"].to_numpy().astype(np.int64).view(np.uint64)[order], top["n"].to_numpy().astype(np.int64)[order]
 
 
-def rarest(s: np.ndarray, n: int, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first n of a sorted set in the order of frequency, then hash."""
+def rarest(s: np.ndarray, n: int, values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first n of a sorted set in the order of frequency, then hash: those of at most PAIRED documents, and the others."""
     if not len(values):
-        return s[:n]
+        return s[:n], s[:0]
     at = np.minimum(np.searchsorted(values, s), len(values) - 1)
     common = values[at] == s
     rare = s[~common][:n]
     if len(rare) == n:
-        return rare
+        return rare, s[:0]
     c, x = counts[at[common]], s[common]
-    return np.concatenate([rare, x[np.lexsort((x, c))][: n - len(rare)]])
+    order = np.lexsort((x, c))[: n - len(rare)]
+    crowd = c[order] > PAIRED
+    return np.concatenate([rare, x[order][~crowd]]), x[order][crowd]
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -161,15 +168,13 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent
 
     def signatures(batches):
         values, counts = common.value
-        crowded = values[counts > PAIRED]
         for b in pieces(batches, "text"):
             sets = sets_of(b, k)
             with np.errstate(over="ignore"):
                 keys = [(int(mix(s).sum(dtype=np.uint64).view(np.int64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64))) for s in sets]
-            rare = [rarest(s, len(s) - -(-percent * len(s) // 100) + 1, values, counts) if len(s) else s for s in sets]
-            hot = [np.isin(s, crowded) for s in rare]
+            rare = [rarest(s, len(s) - -(-percent * len(s) // 100) + 1, values, counts) if len(s) else (s, s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in keys], pa.int64()), pa.array([x for _, x in keys], pa.int64()), longs([s[~h] for s, h in zip(rare, hot, strict=True)]), longs([s[h] for s, h in zip(rare, hot, strict=True)]), longs([parity(s) for s in sets])],
+                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in keys], pa.int64()), pa.array([x for _, x in keys], pa.int64()), longs([x for x, _ in rare]), longs([x for _, x in rare]), longs([parity(s) for s in sets])],
                 ["doc_id", "n", "k1", "k2", "rare", "hot", "bits"],
             )
 
@@ -184,24 +189,28 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent
     some = scratch.put(some.select(F.col("doc_id").alias("rep"), F.col("n").cast("int").alias("n"), "rare", "hot", "bits"), "representatives")
 
     def meet(batches):
-        """Pairs of those that meet at a shingle; of more than PAIRED, the later ones with the first. Memory: PAIRED a shingle."""
-        held: dict[int, list] = {}
-        out: list[tuple[int, int, bool]] = []
-        for b in batches:
-            for h, rep, n in zip(b.column("h").to_pylist(), b.column("rep").to_pylist(), b.column("n").to_pylist(), strict=True):
-                got = held.setdefault(h, [])
-                if len(got) < PAIRED:
-                    out += [(min(rep, r), max(rep, r), False) for r, m in got if percent * max(n, m) <= 100 * min(n, m)]
-                    got.append((rep, n))
-                else:
-                    if len(got) == PAIRED:  # from here on a star, with those already there
-                        out += [(min(got[0][0], r), max(got[0][0], r), True) for r, _ in got[1:]]
-                        got.append((0, 0))
-                    out.append((min(got[0][0], rep), max(got[0][0], rep), True))
-            if out:
-                out = list(set(out))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["a", "b", "star"])
-                out = []
+        """Pairs of those that meet at a shingle and whose sizes allow it; of more than PAIRED, each with the first."""
+        cols = [[b.column(c).to_numpy() for c in ("h", "rep", "n")] for b in batches]
+        if not cols:
+            return
+        h, rep, n = (np.concatenate(x) for x in zip(*cols, strict=True))
+        order = np.argsort(h, kind="stable")
+        h, rep, n = h[order], rep[order], n[order].astype(np.int64)
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        size = np.diff(np.r_[first, len(h)])
+        x, y, star = [], [], []
+        for m in np.unique(size[size > 1]):
+            rows = first[size == m][:, None] + np.arange(m)
+            for d in range(1, int(m)):
+                i, j = (rows[:, :-d].ravel(), rows[:, d:].ravel()) if m <= PAIRED else (rows[:, 0], rows[:, d])
+                fit = (percent * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j])) | (m > PAIRED)
+                x.append(rep[i[fit]])
+                y.append(rep[j[fit]])
+                star.append(np.full(int(fit.sum()), int(m > PAIRED)))
+        if x:
+            x, y = np.concatenate(x), np.concatenate(y)
+            out = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y), np.concatenate(star)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2] > 0)], ["a", "b", "star"])
 
     post = some.select("rep", "n", F.explode("rare").alias("h")).repartition("h")
     pairs = post.mapInArrow(meet, "a long, b long, star boolean").filter("a <> b")
