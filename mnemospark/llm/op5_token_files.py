@@ -127,13 +127,15 @@ def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
         for b in batches:
             for path, base in zip(b.column("path").to_pylist(), b.column("base").to_pylist(), strict=True):
                 f, done = TokenFile(path), 0
-                while done < f.n_docs:
-                    end, out = min(f.n_docs, done + 5_000), []
-                    for i in range(done, end):
-                        first = f.ends.select(i - 1) if i else 0
-                        a = f.tokens(first, f.ends.select(i))
-                        out.append((f.doc_id(i), base + first, len(a), zlib.crc32(a.tobytes())))
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                ends, ids = f.ends.all().astype(np.int64), [None] * f.n_null + (f.ids.all().astype(np.int64) + f.least).tolist()
+                while done < f.n_docs:  # a few MB of ids at a time
+                    first = int(ends[done - 1]) if done else 0
+                    end = min(f.n_docs, max(done + 1, int(np.searchsorted(ends, first + 1_000_000, side="right"))))
+                    cuts = np.r_[first, ends[done:end]]
+                    b4 = memoryview(f.tokens(first, int(cuts[-1])).tobytes())
+                    crc = [zlib.crc32(b4[4 * i : 4 * j]) for i, j in zip((cuts[:-1] - first).tolist(), (cuts[1:] - first).tolist(), strict=True)]
+                    cols = ids[done:end], base + cuts[:-1], np.diff(cuts), crc
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
                     done = end
                 f.close()
 

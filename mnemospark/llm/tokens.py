@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Words of a generation. A worker remembers two (some 200 MB at most): what it met again lives on.
-MEMO = 400_000
+#: Words of a generation. A worker remembers two (some 350 MB at most): what it met again lives on.
+MEMO = 700_000
 #: The printable character that stands for each byte in byte-level vocabularies: itself, or one from U+0100 on, in order.
 _SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES = {b: chr(b) for b in _SELF} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_SELF}))}
@@ -96,16 +96,21 @@ class Encoder:
     def texts(self, texts: list[str | None]) -> list[bytes]:
         if len(self.memo) > MEMO:
             self.memo, self.old = {}, self.memo
-        memo, plans = self.memo, [self._words(t or "") for t in texts]
-        new = set().union(*(w for w in plans if w is not None)).difference(memo)
+        memo, plans, new = self.memo, [], set()
+        for t in texts:
+            words = self._words(t or "")
+            ids = None if words is None else list(map(memo.get, words))
+            missing = ids is not None and None in ids
+            if missing:
+                new.update([w for w, x in zip(words, ids, strict=True) if x is None])
+            plans.append((words, ids, missing))
         if known := new.intersection(self.old):
             memo.update((w, self.old[w]) for w in known)
             new -= known
         if new:
             self._learn(new)
-        rest = iter(self._whole([t for t, w in zip(texts, plans, strict=True) if w is None]))
-        get = memo.__getitem__
-        return [next(rest) if w is None else b"".join(map(get, w)) for w in plans]
+        rest = iter(self._whole([t for t, (w, _, _) in zip(texts, plans, strict=True) if w is None]))
+        return [next(rest) if w is None else b"".join([memo[k] if x is None else x for k, x in zip(w, ids, strict=True)] if missing else ids) for w, ids, missing in plans]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
