@@ -223,17 +223,19 @@ def document_scores(m: dict, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     return label, score
 
 
-def identify(spark: SparkSession, docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, lang_pred, score of every row of docs (doc_id, text)."""
+def identify(spark: SparkSession, docs: DataFrame, model: dict, keep: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score of every row of docs (doc_id, text); with ``keep``, docs' own columns first."""
     shared = spark.sparkContext.broadcast(model)
+    own = docs.columns if keep else ["doc_id"]
 
     def run(batches):
-        for b in pieces(batches, "text", 1_000_000):
-            label, score = document_scores(shared.value, b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(label), pa.array(score)], ["doc_id", "lang_pred", "score"])
+        for b in pieces(batches, "__text", 1_000_000):
+            label, score = document_scores(shared.value, b.column("__text"))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(label), pa.array(score)], [*own, "lang_pred", "score"])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return docs.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema)
+    docs = docs.select(*own, F.coalesce("text", F.lit("")).alias("__text"))
+    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
 def held_out(c: str = "doc_id"):
@@ -246,5 +248,5 @@ def train(docs: DataFrame) -> dict:
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = identify(spark, docs, train(docs))
+    found = identify(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from mnemospark.llm import op1_packing, op3_licenses, op4_ngram_join, op5_token_files, op6_language, op7_decontamination, op8_line_dedup, op9_exact_dedup, op10_quality
+from mnemospark.llm import op1_packing, op2_pii, op3_licenses, op4_ngram_join, op5_token_files, op6_language, op7_decontamination, op8_line_dedup, op9_exact_dedup, op10_quality
 
 QUERIES = {
     "op1_packing": op1_packing.op1_packing,
+    "op2_pii": op2_pii.op2_pii,
     "op3_licenses": op3_licenses.op3_licenses,
     "op4_ngram_join": op4_ngram_join.op4_ngram_join,
     "op5_token_files": op5_token_files.op5_token_files,
