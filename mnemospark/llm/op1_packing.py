@@ -28,6 +28,8 @@ from mnemospark.llm.tokens import encoder
 CAPACITY, BLOCK = 4096, 20_000
 #: A bin filled so far stays as it is; emptier ones go to the next round.
 KEPT_FILL = 0.999
+#: So many of the emptiest bins in a row resist before the search ends.
+TRIES = 8
 
 
 def best_fit(lengths: Sequence[int], capacity: int) -> list[list[int]]:
@@ -58,7 +60,7 @@ def local_search(bins: list[list[int]], lengths: Sequence[int], capacity: int) -
     under = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])
     alive = len(bins)
 
-    def shift(a: int, b: int, give: list[int], take: list[int]) -> None:
+    def shift(a: int, b: int, give: tuple[int, ...], take: tuple[int, ...]) -> None:
         for i in give:
             bins[a].remove(i)
             bins[b].append(i)
@@ -70,33 +72,36 @@ def local_search(bins: list[list[int]], lengths: Sequence[int], capacity: int) -
         fill[b] += d
 
     def step(a: int, b: int) -> bool:
-        """The move between a and b that raises the sum most: b gains d tokens, d at most its room."""
-        room, best = capacity - fill[b], (0, None)
-        for x, i in enumerate(bins[a]):
-            options = [([i], [])] + [([i], [j]) for j in bins[b]]
-            options += [([i, k], [j]) for k in bins[a][x + 1 :] for j in bins[b]] + [([i, k], []) for k in bins[a][x + 1 :]]
-            options += [([i], [j, k]) for y, j in enumerate(bins[b]) for k in bins[b][y + 1 :]]
-            for give, take in options:
-                d = sum(lengths[p] for p in give) - sum(lengths[p] for p in take)
-                gain = 2 * d * (fill[b] - fill[a] + d)
-                if 0 < d <= room and gain > best[0]:
-                    best = (gain, (give, take))
-        if best[1]:
-            shift(a, b, *best[1])
-            return True
-        return False
-
-    while alive > least and len(under) > 1:
-        a, moved = under[0], True
+        """The exchange after which b is fullest: b gains d tokens, at most its room. As b is the fuller, more raises the sum more."""
+        room, best, how = capacity - fill[b], 0, None
+        ones = [(lengths[i], (i,)) for i in bins[a]]
+        twos = [(m + n, (*i, *k)) for x, (m, i) in enumerate(ones) for n, k in ones[x + 1 :]]
+        takes = [(0, ()), *((lengths[j], (j,)) for j in bins[b])]
+        pairs = [(m + n, (*j, *k)) for y, (m, j) in enumerate(takes[1:], 1) for n, k in takes[y + 1 :]]
+        for gives, backs in ((ones, takes), (twos, takes), (ones, pairs)):
+            for m, give in gives:
+                for n, back in backs:
+                    if best < m - n <= room:
+                        best, how = m - n, (give, back)
+                        if best == room:
+                            break
+        if how:
+            shift(a, b, *how)
+        return bool(how)
+
+    tried = 0
+    while alive > least and tried < min(TRIES, len(under) - 1):
+        a, moved = under[tried], True
         while bins[a] and moved:
             moved = False
-            for b in sorted(under[1:], key=lambda b: -fill[b]):
-                if fill[b] < capacity and bins[a] and step(a, b):
+            for b in sorted((b for b in under if b != a and capacity > fill[b] >= fill[a]), key=lambda b: -fill[b]):
+                if bins[a] and fill[b] >= fill[a] and step(a, b):
                     moved = True
         if bins[a]:
-            break  # the emptiest bin cannot be emptied
-        alive -= 1
-        under = sorted((b for b in under[1:] if fill[b] < capacity), key=lambda b: fill[b])
+            tried += 1  # this one cannot be emptied; what it gave may help the next
+            continue
+        alive, tried = alive - 1, 0
+        under = sorted((b for b in under if b != a and fill[b] < capacity), key=lambda b: fill[b])
     return [b for b in bins if b]
 
 
