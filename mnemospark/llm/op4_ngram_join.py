@@ -1,9 +1,9 @@
 """N-gram Jaccard self-join by blocked sparse products of the document by n-gram incidence.
 
 1. Documents with equal shingle sets become one class, represented by its smallest id.
-2. Two sets that are similar enough share one of their rarest shingles (as many as a set may lack).
-   Documents that meet at such a shingle are pairs to look at, unless their sizes or the parity bits of
-   their sets show that they differ in too many shingles; where more than ``PAIRED`` meet, they are a
+2. Two sets that are similar enough share k of their rarest shingles (k more than a set may lack, less
+   one; k grows with long sets). Documents that meet at so many are pairs to look at, unless their
+   sizes or the parity bits of their sets show that they differ in too many shingles; where more than ``PAIRED`` meet, they are a
    star instead. Components over these are weak components: no link leaves its weak component.
 3. The shingles of classes in weak components of two and more move once. A block of rows times its
    transpose accumulates the overlap counts; pairs below the bound that their sizes give are discarded.
@@ -81,6 +81,11 @@ def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return top["h"].to_numpy().astype(np.int64).view(np.uint64)[order], top["n"].to_numpy().astype(np.int64)[order]
 
 
+def shared_least(n):
+    """How many rare shingles a set of n shows beyond those it may lack; linked sets share the smaller set's number."""
+    return 1 + np.maximum(n - 800, 0) // 20
+
+
 def rarest(s: np.ndarray, n: int, values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first n of a sorted set in the order of frequency, then hash: those of at most PAIRED documents, and the others."""
     if not len(values):
@@ -172,7 +177,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent
             sets = sets_of(b, k)
             with np.errstate(over="ignore"):
                 keys = [(int(mix(s).sum(dtype=np.uint64).view(np.int64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64))) for s in sets]
-            rare = [rarest(s, len(s) - -(-percent * len(s) // 100) + 1, values, counts) if len(s) else (s, s) for s in sets]
+            rare = [rarest(s, len(s) - -(-percent * len(s) // 100) + int(shared_least(len(s))), values, counts) if len(s) else (s, s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in keys], pa.int64()), pa.array([x for _, x in keys], pa.int64()), longs([x for x, _ in rare]), longs([x for _, x in rare]), longs([parity(s) for s in sets])],
                 ["doc_id", "n", "k1", "k2", "rare", "hot", "bits"],
@@ -209,16 +214,18 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent
                 star.append(np.full(int(fit.sum()), int(m > PAIRED)))
         if x:
             x, y = np.concatenate(x), np.concatenate(y)
-            out = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y), np.concatenate(star)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2] > 0)], ["a", "b", "star"])
+            out, met = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y), np.concatenate(star)], axis=1), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2] > 0), pa.array(met)], ["a", "b", "star", "met"])
 
     post = some.select("rep", "n", F.explode("rare").alias("h")).repartition("h")
-    pairs = post.mapInArrow(meet, "a long, b long, star boolean").filter("a <> b")
-    pairs = scratch.put(pairs.groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
+    pairs = post.mapInArrow(meet, "a long, b long, star boolean, met long").filter("a <> b")
+    pairs = scratch.put(pairs.groupBy("a", "b").agg(F.max("star").alias("star"), F.sum("met").alias("met")), "pairs")
     side = some.select("rep", "n", "bits")
     differ = F.expr("aggregate(zip_with(x.bits, y.bits, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)")
     look = pairs.filter("not star").join(side.select(F.col("rep").alias("a"), F.struct("n", "bits").alias("x")), "a")
     look = look.join(side.select(F.col("rep").alias("b"), F.struct("n", "bits").alias("y")), "b")
+    smaller = F.least("x.n", "y.n")
+    look = look.filter(F.col("met") >= 1 + F.floor(F.greatest(smaller - 800, F.lit(0)) / 20))
     look = look.filter(differ * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n"))).select("a", "b")
     # The frequent shingles are at most FREQUENT, so their smallest documents fit every executor.
     crowd = some.select("rep", F.explode("hot").alias("h"))
