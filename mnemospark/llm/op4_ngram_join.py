@@ -31,11 +31,11 @@ from mnemospark.llm.common import Scratch, hinted, pieces, text_bytes
 from mnemospark.llm.components import connected_components
 from mnemospark.llm.texthash import mix, shingle_sets
 
-#: Shingles whose frequency is kept (4 MB); a task reports at most so many of its own, seen LOCAL_LEAST times
+#: Shingles whose frequency is kept (8 MB); a task reports at most so many of its own, seen LOCAL_LEAST times
 #: in sets that differ (copies would crowd out the passages that unlike documents share).
-FREQUENT, LOCAL_MOST, LOCAL_LEAST = 1 << 18, 50_000, 2
+FREQUENT, LOCAL_MOST, LOCAL_LEAST = 1 << 19, 150_000, 2
 #: So many documents that meet at a shingle are paired with each other; more become a star.
-PAIRED = 32
+PAIRED = 10
 #: Longs of parity bits. Bits that differ between two sets are at most the shingles in which these differ.
 PARITY = 16
 #: A block holds shingles of so many, each row counting for ROW_WEIGHT at least: at most 2,000 rows.
