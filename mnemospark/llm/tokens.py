@@ -9,6 +9,8 @@ is encoded whole.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 
 #: Words of a generation. A worker remembers two (some 350 MB at most): what it met again lives on.
@@ -25,7 +27,7 @@ class Encoder:
     """ids of texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str, keeps_space: bool) -> None:
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -33,9 +35,14 @@ class Encoder:
         # What parts new words: a line end where blanks are kept, else a mark that is one token.
         marks = ["\n"] if keeps_space else "§¶©®™"
         self.mark, self.mark_id = next((c, ids[0]) for c in marks if len(ids := self.tok.encode(c, add_special_tokens=False).ids) == 1)
-        # The same model without the patterns that cut a text, for words of letters alone, which no pattern cuts.
-        self.plain = Tokenizer(self.tok.model)
-        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        # The same model without the patterns that cut a text, for words of letters alone, which no pattern cuts,
+        # and without the library's own memo, which new words pass in vain.
+        with open(path, encoding="utf-8") as f:
+            m = json.load(f)["model"]
+        merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in m["merges"]]
+        suffix = {"end_of_word_suffix": m["end_of_word_suffix"]} if m.get("end_of_word_suffix") else {}
+        self.plain = Tokenizer(models.BPE(vocab=m["vocab"], merges=merges, cache_capacity=0, **suffix))
+        self.plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -47,33 +54,30 @@ class Encoder:
         self.memo.update(zip(odd, self._whole(odd), strict=True))
         words = words.difference(odd)
         # A run of letters and the marks after it are cut from each other: each is encoded, and remembered, by itself.
-        letters, others, ended = [], [], []
-        for w in words:
-            core = w.rstrip(MARKS)
-            # Letters up to U+00FF are single composed characters with a lower case of one character.
-            if core.lstrip(" ").isalpha() and max(core) < "\u0100":
-                if core != w:
-                    ended.append((w, core, w[len(core) :]))
-                else:
-                    letters.append(w)
-            else:
-                others.append(w)
-        more = {c for _, c, _ in ended}
-        letters += more.difference(self.memo, letters)
-        marks = {m for _, _, m in ended}
-        others += marks.difference(self.memo, others)
-        self._joined(letters, self.plain, True)
-        self._joined(others, self.tok, False)
+        letters = [w for w in words if w[1:].isalpha() and (w[0] == " " or w[0].isalpha())]
+        rest = words.difference(letters)
+        ended = [(w, c, w[len(c) :]) for w in rest if (c := w.rstrip(MARKS)) != w and c.strip(" ").isalpha()]
+        others = rest.difference([w for w, _, _ in ended])
+        others |= {m for _, _, m in ended}.difference(self.memo)
+        letters += {c for _, c, _ in ended}.difference(self.memo, letters)
+        self._joined(letters, True)
+        self._joined(list(others), False)
         self.memo.update([(w, self.memo[c] + self.memo[m]) for w, c, m in ended])
 
-    def _joined(self, words: list[str], tok, mapped: bool) -> None:
+    def _joined(self, words: list[str], letters: bool) -> None:
         """Has the library encode many words as one text, and takes it apart at the mark."""
         for at in range(0, len(words), 2000):
             some = words[at : at + 2000]
-            if mapped:
-                # As the byte-level step would write them: a printable character for each byte.
-                mark = "\n" + self.mark.encode().decode("latin-1").translate(BYTES) + "\n"
+            tok, text = self.tok, None
+            if letters:
                 text = "\x00".join(some if self.keeps_space else map(str.lower, some))
+                try:  # letters up to U+00FF are single composed characters with a lower case of one character
+                    text.encode("latin-1")
+                except UnicodeEncodeError:
+                    text = None
+            if text is not None:
+                # As the byte-level step would write them: a printable character for each byte.
+                tok, mark = self.plain, "\n" + self.mark.encode().decode("latin-1").translate(BYTES) + "\n"
                 text = text.encode().decode("latin-1").translate(BYTES).replace(BYTES[0], mark)
             else:
                 text = (self.mark if self.keeps_space else f" {self.mark} ").join(some)
