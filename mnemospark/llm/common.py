@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -41,6 +43,9 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        # Texts are wide rows: smaller Arrow batches hold as many bytes as the default's do of narrow ones.
+        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(_delete, spark, self.path)
 
@@ -71,6 +76,13 @@ def parts(spark: SparkSession, rows: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each), 1)
 
 
+def trim() -> None:
+    """Gives a worker's free memory back, which the C library would keep."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def pieces(batches, column: str, most: int = 2_000_000):
     """Record batches cut so that ``column`` holds about ``most`` bytes, or a single longer text."""
     for b in batches:
@@ -84,6 +96,7 @@ def pieces(batches, column: str, most: int = 2_000_000):
             end = min(end, b.num_rows)
             yield b.slice(at, end - at)
             at = end
+    trim()
 
 
 def text_bytes(t: pa.Array) -> tuple[np.ndarray, np.ndarray]:

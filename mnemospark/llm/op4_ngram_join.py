@@ -31,9 +31,9 @@ from mnemospark.llm.common import Scratch, hinted, pieces, text_bytes
 from mnemospark.llm.components import connected_components
 from mnemospark.llm.texthash import mix, shingle_sets
 
-#: Shingles whose frequency is kept (8 MB); a task reports at most so many of its own, seen LOCAL_LEAST times
+#: Shingles whose frequency is kept (4 MB); a task reports at most so many of its own, seen LOCAL_LEAST times
 #: in sets that differ (copies would crowd out the passages that unlike documents share).
-FREQUENT, LOCAL_MOST, LOCAL_LEAST = 1 << 19, 150_000, 2
+FREQUENT, LOCAL_MOST, LOCAL_LEAST = 1 << 18, 150_000, 2
 #: So many documents that meet at a shingle are paired with each other; more become a star.
 PAIRED = 10
 #: Longs of parity bits. Bits that differ between two sets are at most the shingles in which these differ.
@@ -76,9 +76,10 @@ def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep])], ["h", "n"])
 
     found = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
-    order = np.argsort(top["h"].to_numpy().astype(np.int64).view(np.uint64))
-    return top["h"].to_numpy().astype(np.int64).view(np.uint64)[order], top["n"].to_numpy().astype(np.int64)[order]
+    top = found.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
 def shared_least(n):
