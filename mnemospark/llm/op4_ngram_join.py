@@ -35,7 +35,7 @@ from mnemospark.llm.texthash import mix, shingle_sets
 #: in sets that differ (copies would crowd out the passages that unlike documents share).
 FREQUENT, LOCAL_MOST, LOCAL_LEAST = 1 << 18, 150_000, 2
 #: So many documents that meet at a shingle are paired with each other; more become a star.
-PAIRED = 10
+PAIRED = 20
 #: Longs of parity bits. Bits that differ between two sets are at most the shingles in which these differ.
 PARITY = 16
 #: A block holds shingles of so many, each row counting for ROW_WEIGHT at least: at most 2,000 rows.

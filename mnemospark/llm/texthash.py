@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Fixed multipliers of the words of a shingle, in order, made by a rule.
-MULT = [np.uint64((0xD1B54A32D192ED03 * (2 * k + 1)) & (2**64 - 1) | 1) for k in range(64)]
+#: Multipliers of the words of a shingle: powers of an odd number, between which no small sums are equal.
+MULT = [np.uint64(pow(0xD1B54A32D192ED03, k + 1, 2**64)) for k in range(64)]
 LOWER_LUT = np.arange(256, dtype=np.uint8)
 LOWER_LUT[65:91] += 32
 BLANK_LUT = np.zeros(256, bool)
