@@ -117,7 +117,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep_ids: b
         enc = encoder(tokenizer, keeps_space=False)
         for b in pieces(batches, "text"):
             rows = []
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.texts(b.column("text").to_pylist()), strict=True):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.arrow(b.column("text")), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]

@@ -92,7 +92,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: s
     def ids(batches):
         enc = encoder(tokenizer, keeps_space)
         for b in pieces(batches, "text"):
-            yield from zip(b.column("doc_id").to_pylist(), (x + end for x in enc.texts(b.column("text").to_pylist())), strict=True)
+            yield from zip(b.column("doc_id").to_pylist(), (x + end for x in enc.arrow(b.column("text"))), strict=True)
 
     def run(batches):
         from pyspark import TaskContext

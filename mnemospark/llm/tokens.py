@@ -12,6 +12,10 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pyarrow as pa
+
+from mnemospark.llm.common import text_bytes
+from mnemospark.llm.texthash import span_hashes, spans
 
 #: Words of a generation. A worker remembers two (some 350 MB at most): what it met again lives on.
 MEMO = 700_000
@@ -87,34 +91,67 @@ class Encoder:
             starts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(b)]
             self.memo.update(zip(some, [b[i:j] for i, j in zip(starts, ends, strict=True)], strict=True))
 
-    def _words(self, t: str) -> list[str] | None:
-        """The words whose ids in a row are the text's, or None if it must be encoded whole."""
-        if not t.replace("\n", " ").isprintable():
-            return None
-        if not self.keeps_space:
-            return t.split()
-        if "  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[-1:] in (" ", "\n") or t[:1] in (" ", "\n"):
-            return None
-        return t.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01") if t else []
-
-    def texts(self, texts: list[str | None]) -> list[bytes]:
+    def _plain(self, texts: pa.Array, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts are those of their words in a row: printable but for line ends, and, where blanks are kept, none beside another or at an end."""
+
+        def some(mask: np.ndarray) -> np.ndarray:
+            total = np.zeros(len(raw) + 1, np.int64)
+            np.cumsum(mask, out=total[1:])
+            return total[offsets[1:]] > total[offsets[:-1]]
+
+        odd = some(((raw < 32) & (raw != 10)) | (raw == 127))
+        for k in np.flatnonzero(some(raw > 127) & ~odd):
+            odd[k] = not texts[int(k)].as_py().replace("\n", " ").isprintable()
+        if self.keeps_space and len(raw):
+            blank = (raw == 32) | (raw == 10)
+            edge = np.zeros(len(raw), bool)
+            full = offsets[1:] > offsets[:-1]
+            edge[offsets[:-1][full]] = edge[offsets[1:][full] - 1] = True
+            beside = blank & edge
+            beside[1:] |= blank[1:] & blank[:-1]
+            odd |= some(beside)
+        return ~odd
+
+    def arrow(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (null: none). Words are told apart by 64-bit hashes within a batch, and looked up by themselves."""
+        raw, offsets = text_bytes(texts)
+        n = len(offsets) - 1
+        plain = self._plain(texts, raw, offsets)
+        if self.keeps_space:  # a blank begins the word after it, a line end stands for itself
+            begin = (raw == 32) | (raw == 10)
+            begin[1:] |= raw[:-1] == 10
+            begin[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+            starts = np.flatnonzero(begin)
+            ends = np.r_[starts[1:], len(raw)].astype(np.int64)
+        else:
+            starts, ends = spans((raw != 32) & (raw != 10), offsets)
+        of = np.searchsorted(offsets, starts, side="right") - 1
+        keep = plain[of]
+        starts, ends, of = starts[keep], ends[keep], of[keep]
+        _, first, inverse = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        data = raw.tobytes()
+        words = [str(data[a:b], "utf-8") for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         if len(self.memo) > MEMO:
             self.memo, self.old = {}, self.memo
-        memo, plans, new = self.memo, [], set()
-        for t in texts:
-            words = self._words(t or "")
-            ids = None if words is None else list(map(memo.get, words))
-            missing = ids is not None and None in ids
-            if missing:
-                new.update([w for w, x in zip(words, ids, strict=True) if x is None])
-            plans.append((words, ids, missing))
+        memo = self.memo
+        ids = list(map(memo.get, words))
+        new = {w for w, x in zip(words, ids, strict=True) if x is None}
         if known := new.intersection(self.old):
             memo.update((w, self.old[w]) for w in known)
             new -= known
         if new:
             self._learn(new)
-        rest = iter(self._whole([t for t, (w, _, _) in zip(texts, plans, strict=True) if w is None]))
-        return [next(rest) if w is None else b"".join([memo[k] if x is None else x for k, x in zip(w, ids, strict=True)] if missing else ids) for w, ids, missing in plans]
+        ids = [memo[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, at = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        long = size[inverse]
+        out = pool[np.repeat(at[inverse] - (np.cumsum(long) - long), long) + np.arange(long.sum())].tobytes()
+        cuts = (4 * np.r_[0, np.cumsum(np.bincount(of, weights=long, minlength=n).astype(np.int64))]).tolist()
+        whole = iter(self._whole([texts[int(k)].as_py() for k in np.flatnonzero(~plain)]))
+        return [out[a:b] if ok else next(whole) for ok, a, b in zip(plain.tolist(), cuts[:-1], cuts[1:], strict=True)]
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        return self.arrow(pa.array(texts, pa.string()))
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
