@@ -261,6 +261,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent
     # Only classes of several rows or in a component need to be looked up; any other row is its own component.
     found = classes.join(hinted(strong).withColumnRenamed("node", "rep"), "rep", "left")
     found = scratch.put(found.filter("members > 1 or component is not null").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component")), "found")
+    for done in ("classes", "met", "weak", "rows", "dealt", "links", "strong"):
+        scratch.drop(done)
     out = t.filter("n > 0").select("doc_id", "n", "k1", "k2").join(hinted(found), ["n", "k1", "k2"], "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.unionByName(t.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
