@@ -9,6 +9,7 @@ is encoded whole.
 
 from __future__ import annotations
 
+import gc
 import json
 
 import numpy as np
@@ -113,7 +114,17 @@ class Encoder:
         return ~odd
 
     def arrow(self, texts: pa.Array) -> list[bytes]:
-        """The ids of each text (null: none). Words are told apart by 64-bit hashes within a batch, and looked up by themselves."""
+        """The ids of each text (null: none)."""
+        on = gc.isenabled()
+        gc.disable()  # hundreds of thousands of words and no cycles: collections would find nothing
+        try:
+            return self._arrow(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _arrow(self, texts: pa.Array) -> list[bytes]:
+        """Words are told apart by 64-bit hashes within a batch, and looked up by themselves."""
         raw, offsets = text_bytes(texts)
         n = len(offsets) - 1
         plain = self._plain(texts, raw, offsets)
