@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from mnemospark.plans import catalog
+from mnemospark.plans import catalog, catalog_more  # noqa: F401
 from mnemospark.plans.views import TABLES
 
 from .conftest import SF
