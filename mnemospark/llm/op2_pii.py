@@ -7,7 +7,7 @@ repeated or similar tokens anywhere in the document (each with the one before it
 tokens, not with their pairs). Loopy sum-product passes messages over all edges, so what one place
 makes plain holds for its other occurrences. Tokens sure of a kind that no base span covers are added.
 
-The factors are learned piecewise on at most ``SAMPLE`` documents that hold candidates, labelled by the
+The factors are learned piecewise on about ``SAMPLE`` documents that hold candidates, drawn by a hash, labelled by the
 base patterns and by values assigned to secret-like names.
 
 Defined cases: null text counts as empty and has no spans; spans are in code points, end exclusive;
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import pieces, text_bytes
+from mnemospark.llm.common import drawn, pieces, text_bytes
 
 SAMPLE, SAMPLE_CHARS, BITS, ROUNDS, SURE = 2_000, 20_000, 14, 12, 0.9
 KINDS = ("email", "ip", "card", "phone")
@@ -232,7 +232,8 @@ def digest(spans: list[tuple[int, int, str]]) -> str:
 
 def train(docs: DataFrame) -> dict | None:
     rows = docs.select("text").filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS))
-    rows = rows.orderBy(F.xxhash64("text"), "text").limit(SAMPLE).collect()
+    n = rows.count()
+    rows = rows.filter(drawn(F.col("text"), F.lit(min(1.0, SAMPLE / max(n, 1))))).limit(2 * SAMPLE).collect()
     return fit(sorted({r["text"] for r in rows}))
 
 

@@ -48,7 +48,7 @@ def sets_of(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
     return shingle_sets(*text_bytes(batch.column("text")), k)
 
 
-def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent(spark: SparkSession, docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, sorted by hash, and their counts: a table of bounded size."""
 
     def run(batches):
@@ -76,8 +76,17 @@ def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep])], ["h", "n"])
 
     found = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    scratch = Scratch(spark, "frequent")
+    found = scratch.put(found.withColumn("class", F.floor(64 * F.log2("n")).cast("int")), "found")
+    # Whole classes of counts, from the top, as many as fit: a few thousand classes at most come to the driver, and no sort is needed.
+    least, left = 1 << 30, FREQUENT
+    for c, n in sorted((tuple(r) for r in found.groupBy("class").count().collect()), reverse=True):
+        if n > left:
+            break
+        least, left = c, left - n
+    top = found.filter(F.col("class") >= least).select("h", "n").toArrow()
     h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    scratch.drop("found")
     order = np.argsort(h)
     return h[order], n[order]
 
@@ -170,7 +179,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    common = spark.sparkContext.broadcast(frequent(docs, k))
+    common = spark.sparkContext.broadcast(frequent(spark, docs, k))
 
     def signatures(batches):
         values, counts = common.value

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import pieces, text_bytes
+from mnemospark.llm.common import drawn, pieces, text_bytes
 from mnemospark.llm.texthash import LOWER_LUT, span_hashes, spans
 
 SAMPLE, SAMPLE_CHARS, CHAIN, BITS = 300, 20_000, 128, 16
@@ -187,9 +187,8 @@ def sample(docs: DataFrame, each: int = SAMPLE) -> list[tuple[str, str]]:
     if not counts:
         return []
     share = F.create_map([x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, each / n)))])
-    drawn = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
     got: dict[str, list[str]] = {}
-    for r in drawn.collect():
+    for r in rows.filter(drawn(F.col("text"), share[F.col("lang")])).limit(3 * each * len(counts)).collect():
         got.setdefault(r["lang"], []).append(r["text"])
     return [(t, lang) for lang in sorted(got) for t in sorted(got[lang])[: 2 * each]]
 
