@@ -55,7 +55,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     h = span_hashes(raw, starts, ends)
     some = np.maximum(words, 1)
 
-    def doubled(h: np.ndarray, of: np.ndarray) -> np.ndarray:
+    def distinct(h: np.ndarray, of: np.ndarray) -> np.ndarray:
         """How many items of each text differ."""
         if not len(h):
             return np.zeros(n, np.int64)
@@ -73,8 +73,8 @@ def statistics(texts: pa.Array) -> np.ndarray:
     l_some = np.maximum(lines, 1)
     return np.column_stack([
         np.log1p(size), np.log1p(words), (size - blank) / some, upper / per, digit / per, mark / per, odd / per, high / per, blank / per,
-        np.bincount(of, weights=again, minlength=n) / some, doubled(h, of) / some, np.log1p(size / l_some), np.log1p(lines),
-        np.bincount(of, weights=caps, minlength=n) / some, np.minimum(stop / some, 1), 1 - doubled(span_hashes(raw, ls, le), l_of) / l_some,
+        np.bincount(of, weights=again, minlength=n) / some, distinct(h, of) / some, np.log1p(size / l_some), np.log1p(lines),
+        np.bincount(of, weights=caps, minlength=n) / some, np.minimum(stop / some, 1), (lines - distinct(span_hashes(raw, ls, le), l_of)) / l_some,
         np.bincount(of, weights=marked, minlength=n) / some,
     ])
 

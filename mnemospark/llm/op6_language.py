@@ -223,18 +223,18 @@ def document_scores(m: dict, texts: pa.Array) -> tuple[list[str], np.ndarray]:
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: dict, keep: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score of every row of docs (doc_id, text); with ``keep``, docs' own columns first."""
+    """doc_id, lang_pred, score of every row of docs (doc_id, text); with ``keep``, docs' own columns, then __lang_pred, __score."""
     shared = spark.sparkContext.broadcast(model)
-    own = docs.columns if keep else ["doc_id"]
+    own, new = (docs.columns, ["__lang_pred", "__score"]) if keep else (["doc_id"], ["lang_pred", "score"])
 
     def run(batches):
         for b in pieces(batches, "__text", 1_000_000):
             label, score = document_scores(shared.value, b.column("__text"))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(label), pa.array(score)], [*own, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(label), pa.array(score)], [*own, *new])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema)
     docs = docs.select(*own, F.coalesce("text", F.lit("")).alias("__text"))
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{kinds}, {new[0]} string, {new[1]} double")
 
 
 def held_out(c: str = "doc_id"):

@@ -40,7 +40,7 @@ def test_code_switching(spark):
 def test_language_odd(spark, odd, none):
     model = op6_language.train(odd)
     got = {r.doc_id: r for r in op6_language.identify(spark, odd, model, keep=True).collect()}
-    assert len(got) == 11 and all(got[i].lang_pred == "und" for i in (1, 2, 3, 8)) and got[4].lang_pred in ("en", "de", "fr") and got[4].key == "k"
+    assert len(got) == 11 and all(got[i]["__lang_pred"] == "und" for i in (1, 2, 3, 8)) and got[4]["__lang_pred"] in ("en", "de", "fr") and got[4].key == "k"
     assert op6_language.identify(spark, none, model).count() == 0
     nothing = op6_language.train(none)
     assert {r.lang_pred for r in op6_language.identify(spark, odd, nothing).collect()} == {"und"}

@@ -95,7 +95,7 @@ def test_base_spans(small):
 
 def test_field(spark, small):
     docs = spark.createDataFrame(list(small.items()), "doc_id long, text string")
-    model = op2_pii.train(docs)
+    model = op2_pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     assert op2_pii.train(docs.limit(0)) is None
     secret = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
     t = f'une token = "{secret}" enon. ' + "mot " * 40 + f"et {secret} seul, 12 chats en 2024"
