@@ -83,7 +83,7 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def pieces(batches, column: str, most: int = 2_000_000):
+def pieces(batches, column: str, most: int = 1_000_000):
     """Record batches cut so that ``column`` holds about ``most`` bytes, or a single longer text."""
     for b in batches:
         if not b.num_rows:

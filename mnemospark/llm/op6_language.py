@@ -228,7 +228,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: dict, keep: bool = Fal
     own, new = (docs.columns, ["__lang_pred", "__score"]) if keep else (["doc_id"], ["lang_pred", "score"])
 
     def run(batches):
-        for b in pieces(batches, "__text", 1_000_000):
+        for b in pieces(batches, "__text"):
             label, score = document_scores(shared.value, b.column("__text"))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(label), pa.array(score)], [*own, *new])
 
