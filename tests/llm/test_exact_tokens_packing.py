@@ -63,11 +63,15 @@ _made = {}
 
 
 def _encoder(path, keeps):
-    return _made.setdefault(path, Encoder(path, keeps))
+    if path not in _made:
+        _made[path] = Encoder(path, keeps)
+    return _made[path]
 
 
 def direct_of(path):
-    return _made.setdefault(f"direct {path}", direct(path))
+    if f"direct {path}" not in _made:
+        _made[f"direct {path}"] = direct(path)
+    return _made[f"direct {path}"]
 
 
 def test_memo_on_documents(small):
