@@ -18,8 +18,8 @@ import pyarrow as pa
 from mnemospark.llm.common import text_bytes
 from mnemospark.llm.texthash import span_hashes, spans
 
-#: Words of a generation. A worker remembers two (some 350 MB at most): what it met again lives on.
-MEMO = 700_000
+#: Words of a generation. A worker remembers two (some 200 MB at most): what it met again lives on.
+MEMO = 400_000
 #: The printable character that stands for each byte in byte-level vocabularies: itself, or one from U+0100 on, in order.
 _SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES = {b: chr(b) for b in _SELF} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_SELF}))}
