@@ -138,3 +138,32 @@ def test_edit_distance():
 def test_whole_query(spark, small):
     got = op4_ngram_join.op4_ngram_join(spark, SF)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(small, 4, 85)
+
+
+def test_lines_by_edit_similarity_alone(spark):
+    """Lines of 5 to 50 words, and copies with words or letters changed: what is linked is what edit similarity says, whatever the SimHashes."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(2000)]
+    lines = []
+    for n in [5, 6, 8, 10, 15, 20, 30, 40, 50] * 8:
+        x = [str(w) for w in rng.choice(words, n)]
+        lines.append(" ".join(x))
+        for share in (0.0, 0.1):
+            y = list(x)
+            for i in rng.choice(n, max(1, round(share * n)), replace=False):
+                y[i] = str(rng.choice(words))
+            lines.append(" ".join(y))
+        z = list(lines[-1])
+        for i in rng.choice(len(z), max(1, len(z) // 40), replace=False):
+            z[i] = "q"
+        lines.append("".join(z))
+    u = Union()
+    for i, x in enumerate(lines):
+        u.find(i)
+        for j in range(i):
+            if op8_line_dedup.alike(x, lines[j]):
+                u.join(i, j)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id for r in op8_line_dedup.dedup_lines(spark, docs).collect() if r.n_dropped}
+    want = {i for i in range(len(lines)) if u.find(i) != i}
+    assert len(want) > 150 and got == want
