@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-1. Every document's words are looked up for n-grams of the items (``SEED`` words); how many documents
-   hold an n-gram is counted over all of them.
-2. An item's seeds are its rare n-grams: those of at most ``RARE`` of all documents, and at any rate
-   the rarer half, so that a passage that leaked everywhere still has seeds.
+1. Every document's words are looked up for n-grams of the items (``SEED`` words). All n-grams of an
+   item are seeds: how often one occurs says nothing, as the leaks themselves are counted.
+2. Of the passages around seeds, those that lack too many of the item's words to reach the threshold
+   are passed over; no alignment could score more than the share of words that are there.
 3. Around its seeds a document is aligned with the item, word by word: match 2, mismatch and gap -1.
    The score is the best alignment over that of the item with itself; from ``CONTAMINATED`` on the
    document holds the item, copied, edited or cut.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from mnemospark.llm.common import Scratch, hinted, pieces, text_bytes
 from mnemospark.llm.texthash import LOWER_LUT, MULT, mix, span_hashes, words_of
 
-SEED, RARE, CONTAMINATED, ITEMS = 4, 1e-4, 0.5, 5_000
+SEED, CONTAMINATED, ITEMS = 4, 0.5, 5_000
 MATCH, MISS, GAP = 2, -1, -1
 _APART = np.ones(256, bool)
 _APART[48:58] = _APART[65:91] = _APART[97:123] = _APART[128:] = False
@@ -109,18 +109,17 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, thresho
     """(doc_id, item_id, score) of every document (doc_id, text) that holds an item (item_id, text)."""
     scratch = Scratch(spark, "decontamination")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = docs.count()
     out, block, k = spark.createDataFrame([], "doc_id long, item_id long, score double"), [], 0
     rows = items.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit(""))).toLocalIterator()
     while True:
         block = [tuple(r) for _, r in zip(range(ITEMS), rows)]
         if not block:
             return out
-        found = scratch.put(_block(spark, Scratch(spark, "decontamination-block"), docs, Items(block), total, threshold), f"found{k}")
+        found = scratch.put(_block(spark, Scratch(spark, "decontamination-block"), docs, Items(block), threshold), f"found{k}")
         out, k = (found if not k else out.unionByName(found)), k + 1
 
 
-def _block(spark: SparkSession, scratch: Scratch, docs: DataFrame, items: Items, total: int, threshold: float) -> DataFrame:
+def _block(spark: SparkSession, scratch: Scratch, docs: DataFrame, items: Items, threshold: float) -> DataFrame:
     shared = spark.sparkContext.broadcast(items)
 
     def seen(batches):
@@ -133,26 +132,17 @@ def _block(spark: SparkSession, scratch: Scratch, docs: DataFrame, items: Items,
                 yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]], pa.int64(), from_pandas=True), pa.array(pairs[:, 1].astype(np.int32))], ["doc_id", "gram"])
 
     held = scratch.put(docs.mapInArrow(seen, "doc_id long, gram int"), "held")
-    count = np.zeros(max(1, len(items.keys)), np.int64)
-    for r in held.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).collect():  # at most the block's n-grams
-        count[r["gram"]] = r["n"]
-
-    # Seeds: rare n-grams, and the rarer half of each item's.
     index = np.searchsorted(items.keys, items.gram) if len(items.keys) else items.item
-    seed = count[index] <= RARE * total
-    for k in np.unique(items.item):
-        mine = items.item == k
-        seed |= mine & (count[index] <= np.median(count[index[mine]]))
-    pairs = {(int(g), int(i)) for g, i in zip(index[seed], items.item[seed], strict=True)}
+    pairs = {(int(g), int(i)) for g, i in zip(index, items.item, strict=True)}
     lookup = spark.createDataFrame(sorted(pairs), "gram int, item int")  # as many rows as the block has n-grams
     wanted = held.join(F.broadcast(lookup), "gram").groupBy("doc_id").agg(F.collect_set("item").alias("items"))
     wanted = scratch.put(wanted, "wanted")
-    seeds = spark.sparkContext.broadcast((index, seed))
+    seeds = spark.sparkContext.broadcast(index)
 
     def score(batches):
-        items, (index, seed) = shared.value, seeds.value
+        items, index = shared.value, seeds.value
         seed_of = {}
-        for g, i, q in zip(index[seed].tolist(), items.item[seed].tolist(), items.at[seed].tolist(), strict=True):
+        for g, i, q in zip(index.tolist(), items.item.tolist(), items.at.tolist(), strict=True):
             seed_of.setdefault((g, i), []).append(q)
         for b in pieces(batches, "text"):
             ids, wanted = b.column("doc_id").to_pylist(), b.column("items").to_pylist()
@@ -171,7 +161,8 @@ def _block(spark: SparkSession, scratch: Scratch, docs: DataFrame, items: Items,
                             p.append(x)
                             q.append(z)
                     item = items.words[i]
-                    best = max((align(item, h[a + s : a + t]) for s, t in passages(np.array(p, np.int64), np.array(q, np.int64), len(item), int(e - a))), default=0.0)
+                    at_seeds = [h[a + s : a + t] for s, t in passages(np.array(p, np.int64), np.array(q, np.int64), len(item), int(e - a))]
+                    best = max((align(item, x) for x in at_seeds if np.isin(item, x).sum() / len(item) >= threshold), default=0.0)
                     if best >= threshold:
                         found.append((ids[d], items.ids[i], best))
             if found:

@@ -3,9 +3,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from mnemospark.llm import op2_pii, op3_licenses, op7_decontamination
+from mnemospark.llm.common import text_bytes
 from mnemospark.llm.suffix_automaton import SuffixAutomaton
 from tests.conftest import SF
 
@@ -157,3 +159,13 @@ def test_decontamination_finds_all_copies(spark, small, duck):
     got = {(r.doc_id, r.item_id) for r in op7_decontamination.op7_decontamination(spark, SF).collect()}
     want = set(duck.sql("select doc_id, item_id from documents d, benchmark b where contains(d.text, b.text)").fetchall())
     assert want <= got and len(got) <= len(want) + 3
+
+
+def test_decontamination_edited_copy_beside_exact_ones(spark):
+    """Exact leaks raise the counts of an item's n-grams; an edited copy that holds the commonest of them is found all the same."""
+    w = [f"word{k}" for k in range(30)]
+    edited = " ".join("NEW" if k % 5 == 4 else x for k, x in enumerate(w))
+    docs = [(k, f"lead{k} {' '.join(w)} tail{k}") for k in range(3)] + [(3, f"lead {edited} tail")] + [(k, f"other{k} text of its own") for k in range(4, 40)]
+    items = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in op7_decontamination.contaminated(spark, spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert set(got) == {0, 1, 2, 3} and got[3] == pytest.approx(op7_decontamination.align(*(op7_decontamination.word_hashes(*text_bytes(pa.array([x])))[0] for x in (" ".join(w), edited))))
