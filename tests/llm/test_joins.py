@@ -167,3 +167,13 @@ def test_lines_by_edit_similarity_alone(spark):
     got = {r.doc_id for r in op8_line_dedup.dedup_lines(spark, docs).collect() if r.n_dropped}
     want = {i for i in range(len(lines)) if u.find(i) != i}
     assert len(want) > 150 and got == want
+
+
+def test_lines_short_and_without_blanks(spark):
+    """Copies of short lines, of lines without a word and of scripts without blanks go, near copies of the latter too; blank lines stay."""
+    han = "春眠不觉晓处处闻啼鸟夜来风雨声花落知多少床前明月光疑是地上霜"
+    near = han.replace("声", "音")
+    texts = ["Of.\n\n* * *\n" + han, "of\n\n* * *\n" + han, "\n  \nAnd so\n" + near, "and so!\nกรุงเทพมหานคร", "กรุงเทพมหานคร\n---\nnew"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in op8_line_dedup.dedup_lines(spark, docs).collect()}
+    assert got == {0: texts[0], 1: "", 2: "\n  \nAnd so", 3: "กรุงเทพมหานคร", 4: "---\nnew"}
