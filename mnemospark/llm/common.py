@@ -102,8 +102,8 @@ def pieces(batches, column: str, most: int = 1_000_000):
 def text_bytes(t: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts of an array, and the offsets of each text in them (null: empty)."""
     if t.null_count:
-        t = t.fill_null("")
-    kind = np.int64 if pa.types.is_large_string(t.type) else np.int32
+        t = t.fill_null(b"" if pa.types.is_large_binary(t.type) else "")
+    kind = np.int64 if pa.types.is_large_string(t.type) or pa.types.is_large_binary(t.type) else np.int32
     offsets = np.frombuffer(t.buffers()[1], dtype=kind)[t.offset : t.offset + len(t) + 1].astype(np.int64)
     data = t.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from mnemospark.llm.common import Scratch
 
@@ -11,11 +12,13 @@ from mnemospark.llm.common import Scratch
 def connected_components(spark: SparkSession, edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node on an edge; the component is its smallest node.
 
-    Every round is two aggregations with map-side minima and two joins whose hot keys AQE may split;
-    its edges are written to the shared folder, so no lineage grows. Self-links and nulls are ignored.
+    Nodes are integers, or structs of them where 64 bits would not tell all nodes apart. Every round is two
+    aggregations with map-side minima and two joins whose hot keys AQE may split; its edges are written to
+    the shared folder, so no lineage grows. Self-links and nulls are ignored.
     """
     scratch = Scratch(spark, "components")
-    u, v = F.col(a).cast("long"), F.col(b).cast("long")
+    whole = not isinstance(edges.schema[a].dataType, StructType)
+    u, v = (F.col(x).cast("long") if whole else F.col(x) for x in (a, b))
     e = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter(u.isNotNull() & v.isNotNull() & (u != v)).distinct()
     e, seen, r = scratch.put(e, "round0"), None, 0
     while True:
