@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -57,6 +58,12 @@ class Scratch:
         _delete(self.spark, f"{self.path}/{name}")
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of tables that are written: Spark deletes them once no plan in the driver refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
