@@ -66,10 +66,24 @@ class EliasFano:
             byte += len(bits) // 8
             bits = np.unpackbits(self.upper[byte : byte + 64], bitorder="little")
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[: self.count].astype(np.uint64)
-        high = (ones - np.arange(self.count, dtype=np.uint64)) << np.uint64(self.low)
+    def selects(self, first: int, end: int) -> np.ndarray:
+        """Numbers first to end - 1, each from its one in the upper part: the nearest sample on, and no further than they need."""
+        if not 0 <= first <= end <= self.count:
+            raise IndexError((first, end))
+        n = end - first
+        if not n:
+            return np.zeros(0, np.uint64)
+        at, to = int(self.samples[first // SAMPLE]), -(-end // SAMPLE)
+        stop = int(self.samples[to]) + 1 if to < len(self.samples) else 8 * len(self.upper)
+        bits = np.unpackbits(self.upper[at // 8 : (stop + 7) // 8], bitorder="little")
+        bits[: at % 8] = 0
+        ones = np.flatnonzero(bits)[first % SAMPLE :][:n].astype(np.uint64) + np.uint64(8 * (at // 8))
+        high = (ones - np.arange(first, end, dtype=np.uint64)) << np.uint64(self.low)
         if not self.low:
             return high
-        bits = np.unpackbits(self.lows, bitorder="little", count=self.count * self.low).reshape(self.count, self.low)
+        begin = first * self.low
+        bits = np.unpackbits(self.lows[begin // 8 : (end * self.low + 7) // 8], bitorder="little")[begin % 8 :][: n * self.low].reshape(n, self.low)
         return high | (bits.astype(np.uint64) << np.arange(self.low, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+    def all(self) -> np.ndarray:
+        return self.selects(0, self.count)

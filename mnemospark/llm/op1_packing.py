@@ -4,7 +4,7 @@ Documents are cut into pieces of at most ``capacity`` tokens; full pieces are se
 others are dealt to blocks of about ``BLOCK`` pieces. A block is packed best-fit decreasing; then the
 local search takes the emptiest bin and moves a piece, exchanges one for one, or two for one with
 other underfull bins, whenever that raises the sum of squared fills, until the bin is empty or nothing
-helps. What blocks leave in underfull bins is dealt and packed again with the others' leavings, so
+helps; the search ends once no underfull bin can be emptied, or the tokens need every bin that is left. What blocks leave in underfull bins is dealt and packed again with the others' leavings, so
 blocks cost no sequences in the end.
 
 Defined cases: null text counts as empty (the end id alone, one piece); repeated rows are pieces of
@@ -25,11 +25,9 @@ from pyspark.sql import functions as F
 from mnemospark.llm.common import Scratch, pieces
 from mnemospark.llm.tokens import encoder
 
-CAPACITY, BLOCK = 4096, 20_000
+CAPACITY, BLOCK = 4096, 8_000
 #: A bin filled so far stays as it is; emptier ones go to the next round.
 KEPT_FILL = 0.999
-#: So many of the emptiest bins in a row resist before the search ends.
-TRIES = 8
 
 
 def best_fit(lengths: Sequence[int], capacity: int) -> list[list[int]]:
@@ -89,14 +87,22 @@ def local_search(bins: list[list[int]], lengths: Sequence[int], capacity: int) -
             shift(a, b, *how)
         return bool(how)
 
+    # When a bin last changed, and when two bins were last found to have no exchange: pairs of which neither changed are passed over.
+    now, changed, barren = 0, [0] * len(bins), {}
     tried = 0
-    while alive > least and tried < min(TRIES, len(under) - 1):
+    while alive > least and tried < len(under) - 1:
         a, moved = under[tried], True
         while bins[a] and moved:
             moved = False
             for b in sorted((b for b in under if b != a and capacity > fill[b] >= fill[a]), key=lambda b: -fill[b]):
-                if bins[a] and fill[b] >= fill[a] and step(a, b):
+                if not bins[a] or fill[b] < fill[a] or barren.get((a, b), -1) >= max(changed[a], changed[b]):
+                    continue
+                now += 1
+                if step(a, b):
+                    changed[a] = changed[b] = now
                     moved = True
+                else:
+                    barren[a, b] = now
         if bins[a]:
             tried += 1  # this one cannot be emptied; what it gave may help the next
             continue
@@ -156,7 +162,7 @@ def pack(spark: SparkSession, parts: DataFrame, capacity: int = CAPACITY, block:
     fields = parts.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", sequence_id long, offset long, again boolean"
     while n := open_.count():
         # One block takes all in the end, or earlier rounds no longer help (all pieces fill bins poorly).
-        last = n <= block or (before is not None and n > 0.5 * before)
+        last = n <= block or (before is not None and n > 0.9 * before)
         k = -(-n // block)
         dealt = open_.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(r)), F.lit(k)))
         packed = scratch.put(dealt.groupBy("block").applyInPandas(_packer(r, last, capacity), fields), f"round{r}")

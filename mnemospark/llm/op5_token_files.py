@@ -1,6 +1,6 @@
 """Token ids of documents in binary files, with Elias-Fano coded document boundaries.
 
-A file holds the ids of a run of documents, 2 bytes each where the vocabulary allows and 4 otherwise,
+A file holds the ids of a run of documents, 2 bytes each where the vocabulary has at most 65,536 ids and 4 otherwise,
 then the ends of the documents and their ids, both Elias-Fano coded, then a fixed footer. Files follow
 one another in ascending order of document id. Tasks write to names of their own and report them; only
 what committed tasks reported is read, so a task that is run again leaves at most a file nobody names.
@@ -26,6 +26,8 @@ from mnemospark.llm.elias_fano import EliasFano
 from mnemospark.llm.tokens import encoder
 
 MAGIC = b"MNEMTOK1"
+#: Documents whose boundaries a reader decodes at once.
+RUN = 4096
 _FOOT = struct.Struct("<QQQqQQI8s")  # documents, tokens, null ids, least id, bytes of ends, bytes of ids, width, magic
 
 
@@ -72,6 +74,8 @@ def write_file(uri: str, docs: Iterator[tuple[int | None, bytes]], width: int) -
         out.write(MAGIC)
         for doc_id, b in docs:
             a = np.frombuffer(b, "<u4")
+            if width < 4 and len(a) and int(a.max()) >> (8 * width):
+                raise ValueError(f"id {a.max()} does not fit {width} bytes")
             total += len(a)
             ends.append(total)
             if doc_id is None:
@@ -85,8 +89,8 @@ def write_file(uri: str, docs: Iterator[tuple[int | None, bytes]], width: int) -
     return len(ends), total
 
 
-def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: str, end_id: int, width: int = 2, keeps_space: bool = True) -> DataFrame:
-    """Writes docs (doc_id, text) and returns the manifest: shard int, path, n_docs, n_tokens, in no order."""
+def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: str, end_id: int, width: int | None = None, keeps_space: bool = True) -> DataFrame:
+    """Writes docs (doc_id, text) and returns the manifest: shard int, path, n_docs, n_tokens, in no order. The width follows from the vocabulary."""
     end = np.array([end_id], "<u4").tobytes()
 
     def ids(batches):
@@ -101,7 +105,8 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: s
         if first is None:
             return
         uri = f"{folder}/tokens-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
-        n, total = write_file(uri, (x for part in ([first], rows) for x in part), width)
+        wide = width or max(encoder(tokenizer, keeps_space).id_bytes, 2 if end_id < 1 << 16 else 4)
+        n, total = write_file(uri, (x for part in ([first], rows) for x in part), wide)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [uri], "n_docs": pa.array([n], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
 
     text = F.coalesce("text", F.lit(""))
@@ -127,16 +132,21 @@ def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
         for b in batches:
             for path, base in zip(b.column("path").to_pylist(), b.column("base").to_pylist(), strict=True):
                 f, done = TokenFile(path), 0
-                ends, ids = f.ends.all().astype(np.int64), [None] * f.n_null + (f.ids.all().astype(np.int64) + f.least).tolist()
-                while done < f.n_docs:  # a few MB of ids at a time
-                    first = int(ends[done - 1]) if done else 0
-                    end = min(f.n_docs, max(done + 1, int(np.searchsorted(ends, first + 1_000_000, side="right"))))
-                    cuts = np.r_[first, ends[done:end]]
-                    b4 = memoryview(f.tokens(first, int(cuts[-1])).tobytes())
-                    crc = [zlib.crc32(b4[4 * i : 4 * j]) for i, j in zip((cuts[:-1] - first).tolist(), (cuts[1:] - first).tolist(), strict=True)]
-                    cols = ids[done:end], base + cuts[:-1], np.diff(cuts), crc
+                f = TokenFile(path)
+                for done in range(0, f.n_docs, RUN):  # boundaries of some documents at a time, by select
+                    end = min(f.n_docs, done + RUN)
+                    first = f.ends.select(done - 1) if done else 0
+                    cuts = np.r_[first, f.ends.selects(done, end).astype(np.int64)]
+                    null = max(0, min(end, f.n_null) - done)
+                    ids = [None] * null + (f.ids.selects(done + null - f.n_null, end - f.n_null).astype(np.int64) + f.least).tolist() if end > f.n_null else [None] * null
+                    crc, k = [], 0
+                    while k < end - done:  # a few MB of ids at a time
+                        to = max(k + 1, int(np.searchsorted(cuts, cuts[k] + 1_000_000, side="right")) - 1)
+                        b4 = memoryview(f.tokens(int(cuts[k]), int(cuts[to])).tobytes())
+                        crc += [zlib.crc32(b4[4 * i : 4 * j]) for i, j in zip((cuts[k:to] - cuts[k]).tolist(), (cuts[k + 1 : to + 1] - cuts[k]).tolist(), strict=True)]
+                        k = to
+                    cols = ids, base + cuts[:-1], np.diff(cuts), crc
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
-                    done = end
                 f.close()
 
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

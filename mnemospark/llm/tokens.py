@@ -2,9 +2,9 @@
 
 Both public vocabularies cut a text before every single space and around every single line end, and no
 token crosses those cuts. So in printable text whose blanks are single spaces and line ends, the ids of
-a text are those of its words in a row; words repeat, and a worker has the library encode a word once.
-New words go to the library many at a time, parted by a token that none of them holds. Any other text
-is encoded whole.
+a text are those of its words in a row; words repeat, and a worker remembers the ids of those it met.
+New words go to the library many at a time, parted by a token that none of them holds. Any other text,
+and any that may hold the string of a special token, is encoded whole.
 """
 
 from __future__ import annotations
@@ -16,27 +16,35 @@ import numpy as np
 import pyarrow as pa
 
 from mnemospark.llm.common import text_bytes
-from mnemospark.llm.texthash import span_hashes, spans
-
-#: Words of a generation. A worker remembers two (some 200 MB at most): what it met again lives on.
-MEMO = 400_000
+from mnemospark.llm.texthash import LOWER_LUT, mix, span_hashes
+
+#: Places of remembered words, each taken by the latest word that falls on it, and ids that they hold before all are forgotten.
+SLOTS, POOL, WIDE = 1 << 20, 4_000_000, 16
+_SLOT = np.dtype([("low", "<u8"), ("high", "<u8"), ("at", "<i8"), ("n", "<u4")])
+#: The first so many bytes of eight.
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_CONTROL, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
+_CONTROL[:32] = _CONTROL[127] = _BLANK[[10, 32]] = True
+_CONTROL[10] = False
 #: The printable character that stands for each byte in byte-level vocabularies: itself, or one from U+0100 on, in order.
 _SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES = {b: chr(b) for b in _SELF} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_SELF}))}
 
-#: ASCII marks that may end a word; without the apostrophe, which can begin a token with letters.
-MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+#: ASCII letters, and marks without the apostrophe, which can begin a token with letters.
+_LETTER = np.array([chr(c).isalpha() and c < 128 for c in range(256)])
+_MARK = np.array([33 <= c < 127 and c != 39 and not chr(c).isalnum() for c in range(256)])
 
 
 class Encoder:
-    """ids of texts as little-endian unsigned 32-bit bytes."""
+    """ids of texts as little-endian unsigned 32-bit bytes: those of a plain ``encode(text, add_special_tokens=False)``."""
 
     def __init__(self, path: str, keeps_space: bool) -> None:
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.keeps_space = keeps_space
+        # How the strings begin that the library takes for tokens of their own; texts that hold one are encoded whole.
+        self.added = sorted({t.content.encode()[:2] for t in self.tok.get_added_tokens_decoder().values() if t.content})
         # What parts new words: a line end where blanks are kept, else a mark that is one token.
         marks = ["\n"] if keeps_space else "§¶©®™"
         self.mark, self.mark_id = next((c, ids[0]) for c in marks if len(ids := self.tok.encode(c, add_special_tokens=False).ids) == 1)
@@ -48,28 +56,27 @@ class Encoder:
         suffix = {"end_of_word_suffix": m["end_of_word_suffix"]} if m.get("end_of_word_suffix") else {}
         self.plain = Tokenizer(models.BPE(vocab=m["vocab"], merges=merges, cache_capacity=0, **suffix))
         self.plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.slots = np.zeros(SLOTS, _SLOT)
+        self.pool, self.used = np.zeros(POOL, "<u4"), 0
+
+    @property
+    def id_bytes(self) -> int:
+        """Bytes that hold any id of the vocabulary."""
+        return 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of unlike words."""
         odd = [w for w in words if self.mark in w]
-        self.memo.update(zip(odd, self._whole(odd), strict=True))
-        words = words.difference(odd)
-        # A run of letters and the marks after it are cut from each other: each is encoded, and remembered, by itself.
+        found = dict(zip(odd, self._whole(odd), strict=True))
         letters = [w for w in words if w[1:].isalpha() and (w[0] == " " or w[0].isalpha())]
-        rest = words.difference(letters)
-        ended = [(w, c, w[len(c) :]) for w in rest if (c := w.rstrip(MARKS)) != w and c.strip(" ").isalpha()]
-        others = rest.difference([w for w, _, _ in ended])
-        others |= {m for _, _, m in ended}.difference(self.memo)
-        letters += {c for _, c, _ in ended}.difference(self.memo, letters)
-        self._joined(letters, True)
-        self._joined(list(others), False)
-        self.memo.update([(w, self.memo[c] + self.memo[m]) for w, c, m in ended])
-
-    def _joined(self, words: list[str], letters: bool) -> None:
+        self._joined(letters, True, found)
+        self._joined(list(set(words).difference(letters, odd)), False, found)
+        return [found[w] for w in words]
+
+    def _joined(self, words: list[str], letters: bool, found: dict[str, bytes]) -> None:
         """Has the library encode many words as one text, and takes it apart at the mark."""
         for at in range(0, len(words), 2000):
             some = words[at : at + 2000]
@@ -90,27 +97,34 @@ class Encoder:
             cuts = np.flatnonzero(ids == self.mark_id)
             b = ids.tobytes()
             starts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(b)]
-            self.memo.update(zip(some, [b[i:j] for i, j in zip(starts, ends, strict=True)], strict=True))
+            found.update(zip(some, [b[i:j] for i, j in zip(starts, ends, strict=True)], strict=True))
 
     def _plain(self, texts: pa.Array, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Which texts are those of their words in a row: printable but for line ends, and, where blanks are kept, none beside another or at an end."""
-
-        def some(mask: np.ndarray) -> np.ndarray:
-            total = np.zeros(len(raw) + 1, np.int64)
-            np.cumsum(mask, out=total[1:])
-            return total[offsets[1:]] > total[offsets[:-1]]
-
-        odd = some(((raw < 32) & (raw != 10)) | (raw == 127))
-        for k in np.flatnonzero(some(raw > 127) & ~odd):
-            odd[k] = not texts[int(k)].as_py().replace("\n", " ").isprintable()
-        if self.keeps_space and len(raw):
-            blank = (raw == 32) | (raw == 10)
-            edge = np.zeros(len(raw), bool)
+        """Which texts are those of their words in a row: printable but for line ends, without what may begin an added token, and, where blanks are kept, none beside another or at an end."""
+        odd = np.zeros(len(offsets) - 1, bool)
+        if not len(raw):
+            return ~odd
+
+        def of(mask: np.ndarray) -> np.ndarray:
+            """The texts that hold a place of the mask."""
+            return np.unique(np.searchsorted(offsets, np.flatnonzero(mask), side="right") - 1)
+
+        odd[of(_CONTROL[raw])] = True
+        for x in self.added:
+            begins = raw == x[0]
+            if len(x) > 1:
+                begins[:-1] &= raw[1:] == x[1]
+                begins[-1] = False
+            odd[of(begins)] = True
+        for k in of(raw > 127):
+            odd[k] = odd[k] or not texts[int(k)].as_py().replace("\n", " ").isprintable()
+        if self.keeps_space:
+            blank = _BLANK[raw]
+            beside = np.zeros(len(raw), bool)
             full = offsets[1:] > offsets[:-1]
-            edge[offsets[:-1][full]] = edge[offsets[1:][full] - 1] = True
-            beside = blank & edge
-            beside[1:] |= blank[1:] & blank[:-1]
-            odd |= some(beside)
+            beside[offsets[:-1][full]] = beside[offsets[1:][full] - 1] = True
+            beside[1:] |= blank[:-1]
+            odd[of(blank & beside)] = True
         return ~odd
 
     def arrow(self, texts: pa.Array) -> list[bytes]:
@@ -124,40 +138,71 @@ class Encoder:
                 gc.enable()
 
     def _arrow(self, texts: pa.Array) -> list[bytes]:
-        """Words are told apart by 64-bit hashes within a batch, and looked up by themselves."""
+        """Words of up to WIDE bytes are told apart by these bytes; longer ones by a hash within a batch, and are encoded anew in each."""
         raw, offsets = text_bytes(texts)
         n = len(offsets) - 1
         plain = self._plain(texts, raw, offsets)
+        # Marks after an ASCII letter are cut from it, as the patterns of both vocabularies cut them.
+        begin = _MARK[raw]
+        begin[1:] &= _LETTER[raw[:-1]]
+        begin[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
         if self.keeps_space:  # a blank begins the word after it, a line end stands for itself
-            begin = (raw == 32) | (raw == 10)
+            begin |= _BLANK[raw]
             begin[1:] |= raw[:-1] == 10
-            begin[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
             starts = np.flatnonzero(begin)
             ends = np.r_[starts[1:], len(raw)].astype(np.int64)
         else:
-            starts, ends = spans((raw != 32) & (raw != 10), offsets)
+            raw = LOWER_LUT[raw]
+            inside = ~_BLANK[raw]
+            begin[1:] |= ~inside[:-1]
+            begin &= inside
+            last = inside.copy()
+            last[:-1] &= ~inside[1:] | begin[1:]
+            starts, ends = np.flatnonzero(begin), np.flatnonzero(last) + 1
         of = np.searchsorted(offsets, starts, side="right") - 1
-        keep = plain[of]
-        starts, ends, of = starts[keep], ends[keep], of[keep]
-        _, first, inverse = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-        data = raw.tobytes()
-        words = [str(data[a:b], "utf-8") for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        if len(self.memo) > MEMO:
-            self.memo, self.old = {}, self.memo
-        memo = self.memo
-        ids = list(map(memo.get, words))
-        new = {w for w, x in zip(words, ids, strict=True) if x is None}
-        if known := new.intersection(self.old):
-            memo.update((w, self.old[w]) for w in known)
-            new -= known
-        if new:
-            self._learn(new)
-        ids = [memo[w] if x is None else x for w, x in zip(words, ids, strict=True)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        pool, at = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
-        long = size[inverse]
-        out = pool[np.repeat(at[inverse] - (np.cumsum(long) - long), long) + np.arange(long.sum())].tobytes()
-        cuts = (4 * np.r_[0, np.cumsum(np.bincount(of, weights=long, minlength=n).astype(np.int64))]).tolist()
+        if not plain.all():
+            keep = plain[of]
+            starts, ends, of = starts[keep], ends[keep], of[keep]
+        size = ends - starts
+        padded = np.r_[raw, np.zeros(WIDE, np.uint8)]
+        eight = np.lib.stride_tricks.as_strided(padded, (len(raw) + WIDE - 7, 8), (1, 1))
+        low = eight[starts].view("<u8")[:, 0] & _MASK[np.minimum(size, 8)]
+        high = np.zeros(len(starts), np.uint64)
+        more = np.flatnonzero(size > 8)
+        high[more] = eight[starts[more] + 8].view("<u8")[:, 0] & _MASK[np.minimum(size[more] - 8, 8)]
+        h = mix(low ^ mix(high + np.uint64(1)))
+        long = np.flatnonzero(size > WIDE)
+        if len(long):
+            h[long] = mix(span_hashes(raw, starts[long], ends[long]))
+        _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        low_u, high_u, size_u, slot = low[first], high[first], size[first], (h[first] & np.uint64(SLOTS - 1)).astype(np.int64)
+        if not (np.array_equal(low_u[inverse], low) and np.array_equal(high_u[inverse], high) and np.array_equal(size_u[inverse], size)):
+            return self._whole(["" if t is None else t for t in texts.to_pylist()])  # two words of a hash
+        if self.used > POOL:
+            self.slots["n"], self.used = 0, 0
+        row = self.slots[slot]
+        known = (row["low"] == low_u) & (row["high"] == high_u) & (row["n"] > 0) & (size_u <= WIDE)
+        at, count = row["at"].copy(), row["n"].astype(np.int64)
+        new = np.flatnonzero(~known)
+        if len(new):
+            data = raw.tobytes()
+            words = [str(data[a:b], "utf-8") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+            ids = self._words(words)
+            count[new] = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            at[new] = self.used + np.cumsum(count[new]) - count[new]
+            ids = np.frombuffer(b"".join(ids), "<u4")
+            if self.used + len(ids) > len(self.pool):
+                self.pool = np.r_[self.pool, np.zeros(max(len(ids), POOL // 4), "<u4")]
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+            new = new[(size_u[new] <= WIDE) & (count[new] > 0)]
+            rows = np.zeros(len(new), _SLOT)
+            rows["low"], rows["high"], rows["at"], rows["n"] = low_u[new], high_u[new], at[new], count[new]
+            self.slots[slot[new]] = rows
+        long = count[inverse]
+        total = np.cumsum(long)
+        out = self.pool[np.repeat(at[inverse] - (total - long), long) + np.arange(total[-1] if len(total) else 0)].tobytes()
+        cuts = (4 * np.r_[0, total][np.searchsorted(of, np.arange(n + 1))]).tolist()
         whole = iter(self._whole([texts[int(k)].as_py() for k in np.flatnonzero(~plain)]))
         return [out[a:b] if ok else next(whole) for ok, a, b in zip(plain.tolist(), cuts[:-1], cuts[1:], strict=True)]
 

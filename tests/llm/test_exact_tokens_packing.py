@@ -19,7 +19,6 @@ BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path
 
 def direct(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda s: np.array(t.encode(s or "", add_special_tokens=False).ids, "<u4")
 
 
@@ -146,3 +145,53 @@ def test_local_search_never_worse(lengths):
     bins = op1_packing.local_search([b[:] for b in first], lengths, 60)
     assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
     assert all(sum(lengths[i] for i in b) <= 60 for b in bins) and len(bins) <= len(first)
+
+
+@given(st.lists(st.sampled_from(["hello", " ", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "\n", "wörld", "it's", ",", "don't,", "—", "A,b", "é,", "9.", "'s", "..."]), max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_ids_are_the_plain_calls(parts):
+    text = "".join(parts)
+    for path, keeps in ((BYTE, True), (WORD, False)):
+        assert _encoder(path, keeps).texts([text, None, "a " + text]) == [direct_of(path)(t).tobytes() for t in (text, None, "a " + text)]
+
+
+def test_memo_forgets(small, monkeypatch):
+    """Few places and a small pool: words push each other out, and all are forgotten now and then."""
+    from mnemospark.llm import tokens
+
+    monkeypatch.setattr(tokens, "SLOTS", 64)
+    monkeypatch.setattr(tokens, "POOL", 5_000)
+    texts = [t[:3_000] for t in list(small.values())[:150]]
+    for path, keeps in ((BYTE, True), (WORD, False)):
+        e = Encoder(path, keeps)
+        assert [x for k in range(0, 150, 10) for x in e.texts(texts[k : k + 10])] == [direct_of(path)(t).tobytes() for t in texts]
+
+
+@given(st.lists(st.integers(0, 2**34), max_size=900), st.integers(0, 900), st.integers(0, 900))
+@settings(max_examples=100, deadline=None)
+def test_elias_fano_runs(values, a, b):
+    values = sorted(values)
+    a, b = sorted((min(a, len(values)), min(b, len(values))))
+    e = EliasFano.from_bytes(EliasFano.of(np.array(values, np.uint64)).to_bytes())
+    assert e.selects(a, b).tolist() == values[a:b]
+
+
+def test_token_width(tmp_path):
+    for width in (2, 4):
+        uri = f"file://{tmp_path}/w{width}.bin"
+        if width == 2:
+            with pytest.raises(ValueError):
+                op5_token_files.write_file(uri, iter([(1, np.array([70_000], "<u4").tobytes())]), 2)
+        else:
+            op5_token_files.write_file(uri, iter([(1, np.array([70_000], "<u4").tobytes())]), 4)
+            assert op5_token_files.TokenFile(uri).document(0).tolist() == [70_000]
+
+
+def test_local_search_goes_on():
+    """Pieces of which best fit leaves much room: the search saves bins, and goes on past bins that resist."""
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1000, 1800, 400).tolist()
+    first = op1_packing.best_fit(lengths, 4096)
+    bins = op1_packing.local_search([b[:] for b in first], lengths, 4096)
+    assert sorted(i for b in bins for i in b) == list(range(400)) and all(sum(lengths[i] for i in b) <= 4096 for b in bins)
+    assert len(bins) < len(first) - 2
