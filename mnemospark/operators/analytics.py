@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import belief
+from mnemospark.operators import revision
 
 
 def latest_signals(signals: DataFrame) -> DataFrame:
@@ -14,10 +15,82 @@ def latest_signals(signals: DataFrame) -> DataFrame:
     return signals.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def typed_scores(signals: DataFrame) -> DataFrame:
-    """(memory_id, score, n) over the latest signals."""
-    w = belief.signal_weight(F.col("signal_type"), F.col("success"))
-    return latest_signals(signals).groupBy("memory_id").agg(F.round(F.sum(w), 6).alias("score"), F.count(F.lit(1)).alias("n"))
+def typed_scores(signals: DataFrame, confidences: DataFrame, least: float = 0.5) -> DataFrame:
+    """(memory_id, score, n) over the latest signals; a citation counts only if the citing memory's confidence is known and high enough."""
+    known = revision.citing(latest_signals(signals), confidences)
+    counts = (F.col("signal_type") != "cited_by") | F.coalesce(F.col("citing") >= least, F.lit(False))
+    w = F.when(counts, belief.signal_weight(F.col("signal_type"), F.col("success"))).otherwise(0.0)
+    return known.groupBy("memory_id").agg(F.round(F.sum(w), 6).alias("score"), F.count(F.lit(1)).alias("n"))
+
+
+def first_signals(signals: DataFrame) -> DataFrame:
+    """One signal a memory, type and source: the first, as later ones of the key are re-posts."""
+    w = Window.partitionBy("memory_id", "signal_type", "source").orderBy("ts", "event_id")
+    return signals.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+def bump_counters(stored: DataFrame, signals: DataFrame) -> DataFrame:
+    """Stored counters (id, success_count, fail_count, verified) after new test and compile signals; ``verified`` latches."""
+    s = first_signals(signals).filter(F.col("signal_type").isin("test_passed", "code_compiled"))
+    n = s.groupBy(F.col("memory_id").alias("id")).agg(F.count_if(F.col("success")).alias("__s"), F.count_if(~F.col("success")).alias("__f"))
+    out = stored.join(n, "id", "left")
+    add = lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+    verified = F.coalesce("verified", F.lit(False)) | (F.coalesce("__s", F.lit(0)) > 0)
+    return out.withColumns({"success_count": add("success_count", "__s"), "fail_count": add("fail_count", "__f"), "verified": verified}).drop("__s", "__f")
+
+
+def learn(procedures: DataFrame, new: DataFrame) -> DataFrame:
+    """Procedures (id, trigger_error, fix, success_count, fail_count, verified) with new ones (id, trigger_error, fix, verified).
+
+    A known id takes the new text and keeps its counts; ``verified`` latches. A new id begins at none.
+    """
+    old = procedures.select("id", F.col("success_count").alias("__s"), F.col("fail_count").alias("__f"), F.col("verified").alias("__v"))
+    n = new.join(old, "id", "left").select("id", "trigger_error", "fix", F.coalesce("__s", F.lit(0)).alias("success_count"), F.coalesce("__f", F.lit(0)).alias("fail_count"), (F.coalesce("verified", F.lit(False)) | F.coalesce("__v", F.lit(False))).alias("verified"))
+    return procedures.join(new.select("id"), "id", "left_anti").select(*n.columns).unionByName(n)
+
+
+def legacy_cardinality(facts: DataFrame) -> DataFrame:
+    """(predicate, proposed, confidence) without looking at time: single if no subject has two objects, else multi, surely from a fifth of the subjects on."""
+    per = facts.groupBy("predicate", "subject").agg(F.countDistinct("object").alias("d"))
+    g = per.groupBy("predicate").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") >= 2).alias("many"))
+    return g.select("predicate", F.when(F.col("many") == 0, "single").otherwise("multi").alias("proposed"), F.when((F.col("many") == 0) | (F.col("many") / F.col("n") >= 0.2), "high").otherwise("low").alias("confidence"))
+
+
+def dependants(facts: DataFrame, hits: DataFrame, least: float, most: int = 256) -> DataFrame:
+    """(seq, dependants): how many of a fact's search hits (qid = seq, id, score, rank), to so many places, reach a score; 0 without any."""
+    n = hits.filter((F.col("score") >= least) & (F.col("rank") <= most)).groupBy(F.col("qid").alias("seq")).agg(F.count(F.lit(1)).alias("n"))
+    return facts.select("seq").join(n, "seq", "left").select("seq", F.coalesce("n", F.lit(0)).cast("long").alias("dependants"))
+
+
+#: Kinds of question by how much they ask for a search first.
+FIRST = ("single-session-user", "single-session-preference", "single-session-assistant", "knowledge-update", "multi-session")
+SECOND = ("temporal-reasoning",)
+
+
+def policy_effect(rows: DataFrame) -> DataFrame:
+    """Recall of questions (question_type, r1, r5, r10 booleans) by priority and in all, with a search policy and without, where it is 0.
+
+    ``delta`` is the gain at five in points of a hundred.
+    """
+    kind = F.when(F.col("question_type").isin(*FIRST), "P1").when(F.col("question_type").isin(*SECOND), "P2").otherwise("P0")
+    g = rows.withColumn("priority", kind).groupingSets([[], ["priority"]], "priority")
+    share = lambda c: F.round(F.avg(F.col(c).cast("int")), 6).alias(c)
+    out = g.agg(F.count(F.lit(1)).alias("n"), share("r1"), share("r5"), share("r10")).withColumn("priority", F.coalesce("priority", F.lit("all")))
+    return out.withColumns({"without": F.lit(0.0), "delta": F.round(100 * F.col("r5"), 4)})
+
+
+def extraction_tally(rows: DataFrame, extractor) -> DataFrame:
+    """One row: memories processed, facts produced, memories that gave none, and those whose extractor failed (null). ``extractor``: content to triples."""
+    n = F.size(F.col("__found"))
+    found = rows.withColumn("__found", extractor(F.col("content")))
+    failed = F.col("__found").isNull()
+    return found.agg(F.count(F.lit(1)).alias("processed"), F.coalesce(F.sum(F.when(~failed, n)), F.lit(0)).cast("long").alias("produced"), F.count_if(~failed & (n == 0)).alias("empty"), F.count_if(failed).alias("errors"))
+
+
+def show(row: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, value): the fields of one row that are not null, by name, as text."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("x")
+    return row.select(pairs).select("x.field", "x.value").filter("value is not null")
 
 
 def guardrail(signals: DataFrame, now: Column, days: int = 7, least: int = 3) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text, vector
+from mnemospark.operators import models
 
 #: Queries of a block: their vectors go to every task, a block at a time.
 QUERY_BLOCK = 2_000
@@ -86,25 +87,26 @@ def fuse(arms: list[DataFrame], k: int = 60) -> DataFrame:
     return both.groupBy("qid", "id").agg(F.round(F.sum(1 / (k + F.col("rank"))), 9).alias("score"))
 
 
-def rerank(hits: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Scores hits anew: the sigmoid of the share of the query's tokens that a row holds. A model's scorer can stand in."""
-    both = hits.select("qid", "id").join(queries.select("qid", F.col("content").alias("asked")), "qid").join(rows.select("id", "content"), "id")
-    q = F.array_distinct(text.tokens(F.col("asked")))
-    share = F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(q, text.tokens(F.col("content")))) / F.size(q))
-    return both.select("qid", "id", F.round(vector.sigmoid(share), 6).alias("score"))
+def rerank(hits: DataFrame, queries: DataFrame, rows: DataFrame, scorer: models.Scorer = models.token_overlap) -> DataFrame:
+    """Scores hits anew: the sigmoid of what the scorer makes of question and text; where it gives null, a hit sinks to the end in its old order."""
+    both = hits.join(queries.select("qid", F.col("content").alias("asked")), "qid").join(rows.select("id", "content"), "id")
+    score = F.round(vector.sigmoid(scorer(F.col("asked"), F.col("content"))), 6)
+    return both.select("qid", "id", F.coalesce(score, -F.col("rank").cast("double")).alias("score"))
 
 
-def search(spark: SparkSession, queries: DataFrame, rows: DataFrame, limit: int = 10, pool: int = 20, reranked: bool = True, tier: int = 1) -> DataFrame:
+def search(spark: SparkSession, queries: DataFrame, rows: DataFrame, limit: int = 10, pool: int = 20, reranked: bool = True, tier: int = 1, scorer: models.Scorer = models.token_overlap, embedder: models.Embedder | None = None) -> DataFrame:
     """Hybrid search of queries (qid, content, vec) over rows (id, content, vec) that are filtered already.
 
     Both arms go as deep as the pool that is re-ranked (or the limit), are fused, re-ranked, cut, and
-    show their text by tier.
+    show their text by tier. With an embedder the queries need no vectors.
     """
+    if embedder is not None:
+        queries = queries.withColumn("vec", embedder(F.col("content")))
     depth = max(pool, limit) if reranked else limit
     fused = fuse([dense_topk(spark, queries, rows, depth), sparse_topk(queries, rows, depth)])
     hits = best(fused, depth)
     if reranked:
-        hits = best(rerank(hits, queries, rows), limit)
+        hits = best(rerank(hits, queries, rows, scorer), limit)
     hits = hits.filter(F.col("rank") <= limit)
     return hits.join(rows.select("id", text.tier(F.col("content"), F.lit(tier)).alias("shown")), "id").select("qid", "id", "rank", "score", "shown")
 

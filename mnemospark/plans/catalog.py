@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import belief, ids, text, vector
-from mnemospark.operators import analytics, facts, memories, retrieval
+from mnemospark.operators import analytics, facts, memories, retrieval, revision
 from mnemospark.plans.views import NOW, Store, with_views
 from mnemospark.sources import readers, sinks
 
@@ -63,9 +63,9 @@ def fl9_visible_facts(s: Store) -> DataFrame:
     return s.chain.filter(facts.visible(F.col("status"), F.col("valid"))).select("event_id", "subject", "predicate", "object")
 
 
-@query(f"select event_id, subject, predicate, object from chain where valid and (status is null or status not in {HIDDEN}) and (list_has_all(regexp_extract_all(lower(subject), '([a-z0-9]+)', 1), ['user']))")
+@query(f"select event_id, subject, predicate, object from chain where valid and (status is null or status not in {HIDDEN}) and (predicate = 'purchase' or list_contains(regexp_extract_all(lower(subject), '([a-z0-9]+)', 1), 'purchase') or object = 'purchase')")
 def fg7_query_facts(s: Store) -> DataFrame:
-    return facts.matching(s.chain, "user_7").select("event_id", "subject", "predicate", "object")
+    return facts.matching(s.chain, "Purchase").select("event_id", "subject", "predicate", "object")
 
 
 @query(f"select event_id, object from chain where valid and (status is null or status not in {HIDDEN}) and subject = 'user_3' and predicate = 'view'")
@@ -227,13 +227,11 @@ def br11_confidence(s: Store) -> DataFrame:
     return _duel_inputs(s).select("seq", F.round(c, 6).alias("confidence"))
 
 
-@query("""with p as (select event_id, ((event_id * 7) % 100) / 100.0 as old, ((event_id * 13) % 100) / 100.0 as new, event_id % 2 = 0 as inside from events)
-select event_id, case when new - old < -0.2 and new < 0.3 then case when inside then 'none' else 'promote' end when inside and new - old > 0.2 then 'recover' else 'none' end as transition from p
-where abs(abs(new - old) - 0.2) > 0.001""")
+@query("""with p as (select event_id, ((event_id * 7) % 100) / 100.0::double as old, ((event_id * 13) % 100) / 100.0::double as new, event_id % 2 = 0 as inside from events)
+select event_id, case when new - old < -0.2::double and new < 0.3::double then case when inside then 'none' else 'promote' end when inside and new - old > 0.2::double then 'recover' else 'none' end as transition from p""")
 def br12_retest(s: Store) -> DataFrame:
     old, new = (F.col("event_id") * 7 % 100) / 100.0, (F.col("event_id") * 13 % 100) / 100.0
-    rows = s.events.filter(F.abs(F.abs(new - old) - 0.2) > 0.001)
-    return rows.select("event_id", belief.retest(old, new, F.col("event_id") % 2 == 0).alias("transition"))
+    return s.events.select("event_id", belief.retest(old, new, F.col("event_id") % 2 == 0).alias("transition"))
 
 
 @query("""with o as (select user_id, event_id, ts, event_type <> 'view' as drifted from events),
@@ -248,9 +246,7 @@ def br15_doubt_counter(s: Store) -> DataFrame:
 @query("""with e as (select label, i, avg(embedding[i]::double) as m from embeddings, range(1, 65) t(i) group by label, i), n as (select label, sqrt(sum(m * m)) as norm from e group by label)
 select e.label, e.i - 1 as pos, round(e.m / n.norm, 6) as x from e join n using (label)""")
 def br14_centroid(s: Store) -> DataFrame:
-    m = s.embeddings.select("label", F.posexplode("embedding").alias("pos", "v")).groupBy("label", "pos").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    n = m.groupBy("label").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm"))
-    return m.join(n, "label").select("label", F.col("pos").cast("long").alias("pos"), F.round(F.col("m") / F.col("norm"), 6).alias("x"))
+    return revision.centroid(s.embeddings, "label", "embedding", 64)
 
 
 @query("""with a as (select label, arg_min(embedding, vec_id) as v from embeddings group by label)
@@ -393,11 +389,22 @@ def wd12_quarantine_breakdown(s: Store) -> DataFrame:
 TOK = "list_filter(regexp_extract_all(lower({0}), '([\\p{{L}}\\p{{N}}]+)', 1), lambda t: length(t) >= 2)"
 
 
-@query(f"""with t as (select id, {TOK.format('content')} as toks, {TOK.format("(select text from documents where doc_id = 0)")} as seen from memories)
-select id, round(case when len(toks) = 0 then 1.0 else len(list_filter(toks, lambda t: not list_contains(seen, t))) / len(toks) end, 6) as novelty from t""")
+NEIGHBOURS = f"""with t as (select id, library, {TOK.format('content')} as toks from memories),
+nb as (select id, toks, lag(toks, 1) over w as a, lag(toks, 2) over w as b, lag(toks, 3) over w as c from t window w as (partition by library order by id)),
+nv as (select id, case when a is null then null when len(toks) = 0 then 1.0 else len(list_filter(toks, lambda x: not list_contains(a, x) and not coalesce(list_contains(b, x), false) and not coalesce(list_contains(c, x), false))) / len(toks) end as novelty from nb)"""
+
+
+def with_novelty(rows: DataFrame) -> DataFrame:
+    """Memories with the share of their tokens that the three before them in their library lack; null for a library's first."""
+    w = Window.partitionBy("library").orderBy("id")
+    near = [F.coalesce(F.lag(text.tokens(F.col("content")), k).over(w), F.array().cast("array<string>")) for k in (1, 2, 3)]
+    seen = rows.withColumn("__first", F.lag("id").over(w).isNull()).withColumn("__seen", F.array_distinct(F.concat(*near)))
+    return seen.withColumn("novelty", F.when(~F.col("__first"), text.novelty(text.tokens(F.col("content")), F.col("__seen")))).drop("__first", "__seen")
+
+
+@query(f"{NEIGHBOURS} select id, round(novelty, 6)::double as novelty from nv")
 def wd6_novelty(s: Store) -> DataFrame:
-    one = s.documents.filter("doc_id = 0").select(text.tokens(F.col("text")).alias("seen"))
-    return s.memories.join(F.broadcast(one)).select("id", F.round(text.novelty(text.tokens(F.col("content")), F.col("seen")), 6).alias("novelty"))
+    return with_novelty(s.memories).select("id", F.round("novelty", 6).alias("novelty"))
 
 
 @query("""with f as (select concat('d', doc_id) as name, text from documents where doc_id % 3 <> 0), o as (select concat('d', doc_id) as name, case when doc_id % 5 = 0 then concat(text, '!') else text end as text from documents where doc_id % 4 <> 0)
@@ -472,7 +479,7 @@ def rt9_fusion(s: Store) -> DataFrame:
     return retrieval.best(fused, 20).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-TIER1 = "case when length(content) <= 100 then content else concat(rtrim(case when regexp_matches(substr(content, 1, 100), '\\s') and length(regexp_extract(substr(content, 1, 100), '(?s)^(.*)\\s', 1)) >= 50 then regexp_extract(substr(content, 1, 100), '(?s)^(.*)\\s', 1) else substr(content, 1, 100) end), '...') end"
+TIER1 = "case when length(content) <= 100 then content else concat(regexp_replace(case when regexp_matches(substr(content, 1, 100), '\\s') and length(regexp_extract(substr(content, 1, 100), '(?s)^(.*)\\s', 1)) >= 50 then regexp_extract(substr(content, 1, 100), '(?s)^(.*)\\s', 1) else substr(content, 1, 100) end, '\\s+$', ''), '...') end"
 
 
 @query(f"{BASE}, top as (select *, row_number() over (partition by qid order by score desc, id) as rank from re) select qid, id, rank, score, {TIER1} as shown from top join m using (id) where rank <= 10")
@@ -548,9 +555,27 @@ def a11_latest_signals(s: Store) -> DataFrame:
     return analytics.latest_signals(s.signals).select("event_id", "memory_id", "signal_type", "source", "success")
 
 
-@query(f"{LATEST} select memory_id, round(sum(case signal_type when 'test_passed' then 1.0 when 'code_compiled' then 0.3 when 'user_confirmed' then 0.7 else 0.2 end * case when success then 1 else -0.5 end), 6)::double as score, count(*) as n from l group by 1")
+#: Confidences of some memories, by a rule.
+SCORES = "c as (select doc_id as id, (doc_id % 100) / 100.0::double as score from documents where doc_id % 3 <> 0)"
+
+
+def scores(s: Store) -> DataFrame:
+    return s.documents.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 100 / 100.0).alias("score"))
+
+
+def cited(s: Store) -> DataFrame:
+    """Signals whose citations name a memory as their source."""
+    return s.signals.withColumn("source", F.when(F.col("signal_type") == "cited_by", F.substring("source", 4, 9)).otherwise(F.col("source")))
+
+
+CITED = "sg as (select event_id, memory_id, signal_type, success, case when signal_type = 'cited_by' then substr(source, 4, 9) else source end as source, ts from signals)"
+
+
+@query(f"""with {SCORES}, {CITED}, l as (select * from (select *, row_number() over (partition by memory_id, signal_type, source order by ts desc, event_id) as k from sg) where k = 1)
+select memory_id, round(sum(case when signal_type = 'cited_by' and coalesce(c.score, 0) < 0.5 then 0.0 else case signal_type when 'test_passed' then 1.0 when 'code_compiled' then 0.3 when 'user_confirmed' then 0.7 else 0.2 end * case when success then 1 else -0.5 end end), 6)::double as score, count(*) as n
+from l left join c on l.signal_type = 'cited_by' and c.id::varchar = l.source group by 1""")
 def a10_typed_scores(s: Store) -> DataFrame:
-    return analytics.typed_scores(s.signals)
+    return analytics.typed_scores(cited(s), scores(s))
 
 
 @query("select memory_id, count(*) as failures from signals where signal_type = 'test_passed' and not success and ts >= $TS(1704067200) group by 1 having count(*) >= 3")

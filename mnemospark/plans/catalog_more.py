@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import belief, text, vector
-from mnemospark.operators import analytics, extraction, memories, retrieval
-from mnemospark.plans.catalog import BASE, HIDDEN, LATEST, TIER1, VISIBLE, _base, query, secs
+from mnemospark.operators import analytics, extraction, memories, retrieval, revision
+from mnemospark.plans.catalog import BASE, CITED, HIDDEN, SCORES, TIER1, VISIBLE, _base, cited, query, scores, secs
 from mnemospark.plans.views import NOW, Store
 
 
@@ -127,21 +127,20 @@ def a8_confirmations(s: Store) -> DataFrame:
     return s.procedures.filter("success_count > 0").select("id")
 
 
-@query(f"{LATEST} select memory_id, count(*) filter (success and signal_type in ('test_passed', 'code_compiled')) as successes, count(*) filter (not success and signal_type in ('test_passed', 'code_compiled')) as failures, bool_or(success and signal_type = 'test_passed') as verified from l group by 1")
+@query("""with f as (select * from (select *, row_number() over (partition by memory_id, signal_type, source order by ts, event_id) as k from signals) where k = 1 and signal_type in ('test_passed', 'code_compiled')),
+n as (select memory_id, count(*) filter (success) as s, count(*) filter (not success) as f from f group by 1)
+select id, success_count + coalesce(s, 0) as success_count, fail_count + coalesce(f, 0) as fail_count, verified or coalesce(s, 0) > 0 as verified from procedures left join n on n.memory_id = id""")
 def a13_outcome_counters(s: Store) -> DataFrame:
-    l = analytics.latest_signals(s.signals)  # noqa: E741
-    bump = F.col("signal_type").isin("test_passed", "code_compiled")
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    return l.groupBy("memory_id").agg(n(bump & F.col("success")).alias("successes"), n(bump & ~F.col("success")).alias("failures"), F.bool_or(F.col("success") & (F.col("signal_type") == "test_passed")).alias("verified"))
+    return analytics.bump_counters(s.procedures, s.signals).select("id", "success_count", "fail_count", "verified")
 
 
-@query("""with h as (select event_id % 400 as qid, event_id as id, event_id // 400 + 1 as rank from events where event_id < 4000), g as (select qid, qid + 400 * (qid % 12) as id, case when qid % 3 = 0 then 'compile' else 'test' end as stratum from (select distinct event_id % 400 as qid from events where event_id < 4000)),
-f as (select g.qid, g.stratum, h.rank from g left join h on h.qid = g.qid and h.id = g.id)
+@query("""with h as (select event_id // 10 as qid, event_id as id, event_id % 10 + 1 as rank from events), g as (select distinct event_id // 10 as qid from events),
+f as (select g.qid, case when g.qid % 3 = 0 then 'compile' else 'test' end as stratum, h.rank from g left join h on h.qid = g.qid and h.id = g.qid * 10 + g.qid % 13)
 select stratum, count(*) as queries, round(avg(case when rank <= 1 then 1.0 else 0.0 end), 6) as r1, round(avg(case when rank <= 5 then 1.0 else 0.0 end), 6) as r5, round(avg(case when rank <= 10 then 1.0 else 0.0 end), 6) as r10 from f group by grouping sets ((), (stratum))""")
 def a20_recall_by_stratum(s: Store) -> DataFrame:
-    hits = s.events.filter("event_id < 4000").select((F.col("event_id") % 400).alias("qid"), F.col("event_id").alias("id"), (F.floor(F.col("event_id") / 400) + 1).alias("rank"))
+    hits = s.events.select(F.floor(F.col("event_id") / 10).alias("qid"), F.col("event_id").alias("id"), (F.col("event_id") % 10 + 1).alias("rank"))
     qid = F.col("qid")
-    gold = hits.select("qid").distinct().select("qid", (qid + 400 * (qid % 12)).alias("id"), F.when(qid % 3 == 0, "compile").otherwise("test").alias("stratum"))
+    gold = hits.select("qid").distinct().select("qid", (qid * 10 + qid % 13).alias("id"), F.when(qid % 3 == 0, "compile").otherwise("test").alias("stratum"))
     return analytics.recall_at(hits, gold, by="stratum")
 
 
@@ -173,10 +172,9 @@ def a28_agents(s: Store) -> DataFrame:
 
 @query("select seq, round((1 - 1 / (1 + log2(1 + dependants))) * case when seq % 4 = 0 then 0.5 else 1 end, 6) as x from facts")
 def br16_doubt_multiplier(s: Store) -> DataFrame:
-    return s.facts.select("seq", F.round(belief.saturating(F.col("dependants")) * F.when(F.col("seq") % 4 == 0, 0.5).otherwise(1.0), 6).alias("x"))
+    return s.facts.select("seq", F.round(revision.doubted(belief.saturating(F.col("dependants")), F.col("seq") % 4 == 0), 6).alias("x"))
 
 
-@query("select e.event_id, coalesce(f.dependants, 0)::bigint as confidence from events e left join (select seq, dependants from facts) f on f.seq = e.event_id")
+@query(f"with {SCORES}, {CITED} select event_id, c.score as confidence from sg left join c on signal_type = 'cited_by' and c.id::varchar = sg.source")
 def br18_citing_confidence(s: Store) -> DataFrame:
-    f = s.facts.select(F.col("seq").alias("event_id"), "dependants")
-    return s.events.join(f, "event_id", "left").select("event_id", F.coalesce("dependants", F.lit(0)).cast("long").alias("confidence"))
+    return revision.citing(cited(s), scores(s)).select("event_id", F.col("citing").alias("confidence"))

@@ -11,19 +11,32 @@ from mnemospark.functions import ids, text
 CHUNK = 500
 
 
+def _ranges(sizes: list[int], most: int, carry: int):
+    """Which pieces go together: each range is filled until the next piece, a line end before it, would pass ``most``.
+
+    All but the first range begin with what is carried over, so their first piece may stand beyond it.
+    """
+    begin = filled = 0
+    for k, n in enumerate(sizes):
+        if filled and filled + 1 + n > most:
+            yield begin, k
+            begin, filled = k, min(carry, filled)
+        filled = filled + 1 + n if filled else n
+        if not filled:  # empty lines at the beginning carry nothing
+            begin = k + 1
+    yield begin, len(sizes)
+
+
 def chunks_of(s: str, most: int = CHUNK) -> list[str]:
-    """Lines packed to about ``most`` characters, longer lines cut, an eighth (32 at least) carried over."""
+    """Lines (cut at line ends alone) packed to about ``most`` characters; each chunk repeats the end of the one before, an eighth of ``most`` or 32."""
     if len(s) <= most:
         return [s]
-    carry = max(most // 8, 32)
-    units = [p for line in s.splitlines() for p in ([line] if len(line) <= most else [line[i : i + most] for i in range(0, len(line), most)])]
-    out, now = [], ""
-    for u in units:
-        if now and len(now) + len(u) + 1 > most:
-            out.append(now)
-            now = now[-carry:]
-        now = f"{now}\n{u}" if now else u
-    return [*out, now] if now.strip() else out
+    lines = [x.removesuffix("\r") for x in s.removesuffix("\n").split("\n")]
+    parts = [x[i : i + most] for x in lines for i in range(0, max(len(x), 1), most)]
+    carry, out = max(most // 8, 32), []
+    for a, b in _ranges([len(p) for p in parts], most, carry):
+        out.append("\n".join([out[-1][-carry:], *parts[a:b]] if out else parts[a:b]))
+    return out if out[-1].strip() else out[:-1]
 
 
 def chunks(c: Column) -> Column:
