@@ -73,6 +73,18 @@ def exact_duplicates(rows: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w)).withColumn("keep_id", F.first("id").over(w)).filter("place > 1").drop("place")
 
 
+def novelty(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """(id, novelty) of rows (id, content) that have neighbours (id, other): the share of their tokens that none of these holds; 1 without tokens.
+
+    Tokens are counted and joined as rows, so long texts cost what they hold and not its square.
+    """
+    said = rows.select("id", F.explode(text.tokens(F.col("content"))).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("c"))
+    seen = near.join(said.select(F.col("id").alias("other"), "token"), "other").select("id", "token", F.lit(True).alias("__seen")).distinct()
+    counted = said.join(seen, ["id", "token"], "left").groupBy("id").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("__seen").isNull(), F.col("c")).otherwise(0)).alias("new"))
+    asked = near.select("id").distinct().join(counted, "id", "left")
+    return asked.select("id", F.coalesce(F.col("new") / F.col("n"), F.lit(1.0)).alias("novelty"))
+
+
 def ingest_outcome(candidates: DataFrame, known: DataFrame) -> DataFrame:
     """reason and outcome of each candidate (id, content, source, tool) against what is stored (content, quarantined).
 

@@ -44,7 +44,7 @@ def opponents(existing: DataFrame, now: Column, by: tuple[str, ...] = ("subject"
     """Of each axis the most entrenched fact (dependants, confirmations, created_at, seq); of equal ones the first written."""
     age = F.greatest(F.timestamp_diff("DAY", F.col("created_at").cast("timestamp"), now), F.lit(0))
     e = belief.entrenchment(F.col("dependants"), F.col("confirmations"), age)
-    rows = existing.withColumn("entrenchment", e)
+    rows = existing.withColumn("entrenchment", F.round(e, 12))  # equal sums are ties, whatever their last bits
     w = Window.partitionBy(*by).orderBy(F.col("entrenchment").desc(), "seq")
     return rows.withColumn("__k", F.row_number().over(w)).filter("__k = 1").drop("__k")
 

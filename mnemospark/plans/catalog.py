@@ -397,9 +397,8 @@ nv as (select id, case when a is null then null when len(toks) = 0 then 1.0 else
 def with_novelty(rows: DataFrame) -> DataFrame:
     """Memories with the share of their tokens that the three before them in their library lack; null for a library's first."""
     w = Window.partitionBy("library").orderBy("id")
-    near = [F.coalesce(F.lag(text.tokens(F.col("content")), k).over(w), F.array().cast("array<string>")) for k in (1, 2, 3)]
-    seen = rows.withColumn("__first", F.lag("id").over(w).isNull()).withColumn("__seen", F.array_distinct(F.concat(*near)))
-    return seen.withColumn("novelty", F.when(~F.col("__first"), text.novelty(text.tokens(F.col("content")), F.col("__seen")))).drop("__first", "__seen")
+    near = rows.select("id", F.array(*[F.lag("id", k).over(w) for k in (1, 2, 3)]).alias("near")).select("id", F.explode("near").alias("other")).filter("other is not null")
+    return rows.join(memories.novelty(rows, near), "id", "left")
 
 
 @query(f"{NEIGHBOURS} select id, round(novelty, 6)::double as novelty from nv")
