@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.llm.blocks import block_counts, dealt
-from mnemospark.llm.common import Scratch, hinted, pieces, text_bytes
+from mnemospark.llm.common import Scratch, hinted, pieces, text_bytes, trim
 from mnemospark.llm.components import connected_components
 from mnemospark.llm.texthash import mix, shingle_sets
 
@@ -57,23 +57,30 @@ def frequent(spark: SparkSession, docs: DataFrame, k: int) -> tuple[np.ndarray,
         met: set[int] = set()
 
         def fold(values, counts, held, most):
-            v, inv = np.unique(np.concatenate([values, *held]), return_inverse=True)
-            c = np.bincount(inv, weights=np.concatenate([counts, np.ones(sum(map(len, held)))]), minlength=len(v)).astype(np.int64)
-            if len(v) > most:
-                keep = np.argpartition(-c, most)[:most]
-                v, c = v[keep], c[keep]
-            return v, c
+            """Sorted values and their counts with those held; what is held is counted first, so little is sorted beside the table."""
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            at = np.searchsorted(values, h)
+            known = at < len(values)
+            known[known] = values[at[known]] == h[known]
+            counts[at[known]] += n[known]
+            values, counts = np.r_[values, h[~known]], np.r_[counts, n[~known]]
+            keep = np.argpartition(-counts, most)[:most] if len(values) > most else np.arange(len(values))
+            keep = keep[np.argsort(values[keep], kind="stable")]
+            return values[keep], counts[keep]
 
         for b in pieces(batches, "text"):
             for s in sets_of(b, k):
                 if (key := hash(s.tobytes())) not in met:
                     met.add(key)
                     held.append(s)
-            if sum(map(len, held)) > 2_000_000:
+            if sum(map(len, held)) > 1_000_000:
                 (values, counts), held = fold(values, counts, held, 2_000_000), []
-        values, counts = fold(values, counts, held, LOCAL_MOST) if held else (values[:LOCAL_MOST], counts[:LOCAL_MOST])
+        values, counts = fold(values, counts, [*held, values[:0]], LOCAL_MOST)
+        held, met = [], set()
         keep = counts >= LOCAL_LEAST
-        yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep])], ["h", "n"])
+        values, counts = values[keep], counts[keep]
+        trim()
+        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["h", "n"])
 
     found = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     scratch = Scratch(spark, "frequent")
