@@ -36,15 +36,19 @@ _MARK = np.array([33 <= c < 127 and c != 39 and not chr(c).isalnum() for c in ra
 
 
 class Encoder:
-    """ids of texts as little-endian unsigned 32-bit bytes: those of a plain ``encode(text, add_special_tokens=False)``."""
+    """ids of texts as little-endian unsigned 32-bit bytes: those of a plain ``encode(text, add_special_tokens=False)``.
 
-    def __init__(self, path: str, keeps_space: bool) -> None:
+    ``ordinary``: the strings of special tokens are ordinary text, and texts begin with a blank of their own.
+    """
+
+    def __init__(self, path: str, keeps_space: bool, ordinary: bool = False) -> None:
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
-        self.keeps_space = keeps_space
+        self.tok.encode_special_tokens = ordinary
+        self.keeps_space, self.ordinary = keeps_space, ordinary
         # How the strings begin that the library takes for tokens of their own; texts that hold one are encoded whole.
-        self.added = sorted({t.content.encode()[:2] for t in self.tok.get_added_tokens_decoder().values() if t.content})
+        self.added = sorted({t.content.encode()[:2] for t in self.tok.get_added_tokens_decoder().values() if t.content and not (ordinary and t.special)})
         # What parts new words: a line end where blanks are kept, else a mark that is one token.
         marks = ["\n"] if keeps_space else "§¶©®™"
         self.mark, self.mark_id = next((c, ids[0]) for c in marks if len(ids := self.tok.encode(c, add_special_tokens=False).ids) == 1)
@@ -122,8 +126,12 @@ class Encoder:
             blank = _BLANK[raw]
             beside = np.zeros(len(raw), bool)
             full = offsets[1:] > offsets[:-1]
-            beside[offsets[:-1][full]] = beside[offsets[1:][full] - 1] = True
+            beside[offsets[1:][full] - 1] = True
+            if not self.ordinary:
+                beside[offsets[:-1][full]] = True
             beside[1:] |= blank[:-1]
+            if self.ordinary:  # the blank before a text is the only one at an end that may stand, and none is beside that of another text
+                beside[offsets[:-1][full]] = False
             odd[of(blank & beside)] = True
         return ~odd
 
@@ -210,12 +218,13 @@ class Encoder:
         return self.arrow(pa.array(texts, pa.string()))
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool, bool], Encoder] = {}
 
 
-def encoder(path: str, keeps_space: bool) -> Encoder:
+def encoder(path: str, keeps_space: bool, ordinary: bool = False) -> Encoder:
     """The worker's own, made once; one at a time, so that its memo is all a worker holds."""
-    if (path, keeps_space) not in _encoders:
+    key = (path, keeps_space, ordinary)
+    if key not in _encoders:
         _encoders.clear()
-        _encoders[path, keeps_space] = Encoder(path, keeps_space)
-    return _encoders[path, keeps_space]
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
