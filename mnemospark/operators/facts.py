@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import belief, text
+from mnemospark.operators import duels
 
 #: Statuses that a default read does not show.
 HIDDEN = ("stale", "propagation_shadowed", "quarantine_candidate", "superseded")
@@ -92,47 +92,20 @@ def top_dependants(facts: DataFrame, n: int) -> DataFrame:
 
 
 def duel_on_write(assertions: DataFrame, predicates: DataFrame, mode: str = "chat-only") -> DataFrame:
-    """Writes assertions one after another on each axis and says how each went: recorded, won, contested, quarantined.
+    """(event_id, subject, predicate, object, verdict, retired): how each write went, recorded, won, contested or quarantined, and which value it retired.
 
-    A challenger is live with one confirmation; the incumbent's entrenchment counts its dependants and
-    age. The order within an axis matters, so an axis (subject, predicate) is folded in one group;
-    axes of multi predicates need no fold and never enter it. The fold keeps one incumbent.
+    Writes on axes of many values are recorded without a fold.
     """
-    from math import log2
-
-    w_new = belief.MODES[mode][1] * log2(2)
     rows = registered(assertions, predicates)
-    free = rows.filter("cardinality = 'multi'").select("event_id", "subject", "predicate", "object", F.lit("recorded").alias("verdict"), F.lit("active").alias("status"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["created_at", "event_id"])
-        verdicts, statuses, now = [], [], None
-        lost = "superseded" if pdf["cardinality"].iloc[0] == "temporal-single" else "stale"
-        for k, (obj, deps, created) in enumerate(zip(pdf["object"], pdf["dependants"], pdf["created_at"], strict=True)):
-            if now is None or obj == now[1]:
-                if now is None:
-                    now = (k, obj, deps, created)
-                verdicts.append("recorded")
-                statuses.append("active")
-                continue
-            age = max((created - now[3]).days, 0)
-            old = (log2(1 + max(now[2], 0)) + log2(1 + min(age / 30, 24))) / 50
-            if w_new > belief.FLIP * old:
-                statuses[now[0]] = lost
-                now = (k, obj, deps, created)
-                verdicts.append("won")
-                statuses.append("active")
-            elif w_new > belief.CONTEST * old:
-                verdicts.append("contested")
-                statuses.append("contested")
-            else:
-                verdicts.append("quarantined")
-                statuses.append("quarantine_candidate")
-        return pdf[["event_id", "subject", "predicate", "object"]].assign(verdict=verdicts, status=statuses)
-
-    axis = rows.filter("cardinality <> 'multi'").select("event_id", "subject", "predicate", "object", "dependants", F.col("created_at").cast("timestamp").alias("created_at"), "cardinality")
-    out = axis.groupBy("subject", "predicate").applyInPandas(fold, "event_id long, subject string, predicate string, object string, verdict string, status string")
-    return free.unionByName(out)
+    cols = ["event_id", "subject", "predicate", "object", "verdict", "retired"]
+    free = rows.filter("cardinality = 'multi'").select("event_id", "subject", "predicate", "object", F.lit("recorded").alias("verdict"), F.lit(None).cast("string").alias("retired"))
+    return free.unionByName(duels.folded(rows.filter("cardinality <> 'multi'"), mode).filter("event_id is not null").select(*cols))
+
+
+def duelled_facts(assertions: DataFrame, predicates: DataFrame, mode: str = "chat-only") -> DataFrame:
+    """(subject, predicate, object, status, created_at, valid_until) of one-value axes after all writes."""
+    rows = registered(assertions, predicates).filter("cardinality <> 'multi'")
+    return duels.folded(rows, mode).filter("event_id is null").select("subject", "predicate", "object", "status", "created_at", "valid_until")
 
 
 def walk(spark: SparkSession, edges: DataFrame, start: str, hops: int) -> DataFrame:

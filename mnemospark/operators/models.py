@@ -22,7 +22,7 @@ def buckets(c: Column, size: int) -> Column:
     return F.transform(text.tokens(c), lambda t: (F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % size))
 
 
-def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
     """f of a column that is computed once, however often f names it: it is a lambda's variable."""
     return F.transform(F.array(c), f)[0]
 
@@ -30,7 +30,7 @@ def _once(c: Column, f: Callable[[Column], Column]) -> Column:
 def normalised(v: Column) -> Column:
     """A vector of length one; a zero vector stays."""
     norm = lambda w: F.sqrt(F.aggregate(w, F.lit(0.0), lambda a, x: a + x * x))
-    return _once(v, lambda w: _once(norm(w), lambda n: F.when(n > 0, F.transform(w, lambda x: x / n)).otherwise(w)))
+    return once(v, lambda w: once(norm(w), lambda n: F.when(n > 0, F.transform(w, lambda x: x / n)).otherwise(w)))
 
 
 def hashing(size: int = 64, prefix: str = "") -> Embedder:
@@ -39,7 +39,7 @@ def hashing(size: int = 64, prefix: str = "") -> Embedder:
     def embed(c: Column) -> Column:
         places = F.sequence(F.lit(0), F.lit(size - 1))
         counts = lambda b: F.transform(places, lambda k: F.size(F.filter(b, lambda x: x == k)).cast("double"))
-        return normalised(_once(buckets(F.concat(F.lit(prefix), c) if prefix else c, size), counts))
+        return normalised(once(buckets(F.concat(F.lit(prefix), c) if prefix else c, size), counts))
 
     return embed
 
@@ -51,7 +51,7 @@ def pooled(states: Column, mask: Column, how: str = "mean") -> Column:
     zero = F.transform(states[0], lambda _: F.lit(0.0))
     kept = F.transform(F.filter(F.arrays_zip(states.alias("s"), mask.alias("m")), lambda x: x["m"] > 0), lambda x: x["s"])
     total = lambda k: F.aggregate(k, zero, lambda a, v: F.zip_with(a, v, lambda p, q: p + q))
-    return normalised(_once(kept, lambda k: _once(F.greatest(F.size(k), F.lit(1)), lambda n: F.transform(total(k), lambda x: x / n))))
+    return normalised(once(kept, lambda k: once(F.greatest(F.size(k), F.lit(1)), lambda n: F.transform(total(k), lambda x: x / n))))
 
 
 def embed(rows: DataFrame, embedder: Embedder, stamp: str, content: str = "content") -> DataFrame:

@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text, vector
-from mnemospark.operators import models
-
-#: Queries of a block: their vectors go to every task, a block at a time.
-QUERY_BLOCK = 2_000
+from mnemospark.operators import models, sparse, vectors
 
 
 def postings(rows: DataFrame, key: str, content: str) -> DataFrame:
     """(key, term, tf): a row's terms with their counts. The shuffle is pre-aggregated."""
-    return rows.select(key, F.explode(text.tokens(F.col(content))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def idf(posted: DataFrame, n: Column) -> DataFrame:
-    """(term, idf) with the smoothed logarithm of rarity; n is the number of rows."""
-    return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    return sparse.terms(rows, key, content).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def best(hits: DataFrame, k: int, by: str = "score") -> DataFrame:
@@ -32,51 +22,12 @@ def best(hits: DataFrame, k: int, by: str = "score") -> DataFrame:
 
 def sparse_topk(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """(qid, id, score, rank): tf of the query times tf of the row times idf, over rows (id, content)."""
-    posted = postings(rows, "id", "content")
-    asked = postings(queries, "qid", "content").withColumnRenamed("tf", "tq")
-    # Only the queries' terms count: the rows' postings are cut to them before they are counted and joined.
-    posted = posted.join(asked.select("term").distinct(), "term", "left_semi")
-    n = rows.agg(F.count(F.lit(1))).first()[0]
-    weights = idf(posted, F.lit(n))
-    hits = posted.join(weights, "term").join(asked, "term")
-    return best(hits.groupBy("qid", "id").agg(F.round(F.sum(F.col("tq") * F.col("tf") * F.col("idf")), 6).alias("score")), k)
+    return sparse.SparseIndex(rows.sparkSession, queries, rows).topk(k)
 
 
 def dense_topk(spark: SparkSession, queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score, rank): exact cosine neighbours of unit vectors over rows (id, vec), by blocks of queries.
-
-    A block's matrix is sent out; each task multiplies its rows by it and keeps its k best, so k rows
-    a query and task are shuffled however many there are. Rows without a vector or of another size
-    are left out.
-    """
-    out, block = None, []
-    asked = queries.filter("vec is not null").select("qid", "vec").orderBy("qid").toLocalIterator()
-    while True:
-        block = [(r["qid"], np.array(r["vec"], float)) for _, r in zip(range(QUERY_BLOCK), asked)]
-        if not block and out is not None:
-            return best(out, k)
-        shared = spark.sparkContext.broadcast(([q for q, _ in block], np.stack([v for _, v in block]) if block else np.zeros((0, 0))))
-
-        def run(batches, shared=shared):
-            qids, q = shared.value
-            ids = scores = None
-            for b in batches:
-                v = [x if x is not None and len(x) == q.shape[1] else None for x in b.column("vec").to_numpy(zero_copy_only=False)]
-                some = [i for i, x in enumerate(v) if x is not None]
-                if not some or not len(qids):
-                    continue
-                s = np.round(q @ np.stack([v[i] for i in some]).astype(float).T, 6)
-                i = np.broadcast_to(b.column("id").to_numpy()[some], s.shape)
-                ids, scores = (i, s) if ids is None else (np.concatenate([ids, i], 1), np.concatenate([scores, s], 1))
-                if ids.shape[1] > k:
-                    keep = np.lexsort((ids, -scores), axis=1)[:, :k]
-                    ids, scores = np.take_along_axis(ids, keep, 1), np.take_along_axis(scores, keep, 1)
-            if ids is not None:
-                n = ids.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(ids.ravel()), pa.array(scores.ravel())], ["qid", "id", "score"])
-
-        found = rows.select("id", "vec").mapInArrow(run, "qid long, id long, score double")
-        out = found if out is None else out.unionByName(found)
+    """(qid, id, score, rank): exact cosine neighbours of unit vectors over rows (id, vec). Rows without a vector or of another size are left out."""
+    return vectors.Index(spark, rows).topk(queries, k)
 
 
 def fuse(arms: list[DataFrame], k: int = 60) -> DataFrame:
@@ -112,29 +63,8 @@ def search(spark: SparkSession, queries: DataFrame, rows: DataFrame, limit: int
 
 
 def near_pairs(rows: DataFrame, least: float, block: int = 512) -> DataFrame:
-    """(a, b, score), a < b: pairs of unit vectors with a dot product of at least ``least``, exactly, by blocks.
-
-    Rows (id, vec) are dealt to row blocks by hash; every two blocks meet in one task, which multiplies them.
-    """
-    n = max(1, -(-rows.count() // block))
-    own = F.pmod(F.xxhash64("id"), F.lit(n))
-    dealt = rows.filter("vec is not null").select("id", "vec", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
-    dealt = dealt.select("id", "vec", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def run(pdf):
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        x, y = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
-        if not len(x) or not len(y):
-            return pdf.iloc[:0][["id"]].assign(b=0, score=0.0).rename(columns={"id": "a"})
-        s = np.round(np.stack(x["vec"]).astype(float) @ np.stack(y["vec"]).astype(float).T, 6)
-        p, q = np.nonzero(s >= least)
-        a, b = x["id"].to_numpy()[p], y["id"].to_numpy()[q]
-        keep = a < b if i == j else np.ones(len(a), bool)
-        import pandas as pd
-
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "score": s[p, q][keep]})
-
-    return dealt.groupBy("i", "j").applyInPandas(run, "a long, b long, score double")
+    """(a, b, score), a < b: all pairs of unit vectors (id, vec) with a dot product of at least ``least``; a cell holds about ``block`` rows."""
+    return vectors.Index(rows.sparkSession, rows, cell_rows=block).within(least)
 
 
 def merge_near(pairs: DataFrame, rows: DataFrame) -> DataFrame:

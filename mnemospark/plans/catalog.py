@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import belief, ids, text, vector
-from mnemospark.operators import analytics, facts, memories, retrieval, revision
+from mnemospark.operators import analytics, facts, graph, ingest, memories, models, retrieval, revision, temporal, vectors
 from mnemospark.plans.views import NOW, Store, with_views
 from mnemospark.sources import readers, sinks
 
@@ -58,6 +58,16 @@ def fg9_as_of(s: Store) -> DataFrame:
     return facts.as_of(s.chain, F.timestamp_seconds(F.lit(1_705_276_800))).select("subject", "predicate", "object", secs("created_at").alias("created_s"))
 
 
+@query("""
+with c as (select subject, predicate, object, event_id as fact_id, valid, status, valid_until, case when event_id % 97 = 0 then null else created_at end as created_at from chain)
+select a.event_id, c.fact_id, c.predicate, c.object from (select event_id, concat('user_', cast(user_id as string)) as subject, ts from events) a
+join c on c.subject = a.subject and (c.created_at is null or c.created_at <= a.ts) and (c.valid_until is null or a.ts < c.valid_until) where c.valid and (c.status is null or c.status in ('active', 'superseded', 'stale'))""".replace("as string", "as varchar"))
+def fl13_as_of_many(s: Store) -> DataFrame:
+    known = s.chain.withColumn("created_at", F.when(F.col("event_id") % 97 != 0, F.col("created_at"))).withColumnRenamed("event_id", "fact_id")
+    asked = s.events.select("event_id", F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("subject"), F.col("ts").alias("at"))
+    return temporal.as_of_join(asked, known).select("event_id", "fact_id", "predicate", "object")
+
+
 @query(f"select event_id, subject, predicate, object from chain where valid and (status is null or status not in {HIDDEN})")
 def fl9_visible_facts(s: Store) -> DataFrame:
     return s.chain.filter(facts.visible(F.col("status"), F.col("valid"))).select("event_id", "subject", "predicate", "object")
@@ -90,27 +100,38 @@ def fg4_conflicts(s: Store) -> DataFrame:
     return facts.conflicts(s.facts, s.predicates).select("subject", "predicate", "cardinality", "n_objects")
 
 
-@query("""
+AXES = """
 with recursive axis as (
-  select a.event_id, a.subject, a.predicate, a.object, a.dependants, a.created_at, p.cardinality,
+  select a.event_id, a.subject, a.predicate, a.object, a.dependants, epoch(a.created_at) as moment, case p.cardinality when 'temporal-single' then 'superseded' else 'stale' end as lost,
          row_number() over (partition by a.subject, a.predicate order by a.created_at, a.event_id) as k
   from assertions a join predicates p using (predicate)),
-fold as (
-  select subject, predicate, k, event_id, object, cast('recorded' as varchar) as verdict, object as top, dependants as deps, created_at as since from axis where k = 1
+duel as (
+  select subject, predicate, 0::bigint as k, 0::bigint as event_id, '' as object, '' as verdict, null::varchar as retired,
+         []::struct(o varchar, c double, d integer, s varchar, u double)[] as st from axis where k = 1
   union all
-  select a.subject, a.predicate, a.k, a.event_id, a.object,
-         case when a.object = f.top then 'recorded'
-              when 0.1 > 1.5 * ((log2(1 + greatest(f.deps, 0)) + log2(1 + least(greatest(floor((epoch(a.created_at) - epoch(f.since)) / 86400), 0) / 30, 24))) / 50) then 'won'
-              when 0.1 > 0.5 * ((log2(1 + greatest(f.deps, 0)) + log2(1 + least(greatest(floor((epoch(a.created_at) - epoch(f.since)) / 86400), 0) / 30, 24))) / 50) then 'contested'
-              else 'quarantined' end,
-         case when a.object <> f.top and 0.1 > 1.5 * ((log2(1 + greatest(f.deps, 0)) + log2(1 + least(greatest(floor((epoch(a.created_at) - epoch(f.since)) / 86400), 0) / 30, 24))) / 50) then a.object else f.top end,
-         case when a.object <> f.top and 0.1 > 1.5 * ((log2(1 + greatest(f.deps, 0)) + log2(1 + least(greatest(floor((epoch(a.created_at) - epoch(f.since)) / 86400), 0) / 30, 24))) / 50) then a.dependants else f.deps end,
-         case when a.object <> f.top and 0.1 > 1.5 * ((log2(1 + greatest(f.deps, 0)) + log2(1 + least(greatest(floor((epoch(a.created_at) - epoch(f.since)) / 86400), 0) / 30, 24))) / 50) then a.created_at else f.since end
-  from fold f join axis a on a.subject = f.subject and a.predicate = f.predicate and a.k = f.k + 1)
-select event_id, subject, predicate, object, verdict from fold
-union all select event_id, subject, predicate, object, 'recorded' from assertions where predicate not in (select predicate from predicates)""")
+  select subject, predicate, k, event_id, object, verdict, case when verdict = 'won' then best.o end,
+         list_transform(list_append(list_filter(st, lambda x: x.o <> object),
+             {'o': object, 'c': coalesce(mine[1].c, moment), 'd': dependants,
+              's': case verdict when 'contested' then 'contested' when 'quarantined' then 'quarantine_candidate' else 'active' end, 'u': null::double}),
+           lambda x: case when verdict = 'won' and x.o = best.o then {'o': x.o, 'c': x.c, 'd': x.d, 's': lost, 'u': moment} else x end)
+  from (select *, case when not clash then 'recorded' when 0.1 > 1.5 * -best.e then 'won' when 0.1 > 0.5 * -best.e then 'contested' else 'quarantined' end as verdict
+        from (select *, list_sort(list_transform(seen, lambda x: {'e': -(log2(1 + greatest(x.d, 0)) + log2(1 + least(greatest(floor((moment - x.c) / 86400), 0) / 30, 24))) / 50, 'c': x.c, 'o': x.o}))[1] as best,
+                     len(list_filter(seen, lambda x: x.o <> object)) > 0 as clash
+              from (select a.*, f.st, list_filter(f.st, lambda x: x.o = a.object) as mine, list_filter(f.st, lambda x: x.s in ('active', 'contested')) as seen from duel f join axis a on a.subject = f.subject and a.predicate = f.predicate and a.k = f.k + 1))))"""
+
+
+@query(f"""{AXES}
+select event_id, subject, predicate, object, verdict, retired from duel where k > 0
+union all select event_id, subject, predicate, object, 'recorded', null from assertions where predicate not in (select predicate from predicates)""")
 def fg5_duel_on_write(s: Store) -> DataFrame:
-    return facts.duel_on_write(s.assertions, s.predicates).select("event_id", "subject", "predicate", "object", "verdict")
+    return facts.duel_on_write(s.assertions, s.predicates).select("event_id", "subject", "predicate", "object", "verdict", "retired")
+
+
+@query(f"""{AXES},
+ends as (select subject, predicate, unnest(st) as x from (select *, row_number() over (partition by subject, predicate order by k desc) as place from duel) where place = 1)
+select subject, predicate, x.o as object, x.s as status, floor(x.c)::bigint as created_s, floor(x.u)::bigint as until_s from ends""")
+def fg5_duelled_facts(s: Store) -> DataFrame:
+    return facts.duelled_facts(s.assertions, s.predicates).select("subject", "predicate", "object", "status", secs("created_at").alias("created_s"), secs("valid_until").alias("until_s"))
 
 
 @query("""
@@ -121,6 +142,44 @@ def fg10_walk(s: Store) -> DataFrame:
     return facts.walk(s.spark, s.edges, "africa", 2).select("entity", "depth")
 
 
+@query("""
+with recursive arcs as (select subject, predicate, object from edges union all select object, concat('of_', predicate), subject from edges),
+w as (select 'africa' as a, 0 as depth union select lower(trim(e.object)), w.depth + 1 from w join arcs e on lower(trim(e.subject)) = w.a where w.depth < 2),
+d as (select a, min(depth) as depth from w group by a)
+select d.depth + 1 as depth, e.subject, e.predicate, e.object from arcs e join d on lower(trim(e.subject)) = d.a""")
+def fg10_walk_edges(s: Store) -> DataFrame:
+    back = s.edges.select(F.col("object").alias("subject"), F.concat(F.lit("of_"), "predicate").alias("predicate"), F.col("subject").alias("object"))
+    return graph.walk_edges(s.spark, s.edges.unionByName(back), " africa", 3)
+
+
+#: Facts whose objects are the first two words of each passage, beside the others.
+OPENINGS = "f as (select subject, object, predicate, true as valid from facts union all select concat('item_', item_id), concat_ws(' ', regexp_extract(text, '([\\p{L}]+)\\s+([\\p{L}]+)', 1), regexp_extract(text, '([\\p{L}]+)\\s+([\\p{L}]+)', 2)), 'opens', item_id % 7 <> 0 from benchmark)"
+BRAIN = f"""with {OPENINGS}, e as (select distinct unnest([subject, object]) as name from f where valid),
+m as (select *, row_number() over (partition by library order by created_at desc nulls last, id) as k from memories where {VISIBLE} and library is not null and not starts_with(library, '_'))"""
+
+
+def _brain(s: Store) -> tuple[DataFrame, DataFrame]:
+    pair = r"([\p{L}]+)\s+([\p{L}]+)"
+    opens = s.benchmark.select(
+        F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("subject"), F.lit("opens").alias("predicate"),
+        F.concat_ws(" ", F.regexp_extract("text", pair, 1), F.regexp_extract("text", pair, 2)).alias("object"), (F.col("item_id") % 7 != 0).alias("valid"),
+    )
+    known = s.facts.select("subject", "predicate", "object", F.lit(True).alias("valid")).unionByName(opens)
+    return graph.brain(s.spark, known, s.memories, memories.visible(), None)
+
+
+@query(f"{BRAIN} select name as id, name as label, 'entity' as kind from e union all select distinct concat('lib:', library), library, 'library' from m union all select concat('mem:', id), substr(content, 1, 80), 'memory' from m")
+def fg15_brain_nodes(s: Store) -> DataFrame:
+    return _brain(s)[0]
+
+
+@query(f"""{BRAIN} select subject as source, object as target, predicate as label, 'fact' as kind from f where valid
+union all select concat('lib:', library), concat('mem:', id), 'holds', 'holds' from m
+union all select concat('mem:', m.id), e.name, 'mentions', 'mention' from m join e on octet_length(encode(e.name)) >= 4 and contains(lower(m.content), lower(e.name))""")
+def fg15_brain_edges(s: Store) -> DataFrame:
+    return _brain(s)[1]
+
+
 @query("select subject, predicate, object, dependants, seq from facts order by dependants desc, seq limit 20")
 def fg11_top_dependants(s: Store) -> DataFrame:
     return facts.top_dependants(s.facts, 20).select("subject", "predicate", "object", "dependants", "seq")
@@ -389,21 +448,28 @@ def wd12_quarantine_breakdown(s: Store) -> DataFrame:
 TOK = "list_filter(regexp_extract_all(lower({0}), '([\\p{{L}}\\p{{N}}]+)', 1), lambda t: length(t) >= 2)"
 
 
-NEIGHBOURS = f"""with t as (select id, library, {TOK.format('content')} as toks from memories),
-nb as (select id, toks, lag(toks, 1) over w as a, lag(toks, 2) over w as b, lag(toks, 3) over w as c from t window w as (partition by library order by id)),
-nv as (select id, case when a is null then null when len(toks) = 0 then 1.0 else len(list_filter(toks, lambda x: not list_contains(a, x) and not coalesce(list_contains(b, x), false) and not coalesce(list_contains(c, x), false))) / len(toks) end as novelty from nb)"""
+#: Memories by hashed tokens: their vectors, and of each those before it in its library, nearest first; ``pts`` says what is there and from which place on.
+VECTORS = f"""tk as (select id, unnest({TOK.format('content')}) as tok from memories), bk as (select id, ('0x' || substr(md5(tok), 1, 4))::int % 64 as pos, count(*) as n from tk group by 1, 2),
+zs as (select id, sqrt(sum(n * n)) as norm from bk group by 1),
+vv as (select m.id, list(coalesce(bk.n / zs.norm, 0.0)::double order by p.pos) as vec from memories m cross join (select unnest(range(64)) as pos) p left join bk on bk.id = m.id and bk.pos = p.pos left join zs on zs.id = m.id where trim(coalesce(content, '')) <> '' group by 1)"""
+NEAREST = f"""tok as (select id, {TOK.format('content')} as toks from memories),
+pt as (select library, pid, vid, place from (select *, row_number() over (partition by library, trim(content) order by place, pid) as k from pts where content is not null) where k = 1),
+nn as (select id, vid, score, rank from (select c.id, p.vid, round(list_dot_product(x.vec, y.vec), 6) as score, row_number() over (partition by c.id order by round(list_dot_product(x.vec, y.vec), 6) desc, p.pid) as rank
+       from asked c join vv x using (id) join pt p on p.library is not distinct from c.library and p.place < c.id join vv y on y.id = p.vid) where rank <= 3),
+seen as (select distinct nn.id, unnest(t.toks) as term from nn join tok t on t.id = nn.vid),
+own as (select id, unnest(toks) as term from tok where id in (select id from nn)),
+fresh as (select own.id, avg(case when seen.term is null then 1.0 else 0.0 end) as share from own left join seen on seen.id = own.id and seen.term = own.term group by 1),
+nv as (select nn.id, nn.score, coalesce(share, 1.0) as novelty from nn left join fresh using (id) where rank = 1)"""
 
 
-def with_novelty(rows: DataFrame) -> DataFrame:
-    """Memories with the share of their tokens that the three before them in their library lack; null for a library's first."""
-    w = Window.partitionBy("library").orderBy("id")
-    near = rows.select("id", F.array(*[F.lag("id", k).over(w) for k in (1, 2, 3)]).alias("near")).select("id", F.explode("near").alias("other")).filter("other is not null")
-    return rows.join(memories.novelty(rows, near), "id", "left")
+def hashed(rows: DataFrame) -> DataFrame:
+    return models.embed(rows, models.hashing(64), "hashing-64")
 
 
-@query(f"{NEIGHBOURS} select id, round(novelty, 6)::double as novelty from nv")
+@query(f"with {VECTORS}, asked as (select id, library from memories), pts as (select library, content, id as pid, id as vid, id as place from memories), {NEAREST} select m.id, round(novelty, 6)::double as novelty, score from memories m left join nv using (id)")
 def wd6_novelty(s: Store) -> DataFrame:
-    return with_novelty(s.memories).select("id", F.round("novelty", 6).alias("novelty"))
+    rows = hashed(s.memories.select("id", "library", "content"))
+    return ingest.novelty(s.spark, rows, rows.limit(0)).select("id", F.round("novelty", 6).alias("novelty"), "score")
 
 
 @query("""with f as (select concat('d', doc_id) as name, text from documents where doc_id % 3 <> 0), o as (select concat('d', doc_id) as name, case when doc_id % 5 = 0 then concat(text, '!') else text end as text from documents where doc_id % 4 <> 0)
@@ -514,6 +580,27 @@ def wd16_merge_near(s: Store) -> DataFrame:
     return retrieval.merge_near(pairs, rows)
 
 
+MERGE = """with v as (select m.id, m.library, length(m.content) as n, coalesce($S(m.created_at), 253402214400) as at, e.embedding::double[] as vec from memories m join embeddings e on e.vec_id = m.id % (select count(*) from embeddings) where m.content is not null),
+l as (select x.id, first(y.id order by y.n desc, y.at, y.id) as winner from v x join v y on x.library = y.library and x.id <> y.id and round(list_dot_product(x.vec, y.vec), 6) >= 0.95
+      where (-y.n, y.at, y.id) < (-x.n, x.at, x.id) group by 1)
+select id, winner from l"""
+
+
+def _with_vectors(s: Store) -> DataFrame:
+    n = s.embeddings.count()
+    return s.memories.filter("content is not null").withColumn("vec_id", F.col("id") % n).join(s.embeddings.select("vec_id", F.col("embedding").alias("vec")), "vec_id")
+
+
+@query(MERGE)
+def wd16_merged_exact(s: Store) -> DataFrame:
+    return vectors.merged(s.spark, _with_vectors(s), 0.95, exact=True)
+
+
+@query(MERGE)
+def wd16_merged_bands(s: Store) -> DataFrame:
+    return vectors.merged(s.spark, _with_vectors(s), 0.95)
+
+
 @query("""with n as (select e.vec_id as qid, f.vec_id as id, round(list_dot_product(e.embedding::double[], f.embedding::double[]), 6) as score from embeddings e, embeddings f where e.vec_id % 20 = 0 and e.vec_id <> f.vec_id)
 select qid, id, score, rank from (select *, row_number() over (partition by qid order by score desc, id) as rank from n) where rank <= 5""")
 def rt17_neighbours_by_id(s: Store) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text
-from mnemospark.operators import analytics, extraction, facts, lifecycle, memories, models, revision
-from mnemospark.plans.catalog import CITED, ENT, GATE, HIDDEN, NEIGHBOURS, SAT, SCORES, SECRET, TOK, cited, now, query, scores, secs, tool, with_novelty
+from mnemospark.operators import analytics, extraction, facts, ingest, lifecycle, memories, models, revision
+from mnemospark.plans.catalog import CITED, ENT, GATE, HIDDEN, NEAREST, SAT, SCORES, SECRET, TOK, VECTORS, cited, hashed, now, query, scores, secs, tool
 from mnemospark.plans.views import NOW, Store
 
 
@@ -123,33 +123,44 @@ def sc17_profile(s: Store) -> DataFrame:
 # --- ingest in full
 
 
-INGEST = f"""{GATE}, {NEIGHBOURS.removeprefix("with ")}, known as (select library, trim(content) as t, bool_or(not quarantined) as live, bool_or(quarantined) as held from memories where id in (select id from access_log) group by 1, 2),
-c as (select m.id, m.library, trim(m.content) as t, case when type = 'procedure' then 'procedure' when m.id % 5 = 0 then 'fact' else 'memory' end as kind, {SECRET} as secret,
- coalesce(r.reason, case when novelty < 0.3::double then 'low_novelty' end) as why, (m.id * 37 % 100) / 100.0::double as score from memories m join (select id, reason from r) r using (id) join (select id, novelty from nv) nv using (id)),
-j as (select c.*, coalesce(known.live, false) as live, coalesce(known.held, false) as held, row_number() over (partition by kind, c.library, c.t order by id) as nth from c left join known on known.library = c.library and known.t = c.t),
-o as (select id, why, live, score, case when kind = 'fact' then case when secret is not null then 'skipped_secret' else 'stored_facts' end
- when kind = 'procedure' then case when coalesce(t, '') = '' then 'empty' else 'stored_procedures' end
- when secret is not null then 'skipped_secret' when why is not null and held then 'promoted' when why is not null and live then 'reasserted' when why is not null then 'quarantined'
- when score >= 0.95::double or nth > 1 then 'skipped_dup' else 'stored_memories' end as outcome from j)"""
+INGEST = f"""{GATE.replace('with g as', 'with recursive g as', 1)}, {VECTORS},
+cand as (select m.id, m.library, m.content, m.source as cause, case when type = 'procedure' then 'procedure' when m.id % 5 = 0 then 'fact' else 'memory' end as kind, {SECRET.replace('content', 'm.content')} as secret, r.reason from memories m join (select id, reason from r) r using (id)),
+old as (select id, library, content, quarantined from memories where id in (select id from access_log)),
+asked as (select id, library from cand where kind = 'memory' and secret is null),
+pts as (select library, content, -1 - id as pid, id as vid, -1 as place from old union all select library, content, id, id, id from cand where kind = 'memory' and secret is null), {NEAREST},
+said as (select c.id, coalesce(c.library, '') as lib, trim(coalesce(c.content, '')) as t, coalesce(c.reason, case when novelty < 0.3::double then 'low_novelty' end) as why, coalesce(score >= 0.95::double, false) as close,
+         row_number() over (partition by coalesce(c.library, ''), trim(coalesce(c.content, '')) order by c.id) as k from cand c left join nv using (id) where kind = 'memory' and secret is null),
+known as (select coalesce(library, '') as lib, trim(coalesce(content, '')) as t, case when bool_or(not quarantined) then 'live' else 'held' end as state from old group by 1, 2),
+fold as (select lib, t, 0::bigint as k, null::bigint as id, '' as outcome, null::varchar as why, null::varchar as held, coalesce(known.state, 'none') as state from (select distinct lib, t from said) left join known using (lib, t)
+  union all
+  select s.lib, s.t, s.k, s.id, case when s.why is not null then case f.state when 'held' then 'promoted' when 'live' then 'reasserted' else 'quarantined' end when s.close then 'skipped_dup' else 'stored_memories' end, s.why,
+         case when s.why is not null and f.state = 'none' then s.why when s.why is null and s.close and f.state <> 'live' then 'near_dup_drop' end,
+         case when s.why is not null then case f.state when 'none' then 'held' else 'live' end when s.close then case f.state when 'live' then 'live' else 'held' end else 'live' end
+  from fold f join said s on s.lib = f.lib and s.t = f.t and s.k = f.k + 1),
+o as (select id, 'memory' as kind, outcome, why as reason, held from fold where k > 0
+  union all select id, kind, case when kind = 'fact' then case when secret is not null then 'skipped_secret' else 'stored_facts' end
+    when kind = 'procedure' then case when trim(coalesce(cause, '')) = '' or trim(coalesce(content, '')) = '' then 'empty' else 'stored_procedures' end else 'skipped_secret' end, null, null
+  from cand where kind <> 'memory' or secret is not null)"""
 
 
 def _ingested(s: Store) -> DataFrame:
     kind = F.when(F.col("type") == "procedure", "procedure").when(F.col("id") % 5 == 0, "fact").otherwise("memory")
-    c = with_novelty(s.memories).select(
-        "id", "library", "content", "novelty", kind.alias("kind"), (F.col("id") * 37 % 100 / 100.0).alias("score"),
+    rows = hashed(s.memories)
+    c = rows.select(
+        "id", "library", "content", "vec", kind.alias("kind"), F.col("source").alias("trigger"),
         text.gate_reason(F.col("content"), F.col("source"), tool()).alias("reason"), text.secret_reason(F.col("content")).alias("secret"),
     )
-    return lifecycle.ingest(c, s.memories.join(s.access_log.select("id"), "id", "left_semi").select("library", "content", "quarantined"))
+    return ingest.run(s.spark, c, rows.join(s.access_log.select("id"), "id", "left_semi").select("id", "library", "content", "vec", "quarantined"))
 
 
-@query(f"{INGEST} select id, outcome, case when outcome = 'skipped_dup' and score >= 0.95::double and not live then 'near_dup_drop' when outcome = 'quarantined' then why end as held from o")
+@query(f"{INGEST} select id, kind, outcome, reason, held from o")
 def wd7_ingest_outcomes(s: Store) -> DataFrame:
-    return _ingested(s).select("id", "outcome", "held")
+    return _ingested(s)
 
 
-@query(f"{INGEST} select count(*) as considered, " + ", ".join(f"count(*) filter (outcome = '{c}') as {c}" for c in lifecycle.COUNTERS) + " from o")
+@query(f"{INGEST} select count(*) as considered, " + ", ".join(f"count(*) filter (outcome = '{c}') as {c}" for c in ingest.COUNTERS) + " from o")
 def wd8_ingest_counters(s: Store) -> DataFrame:
-    return lifecycle.ingest_report(_ingested(s))
+    return ingest.report(_ingested(s))
 
 
 # --- belief revision

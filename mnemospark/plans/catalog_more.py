@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import belief, text, vector
 from mnemospark.operators import analytics, extraction, memories, retrieval, revision
-from mnemospark.plans.catalog import BASE, CITED, HIDDEN, SCORES, TIER1, VISIBLE, _base, cited, query, scores, secs
+from mnemospark.plans.catalog import BASE, CITED, HIDDEN, SCORES, TIER1, TOK, VISIBLE, _base, cited, query, scores, secs
 from mnemospark.plans.views import NOW, Store
 
 
@@ -78,7 +78,7 @@ def rt15_nearest_score(s: Store) -> DataFrame:
     return retrieval.dense_topk(s.spark, q, m, 1).select("qid", "score")
 
 
-@query(f"{BASE}, n as (select d.qid, list_distinct(flatten(list(list_filter(regexp_extract_all(lower(m.content), '([\\p{{L}}\\p{{N}}]+)', 1), lambda t: length(t) >= 2)))) as seen from dense d join m using (id) where rank <= 3 group by 1),\nt as (select q.qid, n.seen, list_filter(regexp_extract_all(lower(q.content), '([\\p{{L}}\\p{{N}}]+)', 1), lambda t: length(t) >= 2) as toks from q join n using (qid))\nselect qid, round(case when len(toks) = 0 then 1.0 else len(list_filter(toks, lambda t: not list_contains(seen, t))) / len(toks) end, 6) as novelty from t")
+@query(f"{BASE}, seen as (select distinct d.qid, unnest({TOK.format('m.content')}) as term from dense d join m using (id) where rank <= 3),\nasked as (select qid, unnest({TOK.format('content')}) as term from q),\nnew as (select a.qid, avg(case when s.term is null then 1.0 else 0.0 end) as share from asked a left join seen s on s.qid = a.qid and s.term = a.term group by 1)\nselect q.qid, round(coalesce(share, 1.0), 6) as novelty from q left join new using (qid)")
 def rt16_neighbour_novelty(s: Store) -> DataFrame:
     m, q = _base(s)
     near = retrieval.dense_topk(s.spark, q, m, 3).join(m.select("id", "content"), "id")

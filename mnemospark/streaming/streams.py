@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from mnemospark.functions import belief
+from mnemospark.operators import duels as fold
 
 
 def pulses(audit: DataFrame) -> DataFrame:
@@ -76,27 +76,6 @@ def doubt_counters(observations: DataFrame, least: int = 5) -> DataFrame:
     return observations.groupBy("key").applyInPandasWithState(fold, "key string, seq long, counter int, inside boolean", "n int", "append", GroupStateTimeout.NoTimeout)
 
 
-def duels(assertions: DataFrame, mode: str = "chat-only") -> DataFrame:
-    """(event_id, subject, predicate, object, verdict) for writes on one-value axes; state is the incumbent of each axis."""
-    from math import log2
-
-    w_new = belief.MODES[mode][1]
-
-    def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs)).sort_values(["created_at", "event_id"])
-        now, verdicts = tuple(state.get) if state.exists else None, []
-        for obj, deps, created in zip(pdf["object"], pdf["dependants"], pdf["created_at"], strict=True):
-            at = float(pd.Timestamp(created).timestamp())
-            if now is None or now[0] == obj:
-                now = now or (obj, int(deps), at)
-                verdicts.append("recorded")
-                continue
-            old = (log2(1 + max(now[1], 0)) + log2(1 + min(max(int((at - now[2]) // 86400), 0) / 30, 24))) / 50
-            verdicts.append("won" if w_new > belief.FLIP * old else "contested" if w_new > belief.CONTEST * old else "quarantined")
-            if verdicts[-1] == "won":
-                now = (obj, int(deps), at)
-        state.update(now)
-        yield pdf[["event_id", "subject", "predicate", "object"]].assign(verdict=verdicts)
-
-    out = "event_id long, subject string, predicate string, object string, verdict string"
-    return assertions.groupBy("subject", "predicate").applyInPandasWithState(fold, out, "object string, dependants int, at double", "append", GroupStateTimeout.NoTimeout)
+def duels(assertions: DataFrame, mode: str = "chat-only", ttl: str = "365 days") -> DataFrame:
+    """(event_id, subject, predicate, object, verdict, retired) for writes on one-value axes, which carry their cardinality."""
+    return fold.streamed(assertions, mode, ttl)
