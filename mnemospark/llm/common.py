@@ -52,8 +52,8 @@ class Scratch:
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(_delete, spark, self.path)
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("error").parquet(f"{self.path}/{name}")
+    def put(self, df: DataFrame, name: str, **options: int) -> DataFrame:
+        df.write.mode("error").options(**options).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str) -> None:

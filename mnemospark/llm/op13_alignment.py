@@ -29,7 +29,10 @@ from mnemospark.llm.common import BROADCAST_ROWS, Scratch, hinted, pieces
 from mnemospark.llm.tokens import BYTES, encoder
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-_TOKENS = "row long, doc_id long, a array<int>, a_ends array<int>, b array<int>, b_ends array<int>"
+_COLUMNS = ("a", "a_size", "a_ends", "b", "b_size", "b_ends")
+_TOKENS = "row long, doc_id long, " + ", ".join(f"{c} array<int>" for c in _COLUMNS)
+#: Bytes of a dictionary of pairs in a written table: enough for those of a task, so that a link takes about two bytes there.
+DICTIONARY = 8 << 20
 #: Steps of a doubling in the histogram of counts.
 STEPS = 16
 
@@ -70,7 +73,7 @@ def _lists(ids: list[np.ndarray]) -> pa.Array:
 
 
 def tokenised(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, a, a_ends, b, b_ends): ids and byte ends over blank+text; no tokens where either's bytes differ from it."""
+    """(row, doc_id, a, a_size, a_ends, b, b_size, b_ends): ids, bytes and byte ends over blank+text; no tokens where either's bytes differ from it."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
@@ -81,13 +84,14 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
             raw = [t.encode() for t in spaced]
             a = [np.frombuffer(x, "<u4").astype(np.int32) for x in enc.arrow(pa.array(spaced, pa.string()))]
             bb = [np.array(x, np.int32) for x in sp.encode(texts, num_threads=1)]
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list[np.ndarray]] = [[] for _ in _COLUMNS]
             for text, whole, x, y in zip(texts, raw, a, bb, strict=True):
                 if not text or a_bytes.of(x) != whole or b_bytes.of(y) != whole:
                     x = y = np.zeros(0, np.int32)
-                for k, v in enumerate((x, np.cumsum(a_bytes.size[x], dtype=np.int32), y, np.cumsum(b_bytes.size[y], dtype=np.int32))):
+                m, n = a_bytes.size[x], b_bytes.size[y]
+                for k, v in enumerate((x, m, np.cumsum(m, dtype=np.int32), y, n, np.cumsum(n, dtype=np.int32))):
                     out[k].append(v)
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), *map(_lists, out)], ["row", "doc_id", "a", "a_ends", "b", "b_ends"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), *map(_lists, out)], ["row", "doc_id", *_COLUMNS])
 
     return rows.mapInArrow(run, _TOKENS)
 
@@ -97,46 +101,42 @@ def let(c: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(c), then)[0]
 
 
-def _owners(ends: Column) -> Column:
-    """For each byte the index of its token."""
-    return F.flatten(F.transform(ends, lambda e, i: F.array_repeat(i, e - F.when(i == 0, 0).otherwise(ends[i - 1]))))
-
-
 def linked(tokens: DataFrame) -> DataFrame:
-    """(row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, la, lb): la and lb are the ids of each link."""
-    text = lambda ids: F.array_join(ids.cast("array<string>"), ",")
+    """(row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs): a link's pair is its A id times 2**32 plus its B id."""
+    owner = lambda size: F.flatten(F.transform(size, lambda n, i: F.array_repeat(i, n)))
+
+    def part(names: Column, last: Column, before: Column) -> Column:
+        """The ids after ``before`` up to ``last`` as text; mostly one. (A slice would read the whole array for each group.)"""
+        several = F.array_join(F.transform(F.sequence(before + 1, last), lambda i: names[i]), ",")
+        return F.when(last - before == 1, names[last]).otherwise(several)
 
-    def part(ids: Column, owner: Column, cuts: Column, g: Column) -> Column:
-        """The ids of group g."""
-        start = F.when(g == 0, 0).otherwise(owner[cuts[g - 1] - 1] + 1)
-        return F.slice(ids, start + 1, owner[cuts[g] - 1] - start + 1)
+    def grouped(g: Column) -> Column:
+        """The groups as one text; a and b hold -1 and then the indices of the groups' last tokens."""
+        one = lambda k: F.concat(part(g["sa"], g["a"][k], g["a"][k - 1]), F.lit("|"), part(g["sb"], g["b"][k], g["b"][k - 1]))
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.size(g["a"]) - 1), one), ";")
 
     def made(o: Column) -> Column:
-        """Of owners of bytes: the groups as one text, the links' ids."""
-        cuts, ends = o["cuts"], o["ends"]
-        groups = F.transform(F.sequence(F.lit(0), F.size(cuts) - 1), lambda g: F.concat(text(part(F.col("a"), o["a"], cuts, g)), F.lit("|"), text(part(F.col("b"), o["b"], cuts, g))))
+        """Of the owners of all bytes and the common ends."""
+        lasts = lambda side: F.concat(F.array(F.lit(-1)), F.transform(o["cuts"], lambda e: o[side][e - 1]))
+        names = F.struct(lasts("a").alias("a"), lasts("b").alias("b"), F.col("a").cast("array<string>").alias("sa"), F.col("b").cast("array<string>").alias("sb"))
+        pair = lambda e: F.shiftleft(F.col("a")[o["a"][e - 1]].cast("long"), 32).bitwiseOR(F.col("b")[o["b"][e - 1]].cast("long"))
         return F.struct(
-            F.size(cuts).alias("n_groups"), F.sha2(F.array_join(groups, ";").cast("binary"), 256).alias("sha"),
-            F.transform(ends, lambda e: F.col("a")[o["a"][e - 1]]).alias("la"), F.transform(ends, lambda e: F.col("b")[o["b"][e - 1]]).alias("lb"),
+            F.size(o["cuts"]).alias("n_groups"), F.sha2(let(names, grouped).cast("binary"), 256).alias("sha"),
+            F.transform(F.sort_array(F.array_union("a_ends", "b_ends")), pair).alias("pairs"),
         )
 
-    both = F.struct(
-        _owners(F.col("a_ends")).alias("a"), _owners(F.col("b_ends")).alias("b"),
-        F.array_intersect("a_ends", "b_ends").alias("cuts"), F.sort_array(F.array_union("a_ends", "b_ends")).alias("ends"),
-    )
-    out = tokens.withColumn("x", F.when(F.size("a") > 0, let(both, made)))
-    none = F.array().cast("array<int>")
-    la = F.coalesce("x.la", none)
+    owners = F.struct(owner("a_size").alias("a"), owner("b_size").alias("b"), F.array_intersect("a_ends", "b_ends").alias("cuts"))
+    out = tokens.withColumn("x", F.when(F.size("a") > 0, let(owners, made)))
+    pairs = F.coalesce("x.pairs", F.array().cast("array<long>"))
     return out.select(
-        "row", "doc_id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"),
-        F.coalesce("x.n_groups", F.lit(0)).cast("long").alias("n_groups"), F.aggregate(la, F.lit(0).cast("long"), lambda t, _: t + 1).alias("n_links"),
-        F.coalesce("x.sha", F.lit("")).alias("groups_sha256"), la.alias("la"), F.coalesce("x.lb", none).alias("lb"),
+        "row", "doc_id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.coalesce("x.n_groups", F.lit(0)).cast("long").alias("n_groups"),
+        F.size(pairs).cast("long").alias("n_links"), F.coalesce("x.sha", F.lit("")).alias("groups_sha256"), pairs.alias("pairs"),
     )
 
 
 def pair_counts(spark: SparkSession, links: DataFrame, scratch: Scratch) -> tuple[DataFrame, float]:
     """(pair, n, best): in how many documents a pair of ids is linked, whether that is its A id's highest; and the count from which on pairs are few enough to be sent out."""
-    pairs = links.select(F.explode(F.array_distinct(_pairs())).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    pairs = links.select(F.explode(F.array_distinct("pairs")).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
     pairs = scratch.put(pairs, "pairs")
     first = F.shiftright("pair", 32)
     top = hinted(pairs.groupBy(first.alias("a")).agg(F.max("n").alias("most")))
@@ -152,22 +152,18 @@ def pair_counts(spark: SparkSession, links: DataFrame, scratch: Scratch) -> tupl
     return pairs, least
 
 
-def _pairs() -> Column:
-    return F.transform("la", lambda a, i: F.shiftleft(a.cast("long"), 32) + F.col("lb")[i])
-
-
 def align(spark: SparkSession, docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     scratch = Scratch(spark, "alignment")
-    links = scratch.put(linked(tokenised(docs, a_path, b_path, id_col, text_col)), "links")
+    links = scratch.put(linked(tokenised(docs, a_path, b_path, id_col, text_col)), "links", **{"parquet.dictionary.page.size": DICTIONARY})
     pairs, least = pair_counts(spark, links, scratch)
     frequent = F.floor(F.log2("n") * STEPS) >= least
     hot, cold = F.broadcast(pairs.filter(frequent)), pairs.filter(~frequent)
-    each = links.select("row", F.explode(_pairs()).alias("pair"))
+    each = links.select("row", F.explode("pairs").alias("pair"))
     sums = lambda df: df.groupBy("row").agg(F.sum("n").alias("count_sum"), F.sum(F.col("best").cast("long")).alias("n_best"))
     found = sums(each.join(hot, "pair")).unionByName(sums(each.join(hot.select("pair"), "pair", "left_anti").join(cold, "pair")))
     found = found.groupBy("row").agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best"))
-    out = links.drop("la", "lb").join(found, "row", "left")
+    out = links.drop("pairs").join(found, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
 
