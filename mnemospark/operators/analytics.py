@@ -42,8 +42,10 @@ def bump_counters(stored: DataFrame, signals: DataFrame) -> DataFrame:
 def learn(procedures: DataFrame, new: DataFrame) -> DataFrame:
     """Procedures (id, trigger_error, fix, success_count, fail_count, verified) with new ones (id, trigger_error, fix, verified).
 
-    A known id takes the new text and keeps its counts; ``verified`` latches. A new id begins at none.
+    A known id takes the new text and keeps its counts; ``verified`` latches. A new id begins at none. Of an id that comes
+    several times the greatest text counts, and it is verified if any of them is.
     """
+    new = new.groupBy("id").agg(F.max(F.struct("trigger_error", "fix")).alias("t"), F.max(F.coalesce("verified", F.lit(False))).alias("verified")).select("id", "t.trigger_error", "t.fix", "verified")
     old = procedures.select("id", F.col("success_count").alias("__s"), F.col("fail_count").alias("__f"), F.col("verified").alias("__v"))
     n = new.join(old, "id", "left").select("id", "trigger_error", "fix", F.coalesce("__s", F.lit(0)).alias("success_count"), F.coalesce("__f", F.lit(0)).alias("fail_count"), (F.coalesce("verified", F.lit(False)) | F.coalesce("__v", F.lit(False))).alias("verified"))
     return procedures.join(new.select("id"), "id", "left_anti").select(*n.columns).unionByName(n)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemospark.functions import ids as ids_of
+from mnemospark.functions import text
 from mnemospark.operators.memories import flag
 
 BLOCK_BYTES, BLOCKS = 4096, 32
@@ -39,27 +41,34 @@ def restore(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def edit(rows: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
-    """A changed text (id, new_id, new_content) is a new memory: it takes the old one's place, library, author and source."""
-    c = changes.select("id", "new_id", "new_content")
-    new = rows.join(c, "id").withColumns({"id": F.col("new_id"), "content": F.col("new_content"), "created_at": now}).select(*rows.columns)
-    return delete(rows, c).unionByName(new)
+    """A changed text (id, new_id, new_content) is a new memory: it takes the old one's place, library, author and source.
+
+    Ids name contents, so a new id that is stored already is overwritten, and of several changes that lead to one id that
+    of the smallest old id counts.
+    """
+    c = changes.select("id", "new_id", "new_content").join(rows.select("id").distinct(), "id", "left_semi")
+    one = c.groupBy("new_id").agg(F.min(F.struct("id", "new_content")).alias("c")).select("c.id", "new_id", "c.new_content")
+    new = rows.dropDuplicates(["id"]).join(one, "id").withColumns({"id": F.col("new_id"), "content": F.col("new_content"), "created_at": now}).select(*rows.columns)
+    return delete(delete(rows, c), one.select(F.col("new_id").alias("id"))).unionByName(new)
 
 
-def quarantine_key(library: Column, content: Column) -> Column:
-    """Names a held-back text: the same text of a library is held once."""
-    return F.sha2(F.concat_ws("\0", library, F.trim(content)), 256)
+def memory_id(library: Column, content: Column) -> Column:
+    """The id of a text in its library, held back or live."""
+    return ids_of.uuid5(ids_of.MEMORY, library, F.trim(content))
 
 
 def add_quarantined(held: DataFrame, new: DataFrame, now: Column) -> DataFrame:
-    """Held-back texts (key, library, content, source, reason, created_at) with new ones (library, content, source, reason).
+    """Held-back texts (id, library, content, source, reason, created_at) with new ones (library, content, source, reason).
 
-    A text is held whole, never in chunks; what is held already keeps its date and takes the new reason.
+    A text is held whole, never in chunks, under the id that it would have as a live memory, so that promoting it meets it.
+    Blank texts and secrets are not held at all. What is held already keeps its date and takes the new reason.
     """
-    n = new.withColumn("key", quarantine_key(F.col("library"), F.col("content")))
-    n = n.groupBy("key").agg(*[F.min(c).alias(c) for c in ("library", "content", "source", "reason")]).withColumn("created_at", now)
-    old = held.select("key", F.col("created_at").alias("__at"))
-    n = n.join(old, "key", "left").withColumn("created_at", F.coalesce("__at", "created_at")).drop("__at")
-    return held.join(n.select("key"), "key", "left_anti").unionByName(n.select(*held.columns))
+    n = new.filter((F.trim(F.coalesce("content", F.lit(""))) != "") & text.secret_reason(F.col("content")).isNull())
+    n = n.withColumn("content", F.trim("content")).withColumn("id", memory_id(F.col("library"), F.col("content")))
+    n = n.groupBy("id").agg(*[F.min(c).alias(c) for c in ("library", "content", "source", "reason")]).withColumn("created_at", now)
+    old = held.select("id", F.col("created_at").alias("__at"))
+    n = n.join(old, "id", "left").withColumn("created_at", F.coalesce("__at", "created_at")).drop("__at")
+    return held.join(n.select("id"), "id", "left_anti").unionByName(n.select(*held.columns))
 
 
 def promote(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,11 +116,12 @@ def _top(rows: DataFrame, section: str, n: int, order: list[Column], line: Colum
 
 
 def briefing(turns: DataFrame, facts: DataFrame, memories: DataFrame, blocks: DataFrame, visible: Column, lines: int = 10, newest: int = 20) -> DataFrame:
-    """What an agent is told first (section, place, line): the end of the last session, the newest facts of which the visible
-    ones are shown, counts by library, quarantine by reason, and pinned blocks.
+    """What an agent is told first (section, place, line): the rule with the libraries to search, the end of the last session,
+    the newest facts of which the ``visible`` ones are shown, counts by library, quarantine by reason, totals, and pinned blocks.
 
     turns (conv_id, turn, role, text); facts (seq, subject, predicate, object, created_at and what ``visible`` names);
-    memories (library, quarantined, reason); blocks (name, content).
+    memories (library, quarantined, reason); blocks (name, content). Libraries that begin with an underscore and ``default``
+    are not named in the rule.
     """
     last = turns.agg(F.max("conv_id").alias("conv_id"))
     said = turns.join(F.broadcast(last), "conv_id")
@@ -121,53 +131,24 @@ def briefing(turns: DataFrame, facts: DataFrame, memories: DataFrame, blocks: Da
     for section, rows, by in (("libraries", memories, "library"), ("quarantine", memories.filter(flag("quarantined")), "reason")):
         n = rows.groupBy(F.coalesce(by, F.lit("other")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
         out = out.unionByName(_top(n, section, 1000, [F.col("n").desc(), F.col("k")], F.concat_ws(": ", "k", F.col("n").cast("string"))))
+    named = memories.select("library").distinct().filter(~F.col("library").startswith("_") & (F.col("library") != "default"))
+    listed = named.agg(F.array_join(F.array_sort(F.collect_set("library")), ", ").alias("l"))  # a name a library
+    rule = F.when(F.col("l") == "", "search this store before acting").otherwise(F.concat(F.lit("search this store before acting on "), "l"))
+    out = out.unionByName(listed.select(F.lit("rule").alias("section"), F.lit(1).cast("long").alias("place"), rule.alias("line")))
+    for k, (name, rows) in enumerate((("facts", facts), ("quarantined", memories.filter(flag("quarantined")))), 1):
+        total = rows.agg(F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(total.select(F.lit("totals").alias("section"), F.lit(k).cast("long").alias("place"), F.concat_ws(": ", F.lit(name), F.col("n").cast("string")).alias("line")))
     return out.unionByName(_top(blocks, "blocks", BLOCKS, [F.col("name")], F.concat_ws(": ", "name", "content")))
 
 
+def told(status: Column, valid: Column) -> Column:
+    """Facts that a briefing shows: valid ones but for stale and superseded; contested and candidate ones are told."""
+    return F.coalesce(valid, F.lit(False)) & ~F.coalesce(status.isin("stale", "superseded"), F.lit(False))
+
+
 def profile(blocks: DataFrame, facts: DataFrame, procedures: DataFrame, n_facts: int = 40, n_procedures: int = 15) -> DataFrame:
     """Instructions for an agent (section, place, line): blocks, the first facts, and what was verified, most successes first."""
     out = _top(blocks, "blocks", BLOCKS, [F.col("name")], F.concat_ws(": ", "name", "content"))
     out = out.unionByName(_top(facts, "facts", n_facts, [F.col("seq")], F.concat_ws(" ", "subject", "predicate", "object")))
     good = procedures.filter(flag("verified"))
     return out.unionByName(_top(good, "procedures", n_procedures, [F.col("success_count").desc(), F.col("id")], F.concat_ws(" -> ", "trigger_error", "fix")))
-
-
-def ingest(candidates: DataFrame, known: DataFrame, confine: bool = False, least_novel: float = 0.30, near: float = 0.95) -> DataFrame:
-    """The outcome of each candidate of a batch against what is stored, one of the report's counters.
-
-    candidates: id, kind (memory, fact, procedure), library, content, reason (of the write gate, or null), secret (or null),
-    novelty (share of tokens that its neighbours lack; null without neighbours), score (of the nearest neighbour, or null).
-    For a fact ``content`` is its object, for a procedure its fix. known: library, content, quarantined.
-
-    Secrets are skipped. A memory that the gate or its novelty refuses is promoted if it lies in quarantine, reasserted if it is
-    live, else quarantined; of what is accepted, near duplicates are skipped (and held, if not live: ``held`` is their reason)
-    and the rest stored. Within a batch the first of equal texts is judged; later ones count as skipped duplicates.
-    """
-    state = known.groupBy("library", F.trim("content").alias("__t")).agg(F.max(~flag("quarantined")).alias("__live"), F.max(flag("quarantined")).alias("__held"))
-    c = candidates.withColumn("__t", F.trim("content")).join(state, ["library", "__t"], "left")
-    live, held = F.coalesce("__live", F.lit(False)), F.coalesce("__held", F.lit(False))
-    reason = F.coalesce("reason", F.when(F.col("novelty") < least_novel, "low_novelty"))
-    first = F.row_number().over(Window.partitionBy("kind", "library", F.sha2("__t", 256)).orderBy("id")) == 1
-    close = F.coalesce(F.col("score") >= near, F.lit(False))
-    memory = (
-        F.when(F.col("secret").isNotNull(), "skipped_secret")
-        .when(reason.isNotNull() & held, "promoted")
-        .when(reason.isNotNull() & live, "reasserted")
-        .when(reason.isNotNull(), "quarantined")
-        .when(close | ~first, "skipped_dup")
-        .otherwise("stored_memories")
-    )
-    other = lambda kind: F.lit(f"skipped_scope_{kind}") if confine else F.lit(f"stored_{kind}")
-    fact = F.when(F.lit(confine), other("facts")).when(F.col("secret").isNotNull(), "skipped_secret").otherwise(other("facts"))
-    procedure = F.when(F.lit(confine), other("procedures")).when(F.trim(F.coalesce("content", F.lit(""))) == "", "empty").otherwise(other("procedures"))
-    outcome = F.when(F.col("kind") == "fact", fact).when(F.col("kind") == "procedure", procedure).otherwise(memory)
-    out = c.withColumn("outcome", outcome).withColumn("reason", F.when(F.col("kind") == "memory", reason))
-    return out.withColumn("held", F.when((F.col("outcome") == "skipped_dup") & close & ~live, "near_dup_drop").when(F.col("outcome") == "quarantined", F.col("reason"))).drop("__t", "__live", "__held")
-
-
-COUNTERS = ("stored_memories", "stored_facts", "stored_procedures", "skipped_dup", "skipped_secret", "quarantined", "promoted", "reasserted", "skipped_scope_facts", "skipped_scope_procedures")
-
-
-def ingest_report(outcomes: DataFrame) -> DataFrame:
-    """One row of eleven counters."""
-    return outcomes.agg(F.count(F.lit(1)).alias("considered"), *[F.count_if(F.col("outcome") == c).alias(c) for c in COUNTERS])

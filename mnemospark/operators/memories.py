@@ -34,9 +34,11 @@ def selected(libraries: tuple[str, ...] = (), author: str | None = None, source:
     return c
 
 
-def parse_bound(c: Column) -> Column:
-    """A date-time with zone, or a bare date as midnight UTC; null for anything else."""
-    return F.coalesce(F.try_to_timestamp(F.when(c.rlike("T"), c)), F.try_to_timestamp(F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c), F.lit("yyyy-MM-dd")))
+def parse_bound(c: Column, strict: bool = False) -> Column:
+    """A date-time with zone, or a bare date as midnight UTC; null for anything else, or, if strict, an error that names it."""
+    found = F.coalesce(F.try_to_timestamp(F.when(c.rlike("T"), c)), F.try_to_timestamp(F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c), F.lit("yyyy-MM-dd")))
+    bad = F.concat(F.lit("invalid date '"), c, F.lit("': expected 2026-06-09T12:00:00Z or 2026-06-09"))
+    return F.when(c.isNotNull() & found.isNull(), F.raise_error(bad).cast("timestamp")).otherwise(found) if strict else found
 
 
 def newest(rows: DataFrame, n: int, key: str = "id") -> DataFrame:

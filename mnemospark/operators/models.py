@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text
@@ -70,6 +70,52 @@ def reindex(rows: DataFrame, embedder: Embedder, stamp: str) -> DataFrame:
     return embed(rows.drop("vec", "embed_model"), embedder, stamp)
 
 
+class Reindex:
+    """Rows embedded anew, part by part, into a table that takes the old one's place when all parts are there.
+
+    Parts are hashes of the key. One that is finished has its marker and is not made again, so a run that was stopped goes
+    on where it was; until the swap, readers see the old table.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, embedder: Embedder, stamp: str, key: str = "id", parts: int = 16) -> None:
+        self.spark, self.path, self.embedder, self.stamp, self.key, self.parts = spark, path.rstrip("/"), embedder, stamp, key, parts
+        self.current, self.fresh, self.backup = (f"{self.path}/{x}" for x in ("current", "fresh", "backup"))
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def finished(self) -> list[int]:
+        out = []
+        for k in range(self.parts):
+            fs, p = self._fs(f"{self.fresh}/part={k}/_SUCCESS")
+            if fs.exists(p):
+                out.append(k)
+        return out
+
+    def run(self, most: int | None = None) -> int:
+        """Makes the parts that are missing, ``most`` of them at most; gives how many it made."""
+        rows = self.spark.read.parquet(self.current)
+        left = [k for k in range(self.parts) if k not in self.finished()][:most]
+        for k in left:
+            part = rows.filter(F.pmod(F.xxhash64(self.key), F.lit(self.parts)) == k)
+            reindex(part, self.embedder, self.stamp).write.mode("overwrite").parquet(f"{self.fresh}/part={k}")
+        return len(left)
+
+    def swap(self) -> None:
+        """Puts the new table in the place of the old one, which stays as a backup; refuses while parts are missing."""
+        if len(self.finished()) < self.parts:
+            raise ValueError("parts are missing")
+        for source, target in ((self.current, self.backup), (self.fresh, self.current)):
+            fs, p = self._fs(target)
+            if target == self.backup and fs.exists(p):
+                fs.delete(p, True)
+            fs.rename(self._fs(source)[1], p)
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.parquet(self.current).drop("part")
+
+
 def token_overlap(asked: Column, content: Column) -> Column:
     """The share of a question's tokens that a text holds."""
     q = F.array_distinct(text.tokens(asked))

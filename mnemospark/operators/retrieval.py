@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text, vector
-from mnemospark.operators import models, sparse, vectors
+from mnemospark.operators import lifecycle, models, sparse, vectors
+from mnemospark.sources.shared import Tables
 
 
 def postings(rows: DataFrame, key: str, content: str) -> DataFrame:
@@ -62,6 +63,28 @@ def search(spark: SparkSession, queries: DataFrame, rows: DataFrame, limit: int
     return hits.join(rows.select("id", text.tier(F.col("content"), F.lit(tier)).alias("shown")), "id").select("qid", "id", "rank", "score", "shown")
 
 
+def search_and_record(spark: SparkSession, queries: DataFrame, rows: DataFrame, log: DataFrame, now: Column, **how) -> tuple[DataFrame, DataFrame]:
+    """What ``search`` shows, written once, and the access log (id, uses, last_access) after it: a use for each row that was shown."""
+    shown = Tables(spark, "search").put(search(spark, queries, rows, **how), "shown")
+    return shown, lifecycle.record_access(log, shown.select("id", now.alias("at")))
+
+
+def recall_procedures(spark: SparkSession, queries: DataFrame, procedures: DataFrame, stats: DataFrame, limit: int = 5) -> DataFrame:
+    """(qid, id, rank, score, fix, verified, success_count, fail_count): playbooks for errors (qid, error, vec of the context, or of the error without one).
+
+    procedures: id, trigger_error, fix, vec. Dense over the vector, sparse over the error if there is one, each to twice the
+    limit, fused, cut to twice the limit; trust comes from ``stats`` (id, verified, success_count, fail_count), none where it has
+    no row; scores are divided by the query's highest, so that trust can be weighed against them.
+    """
+    rows = procedures.select("id", F.col("trigger_error").alias("content"), "vec")
+    asked = queries.filter(F.trim(F.coalesce("error", F.lit(""))) != "").select("qid", F.col("error").alias("content"))
+    hits = best(fuse([dense_topk(spark, queries, rows, 2 * limit), sparse_topk(asked, rows, 2 * limit)]), 2 * limit)
+    hits = hits.withColumn("score", F.round(F.col("score") / F.max("score").over(Window.partitionBy("qid")), 6))
+    out = hits.join(procedures.select("id", "fix"), "id").join(stats.select("id", "verified", "success_count", "fail_count"), "id", "left")
+    none = {"verified": F.coalesce("verified", F.lit(False)), "success_count": F.coalesce("success_count", F.lit(0)), "fail_count": F.coalesce("fail_count", F.lit(0))}
+    return out.withColumns(none).select("qid", "id", "rank", "score", "fix", *none)
+
+
 def near_pairs(rows: DataFrame, least: float, block: int = 512) -> DataFrame:
     """(a, b, score), a < b: all pairs of unit vectors (id, vec) with a dot product of at least ``least``; a cell holds about ``block`` rows."""
     return vectors.Index(rows.sparkSession, rows, cell_rows=block).within(least)

@@ -35,6 +35,14 @@ def calibration(spark: SparkSession, mode: str = "chat-only") -> DataFrame:
     return rows.select("name", "expected", belief.resolve_duel(new, old).alias("outcome"))
 
 
+def modes_compared(rows: DataFrame, base: str = "chat-only") -> DataFrame:
+    """(mode, expected, outcome, n) over conflicts (dependants, confirmations, age, diverse, external, live): how often a mode decides otherwise than ``base``."""
+    old = belief.entrenchment(F.col("dependants"), F.col("confirmations"), F.col("age"))
+    decided = lambda mode: belief.resolve_duel(belief.weight_new(mode, F.col("diverse"), F.col("external"), F.lit(None).cast("double"), F.col("live")), old)
+    each = rows.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in belief.MODES])))
+    return each.groupBy("mode", decided(F.lit(base)).alias("expected"), decided(F.col("mode")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def diverse(n: Column) -> Column:
     """How much so many unlike sources weigh."""
     return F.log2(1 + belief.zero(n))

@@ -214,13 +214,15 @@ def fg16_set_fields(s: Store) -> DataFrame:
     return facts.set_fields(s.facts.select("seq", "dependants"), patch, "seq")
 
 
-@query("""
-with spelled as (select * from (values (' Single '), ('temporal_single'), ('TemporalSingle'), ('MULTI'), ('both'), (null)) as t(said)),
-c as (select said, case lower(trim(said)) when 'single' then 'single' when 'multi' then 'multi' when 'temporal-single' then 'temporal-single' when 'temporal_single' then 'temporal-single' when 'temporalsingle' then 'temporal-single' end as cardinality from spelled)
-select said, cardinality from c""")
+SPELLED = (" Single ", "temporal_single", "TemporalSingle", "MULTI", "both", "temporal-single")
+
+
+@query(f"""with r as (select p_partkey, p_name as predicate, {"[" + ", ".join(f"'{x}'" for x in SPELLED) + "]"}[1 + length(p_name) % {len(SPELLED)}] as said from part union all select p_partkey, p_name, p_type from part)
+select predicate, said, case lower(trim(said)) when 'single' then 'single' when 'multi' then 'multi' when 'temporal-single' then 'temporal-single' when 'temporal_single' then 'temporal-single' when 'temporalsingle' then 'temporal-single' end as cardinality, count(*) as n from r group by 1, 2""")
 def fg2_parse_cardinality(s: Store) -> DataFrame:
-    said = s.spark.createDataFrame([(x,) for x in (" Single ", "temporal_single", "TemporalSingle", "MULTI", "both", None)], "said string")
-    return said.withColumn("cardinality", facts.parse_cardinality(F.col("said")))
+    known = F.array(*[F.lit(x) for x in SPELLED])[F.char_length("p_name") % len(SPELLED)]
+    rows = s.part.select(F.col("p_name").alias("predicate"), known.alias("said")).unionByName(s.part.select(F.col("p_name").alias("predicate"), F.col("p_type").alias("said")))
+    return rows.groupBy("predicate", "said", facts.parse_cardinality(F.col("said")).alias("cardinality")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
@@ -346,10 +348,15 @@ def fl5_filters(s: Store) -> DataFrame:
     return s.memories.filter(memories.selected(("src1", "src2"), "en", None, since, before)).select("id")
 
 
-@query("""select said, $S(t) as at_s from (values ('2024-03-05', timestamp '2024-03-05 00:00:00'), ('2024-03-05T06:07:08Z', timestamp '2024-03-05 06:07:08'), ('2024-03-05T06:07:08+02:00', timestamp '2024-03-05 04:07:08'), ('soon', null), (null, null)) as x(said, t)""")
+@query("""select 'e' || event_id as k, case event_id % 4 when 0 then $S(date_trunc('day', ts)) when 1 then $S(ts) when 2 then $S(ts) - 7200 end as at_s from events
+union all select 'c' || c_custkey, null from customer""")
 def fl6_parse_bound(s: Store) -> DataFrame:
-    said = s.spark.createDataFrame([(x,) for x in ("2024-03-05", "2024-03-05T06:07:08Z", "2024-03-05T06:07:08+02:00", "soon", None)], "said string")
-    return said.select("said", secs(memories.parse_bound(F.col("said"))).alias("at_s"))
+    k, ts = F.col("event_id") % 4, F.col("ts").cast("timestamp")
+    zoned = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    said = F.when(k == 0, F.date_format(ts, "yyyy-MM-dd")).when(k == 1, F.concat(zoned, F.lit("Z"))).when(k == 2, F.concat(zoned, F.lit("+02:00"))).otherwise(F.date_format(ts, "d.M.yyyy"))
+    rows = s.events.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("k"), said.alias("said"))
+    rows = rows.unionByName(s.customer.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("k"), F.col("c_name").alias("said")))
+    return rows.select("k", secs(memories.parse_bound(F.col("said"))).alias("at_s"))
 
 
 @query(f"select id, $S(created_at) as created_s from memories where {VISIBLE} order by created_at desc nulls last, id limit 50")
@@ -481,11 +488,16 @@ def wd19_reconcile(s: Store) -> DataFrame:
     return memories.reconcile(files, stored)
 
 
-@query("""with r as (select * from (values ('src1'), (''), ('a b'), ('Memories'), ('ok-1.x'), (null), ('_procedures')) as t(name))
+@query("""with r as (select source as name from documents union all select n_name from nation union all select c_name from customer union all select p_name from part union all select url from pages union all select left(text, 129) from documents
+  union all select case when length(text) < 40 then '' else '_Procedures' end from benchmark)
 select name, case when coalesce(trim(name), '') = '' then 'empty' when length(trim(name)) > 128 then 'too_long' when not regexp_full_match(trim(name), '[A-Za-z0-9._-]+') then 'charset' when lower(trim(name)) in ('_procedures', 'memories', '_kg_facts', '_kg_predicates', '_mod_procstats') then 'reserved' end as problem from r""")
 def fl15_library_names(s: Store) -> DataFrame:
-    names = s.spark.createDataFrame([(x,) for x in ("src1", "", "a b", "Memories", "ok-1.x", None, "_procedures")], "name string")
-    return names.withColumn("problem", text.library_problem(F.col("name")))
+    rule = F.when(F.char_length("text") < 40, "").otherwise("_Procedures")
+    names = [s.documents.select("source"), s.nation.select("n_name"), s.customer.select("c_name"), s.part.select("p_name"), s.pages.select("url"), s.documents.select(F.substring("text", 1, 129)), s.benchmark.select(rule)]
+    rows = names[0].toDF("name")
+    for n in names[1:]:
+        rows = rows.unionByName(n.toDF("name"))
+    return rows.withColumn("problem", text.library_problem(F.col("name")))
 
 
 @query("""select page_id, case when s = 'http' then 'url_not_https' when s <> 'https' then 'url_parse' when not h in ('github.com', 'gitlab.com') then 'url_host_not_allowed' end as problem from (select page_id, lower(regexp_extract(u, '^([A-Za-z]+):', 1)) as s, lower(regexp_extract(u, '://([^/:?#]*)', 1)) as h from (select page_id, case page_id % 4 when 0 then url when 1 then concat('https://GitHub.com/x/', page_id) when 2 then replace(url, 'https:', 'http:') else replace(url, ':', '') end as u from pages))""")
@@ -553,6 +565,13 @@ def rt14_search(s: Store) -> DataFrame:
     return retrieval.search(s.spark, q, m).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(f"{BASE}, top as (select *, row_number() over (partition by qid order by score desc, id) as rank from re), u as (select id, uses, last_access as t from access_log union all select id, 1, $TS({NOW}) from top where rank <= 10) select id, sum(uses)::bigint as uses, max($S(t)) as last_s from u group by id")
+def rt14_recorded_access(s: Store) -> DataFrame:
+    m, q = _base(s)
+    log = retrieval.search_and_record(s.spark, q, m, s.access_log, now())[1]
+    return log.select("id", "uses", secs("last_access").alias("last_s"))
+
+
 @query(f"{BASE}, hits as (select *, row_number() over (partition by qid order by score desc, id) as rank from re), gold as (select q.qid, m.id from q join m on contains(m.content, q.content)), first as (select g.qid, min(h.rank) as first from gold g left join hits h on h.qid = g.qid and h.id = g.id and h.rank <= 10 group by 1)\nselect count(*) as queries, round(avg(case when first <= 1 then 1.0 else 0.0 end), 6) as r1, round(avg(case when first <= 5 then 1.0 else 0.0 end), 6) as r5, round(avg(case when first <= 10 then 1.0 else 0.0 end), 6) as r10 from first")
 def a19_recall(s: Store) -> DataFrame:
     m, q = _base(s)
@@ -694,6 +713,28 @@ def a16_normalised_procedures(s: Store) -> DataFrame:
     return s.procedures.join(F.broadcast(most)).select("id", F.round(worked, 6).alias("worked"), F.col("most").cast("double").alias("most"))
 
 
+@query(f"""with pb as (select id, trigger_error as content, fix, verified, success_count, fail_count from procedures), {VECTORS.replace("memories", "pb")},
+q as (select id as qid, 'error: ' || content as content from pb where id % 20 = 0),
+dn as (select q.qid, pb.id, round(list_dot_product(x.vec, y.vec), 6) as score from q join vv x on x.id = q.qid join vv y on true join pb on pb.id = y.id),
+dense as (select qid, id, rank from (select *, row_number() over (partition by qid order by score desc, id) as rank from dn) where rank <= 10),
+mp as (select id, term, count(*) as tf from (select id, unnest({TOK.format('content')}) as term from pb) group by 1, 2),
+qp as (select qid, term, count(*) as tq from (select qid, unnest({TOK.format('content')}) as term from q) group by 1, 2),
+df as (select term, ln(((select count(*) from pb) - count(*) + 0.5) / (count(*) + 0.5) + 1) as idf from mp group by 1),
+sp as (select qid, id, round(sum(tq * tf * idf), 6) as score from mp join qp using (term) join df using (term) group by 1, 2),
+sparse as (select qid, id, rank from (select *, row_number() over (partition by qid order by score desc, id) as rank from sp) where rank <= 10),
+fused as (select qid, id, round(sum(1 / (60 + rank)), 9) as score from (select * from dense union all select * from sparse) group by 1, 2),
+pool as (select *, row_number() over (partition by qid order by score desc, id) as rank from fused)
+select qid, p.id, rank, round(p.score / max(p.score) over (partition by qid), 6) as score, fix, case when p.id % 3 <> 0 then verified else false end as verified,
+       (case when p.id % 3 <> 0 then success_count else 0 end)::bigint as success_count, (case when p.id % 3 <> 0 then fail_count else 0 end)::bigint as fail_count
+from pool p join pb using (id) where rank <= 10""")
+def a16_recall_procedures(s: Store) -> DataFrame:
+    known = models.embed(s.procedures, models.hashing(64), "hashing-64", "trigger_error")
+    asked = known.filter("id % 20 = 0").select(F.col("id").alias("qid"), F.concat(F.lit("error: "), "trigger_error").alias("error"), "vec")
+    out = retrieval.recall_procedures(s.spark, asked, known, s.procedures.filter("id % 3 <> 0"))
+    n = lambda c: F.col(c).cast("long").alias(c)
+    return out.select("qid", "id", n("rank"), "score", "fix", "verified", n("success_count"), n("fail_count"))
+
+
 @query("""with r as (select predicate, dependants as v, row_number() over (partition by predicate order by dependants) - 1 as i, count(*) over (partition by predicate) as n from facts)
 select predicate, max(n) as n, min(v) as low, max(v) as high, round(avg(v), 6) as mean, max(v) filter (i = round(0.1 * (n - 1))) as p10, max(v) filter (i = round(0.5 * (n - 1))) as p50, max(v) filter (i = round(0.9 * (n - 1))) as p90 from r group by predicate""")
 def a9_nearest_rank(s: Store) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.functions import text
+from mnemospark.functions import belief, ids, text
 from mnemospark.operators import analytics, extraction, facts, ingest, lifecycle, memories, models, revision
 from mnemospark.plans.catalog import CITED, ENT, GATE, HIDDEN, NEAREST, SAT, SCORES, SECRET, TOK, VECTORS, cited, hashed, now, query, scores, secs, tool
 from mnemospark.plans.views import NOW, Store
@@ -57,16 +57,20 @@ def wd14_edit(s: Store) -> DataFrame:
 # --- quarantine, blocks, access
 
 
-@query(f"""{GATE}, k as (select *, sha256(concat_ws(chr(0), library, trim(content))) as key from memories),
+MEMORY_ID = "concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-5', substr(h, 14, 3), '-', substr('89ab89ab89ab89ab', 1 + instr('0123456789abcdef', substr(h, 17, 1)) - 1, 1), substr(h, 18, 3), '-', substr(h, 21, 12))"
+
+
+@query(f"""{GATE}, x as (select *, sha1(unhex('{ids.MEMORY}') || encode(concat(coalesce(library, ''), chr(0), trim(coalesce(content, ''))))) as h, {SECRET} as secret from memories),
+k as (select *, {MEMORY_ID} as key from x),
 held as (select key, min(created_at) as at from k where quarantined group by 1),
-fresh as (select k.key, min(r.reason) as reason from r join k using (id) where r.reason is not null group by 1)
-select coalesce(n.key, h.key) as key, coalesce(n.reason, 'held') as reason, case when n.key is null then $S(h.at) else coalesce($S(h.at), {NOW}) end as created_s
+fresh as (select k.key, min(r.reason) as reason from r join k using (id) where r.reason is not null and k.secret is null and trim(coalesce(k.content, '')) <> '' group by 1)
+select coalesce(n.key, h.key) as id, coalesce(n.reason, 'held') as reason, case when n.key is null then $S(h.at) else coalesce($S(h.at), {NOW}) end as created_s
 from held h full join fresh n on n.key = h.key""")
 def wd9_add_quarantined(s: Store) -> DataFrame:
-    keyed = s.memories.withColumn("key", lifecycle.quarantine_key(F.col("library"), F.col("content")))
-    held = keyed.filter(memories.flag("quarantined")).groupBy("key").agg(*[F.min(c).alias(c) for c in ("library", "content", "source", "created_at")]).withColumn("reason", F.lit("held"))
+    named = s.memories.withColumn("id", lifecycle.memory_id(F.col("library"), F.coalesce("content", F.lit(""))))
+    held = named.filter(memories.flag("quarantined")).groupBy("id").agg(*[F.min(c).alias(c) for c in ("library", "content", "source", "created_at")]).withColumn("reason", F.lit("held"))
     new = s.memories.withColumn("reason", text.gate_reason(F.col("content"), F.col("source"), tool())).filter("reason is not null").select("library", "content", "source", "reason")
-    return lifecycle.add_quarantined(held, new, now()).select("key", "reason", secs("created_at").alias("created_s"))
+    return lifecycle.add_quarantined(held, new, now()).select("id", "reason", secs("created_at").alias("created_s"))
 
 
 @query("select id, quarantined and id not in (select id from access_log) as quarantined, quarantined and id in (select id from access_log) as promoted from memories")
@@ -102,15 +106,17 @@ BLOCK_LINES = "b as (select 'blocks' as section, row_number() over (order by r_n
 @query(f"""{GATE}, v as (select m.library, m.quarantined, r.reason from memories m join r using (id)), {BLOCK_LINES},
 said as (select 'session' as section, row_number() over (order by turn desc) as place, '[' || role || '] ' || text as line from conversations where conv_id = (select max(conv_id) from conversations)),
 fresh as (select * from chain order by created_at desc, event_id limit 20),
-told as (select 'facts' as section, row_number() over (order by created_at desc, event_id) as place, concat_ws(' ', subject, predicate, object) as line from fresh where valid and (status is null or status not in {HIDDEN})),
+told as (select 'facts' as section, row_number() over (order by created_at desc, event_id) as place, concat_ws(' ', subject, predicate, object) as line from fresh where valid and (status is null or status not in ('stale', 'superseded'))),
+rule as (select 'rule' as section, 1 as place, 'search this store before acting on ' || string_agg(library, ', ' order by library) as line from (select distinct library from v where not starts_with(library, '_') and library <> 'default')),
+tot as (select 'totals' as section, 1 as place, 'facts: ' || (select count(*) from chain) as line union all select 'totals', 2, 'quarantined: ' || (select count(*) from v where quarantined)),
 lib as (select 'libraries' as section, row_number() over (order by n desc, k) as place, k || ': ' || n as line from (select coalesce(library, 'other') as k, count(*) as n from v group by 1)),
 qua as (select 'quarantine' as section, row_number() over (order by n desc, k) as place, k || ': ' || n as line from (select coalesce(reason, 'other') as k, count(*) as n from v where quarantined group by 1))
-select * from said where place <= 10 union all select * from told union all select * from lib where place <= 1000 union all select * from qua union all select * from b""")
+select * from said where place <= 10 union all select * from told union all select * from lib where place <= 1000 union all select * from qua union all select * from rule union all select * from tot union all select * from b""")
 def rt22_briefing(s: Store) -> DataFrame:
     rows = s.memories.withColumn("reason", text.gate_reason(F.col("content"), F.col("source"), tool()))
     known = s.chain.withColumnRenamed("event_id", "seq")
     blocks = s.region.select(F.col("r_name").alias("name"), F.col("r_name").alias("content"))
-    return lifecycle.briefing(s.conversations, known, rows, blocks, facts.visible(F.col("status"), F.col("valid")))
+    return lifecycle.briefing(s.conversations, known, rows, blocks, lifecycle.told(F.col("status"), F.col("valid")))
 
 
 @query(f"""with {BLOCK_LINES}, f as (select 'facts' as section, row_number() over (order by seq) as place, concat_ws(' ', subject, predicate, object) as line from facts),
@@ -206,14 +212,18 @@ def br17_retest(s: Store) -> DataFrame:
     return revision.retest(rows, analytics.typed_scores(cited(s), scores(s))).select("id", "confidence", "transition", F.col("counter").cast("long").alias("counter"))
 
 
-_SCENARIOS = ", ".join(f"('{k}', {', '.join(map(str, v[:5]))}, {str(v[5]).lower()}, '{v[6]}')" for k, v in revision.SCENARIOS.items())
+_MODES = ", ".join(f"('{m}', {w[1]}, {w[2]})" for m, w in belief.MODES.items())
 
 
-@query(f"""with v as (select * from (values {_SCENARIOS}) as t(name, dependants, conf, age, d, e, live, expected)),
-w as (select name, expected, (log2(1 + dependants) + log2(1 + conf) + log2(1 + least(age / 30.0, 24))) / 50 as held, (0.1 * log2(1 + d) + 0.2 * log2(1 + e)) * case when live then 1 else 0.5 end as fresh from v)
-select name, expected, case when fresh > 1.5 * held then 'flip' when fresh > 0.5 * held then 'contested' else 'quarantine' end as outcome from w""")
+@query(f"""with m as (select * from (values {_MODES}) as t(mode, wc, we)), d as (select subject, predicate, object, count(distinct author) as diverse, count(*) filter (not valid) as external from assertions group by 1, 2, 3),
+x as (select (log2(1 + greatest(f.dependants, 0)) + log2(1 + seq % 9) + log2(1 + least(greatest(floor(({NOW} - epoch(f.created_at)) / 86400), 0) / 30, 24))) / 50 as held, d.diverse, d.external, seq % 5 <> 0 as live from facts f join d using (subject, predicate, object)),
+w as (select mode, held, (wc * log2(1 + diverse) + we * log2(1 + external)) * case when live then 1 else 0.5 end as fresh, (0.1 * log2(1 + diverse) + 0.2 * log2(1 + external)) * case when live then 1 else 0.5 end as base from x cross join m)
+select mode, case when base > 1.5 * held then 'flip' when base > 0.5 * held then 'contested' else 'quarantine' end as expected, case when fresh > 1.5 * held then 'flip' when fresh > 0.5 * held then 'contested' else 'quarantine' end as outcome, count(*) as n from w group by 1, 2, 3""")
 def br23_calibration(s: Store) -> DataFrame:
-    return revision.calibration(s.spark)
+    said = s.assertions.groupBy("subject", "predicate", "object").agg(F.countDistinct("author").alias("diverse"), F.count_if(~F.col("valid")).alias("external"))
+    age = F.greatest(F.timestamp_diff("DAY", F.col("created_at").cast("timestamp"), now()), F.lit(0))
+    rows = _facts(s).withColumns({"age": age, "live": F.col("seq") % 5 != 0}).join(said, ["subject", "predicate", "object"])
+    return revision.modes_compared(rows)
 
 
 @query("""with c as (select (select count(*) from signals where ts >= $TS(1705968000) and ts <= $TS(1706572800)) as signals, (select count(distinct agent) from sessions where last_active >= $TS(1703980800) and last_active <= $TS(1706572800)) as agents)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions import belief, text, vector
 from mnemospark.operators import analytics, extraction, memories, retrieval, revision
 from mnemospark.plans.catalog import BASE, CITED, HIDDEN, SCORES, TIER1, TOK, VISIBLE, _base, cited, query, scores, secs
+from mnemospark.sources.shared import sent
 from mnemospark.plans.views import NOW, Store
 
 
@@ -50,10 +51,10 @@ def fl8_procedures(s: Store) -> DataFrame:
     return s.memories.filter("type = 'procedure'").groupBy("library").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with acl as (select * from (values ('a', 'src1'), ('a', 'src2'), ('b', 'src2')) as t(agent, library)) select acl.agent, count(*) as n from memories m join acl on acl.library = m.library where {VISIBLE} group by 1")
+@query(f"with acl as (select distinct actor as agent, library as lib from (select actor, 'src' || substr(library, 4) as library from audit where op = 'add')) select acl.agent, count(*) as n from memories m join acl on acl.lib = m.library where {VISIBLE} group by 1")
 def fl14_library_scope(s: Store) -> DataFrame:
-    acl = s.spark.createDataFrame([("a", "src1"), ("a", "src2"), ("b", "src2")], "agent string, library string")
-    return s.memories.filter(memories.visible()).join(F.broadcast(acl), "library").groupBy("agent").agg(F.count(F.lit(1)).alias("n"))
+    acl = s.audit.filter("op = 'add'").select(F.col("actor").alias("agent"), F.concat(F.lit("src"), F.substring("library", 4, 100)).alias("library")).distinct()
+    return s.memories.filter(memories.visible()).join(sent(acl), "library").groupBy("agent").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select label, count(*) as n, min(len(embedding)) as low, max(len(embedding)) as high from embeddings group by label")
@@ -103,10 +104,13 @@ def wd13_live_elsewhere(s: Store) -> DataFrame:
     return s.memories.select("id", F.coalesce(known, F.lit(False)).alias("known"))
 
 
-@query("""with a as (select * from (values ('[{"subject":"s","predicate":"p","object":"o"}]', 1), ('```json\n[["a","b","c"],["x"]]\n```', 1), ('nothing', 0), (null, 0)) as t(said, n)) select said, n from a""")
+@query("select seq, subject, predicate, object from facts where seq % 4 in (0, 1)")
 def wd22_triples(s: Store) -> DataFrame:
-    said = ['[{"subject":"s","predicate":"p","object":"o"}]', '```json\n[["a","b","c"],["x"]]\n```', "nothing", None]
-    return s.spark.createDataFrame([(x,) for x in said], "said string").withColumn("n", F.size(extraction.triples(F.col("said"))).cast("long"))
+    """Facts as a model would answer them, as objects, as fenced arrays with a broken one among them, or as plain words, and parsed back."""
+    one = F.struct("subject", "predicate", "object")
+    listed = F.to_json(F.array(F.array("subject", "predicate", "object"), F.array("subject")))
+    said = F.when(F.col("seq") % 4 == 0, F.to_json(F.array(one))).when(F.col("seq") % 4 == 1, F.concat(F.lit("Here you are:\n```json\n"), listed, F.lit("\n```"))).when(F.col("seq") % 4 == 2, F.concat_ws(" ", "subject", "predicate", "object"))
+    return s.facts.select("seq", F.explode(extraction.triples(said)).alias("t")).select("seq", "t.subject", "t.predicate", "t.object")
 
 
 @query("select predicate, subject, count(distinct object) as objects, count(distinct case when seq % 3 = 0 then object end) as superseded from facts group by 1, 2")

@@ -28,8 +28,8 @@ def windowed_counts(audit: DataFrame, length: str = "1 hour", slide: str | None
     return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "op", "n")
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    """Activity sessions by user: a gap closes one."""
+def sessions(events: DataFrame, gap: str = "30 minutes 1 microsecond", late: str = "10 minutes") -> DataFrame:
+    """Activity sessions by user: a longer gap closes one."""
     g = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return g.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
@@ -39,41 +39,64 @@ def deduplicated(rows: DataFrame, keys: list[str], late: str = "1 hour") -> Data
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def quota(writes: DataFrame, most: int, seconds: int = 60) -> DataFrame:
+def quota(writes: DataFrame, most: int, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
     """Which writes (agent, event_id, ts) a sliding quota lets through; rejected ones do not count.
 
-    State: the accepted times of the last ``seconds`` of each agent, ``most`` at most. Rows of a batch
-    are taken in event time.
+    State: the accepted times of the last ``seconds`` of each agent, ``most`` at most; it goes once the watermark has
+    passed them all. Rows of a batch are taken in event time.
     """
 
     def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
         kept = list(state.get[0]) if state.exists else []
         ok = []
-        for t in pdf["ts"].astype("int64") // 1_000 / 1e6 if pdf["ts"].dtype == "datetime64[ns]" else [x.timestamp() for x in pdf["ts"]]:
+        for t in _seconds(pdf["ts"]):
             kept = [x for x in kept if x > t - seconds]
             ok.append(len(kept) < most)
             if ok[-1]:
                 kept.append(t)
         state.update((kept,))
+        _forget(state, max(kept, default=0.0) + seconds)
         yield pd.DataFrame({"agent": key[0], "event_id": pdf["event_id"].to_numpy(), "accepted": ok})
 
-    return writes.groupBy("agent").applyInPandasWithState(fold, "agent string, event_id long, accepted boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
+    rows = writes.withWatermark("ts", late).groupBy("agent")
+    return rows.applyInPandasWithState(fold, "agent string, event_id long, accepted boolean", "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def doubt_counters(observations: DataFrame, least: int = 5) -> DataFrame:
-    """(key, seq, counter, inside) for drift observations (key, seq, drifted): a drift counts up, its absence resets."""
+def doubt_counters(observations: DataFrame, least: int = 5, forget: str = "3650 days", late: str = "10 minutes") -> DataFrame:
+    """(key, seq, counter, inside) for drift observations (key, seq, drifted, at): a drift counts up, its absence resets.
+
+    A key that is not observed for ``forget`` loses its counter once the watermark says so.
+    """
+    span = pd.Timedelta(forget).total_seconds()
 
     def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(pdfs)).sort_values("seq")
         n, out = state.get[0] if state.exists else 0, []
         for d in pdf["drifted"]:
             n = n + 1 if d else 0
             out.append(n)
         state.update((n,))
+        _forget(state, max(_seconds(pdf["at"])) + span)
         yield pd.DataFrame({"key": key[0], "seq": pdf["seq"].to_numpy(), "counter": out, "inside": [x >= least for x in out]})
 
-    return observations.groupBy("key").applyInPandasWithState(fold, "key string, seq long, counter int, inside boolean", "n int", "append", GroupStateTimeout.NoTimeout)
+    rows = observations.withWatermark("at", late).groupBy("key")
+    return rows.applyInPandasWithState(fold, "key string, seq long, counter int, inside boolean", "n int", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _seconds(c: pd.Series) -> list[float]:
+    return [x.timestamp() for x in pd.to_datetime(c)]
+
+
+def _forget(state: GroupState, at: float) -> None:
+    """Sets the state's end, which has to lie after the watermark."""
+    state.setTimeoutTimestamp(max(int(at * 1000), state.getCurrentWatermarkMs() + 1))
 
 
 def duels(assertions: DataFrame, mode: str = "chat-only", ttl: str = "365 days") -> DataFrame:

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from mnemospark.plans import catalog, catalog_life, catalog_more  # noqa: F401
+from mnemospark.plans import catalog, catalog_life, catalog_more, catalog_streams  # noqa: F401
 from mnemospark.plans.views import TABLES
 
 from .conftest import SF

@@ -97,3 +97,26 @@ def test_mentions(spark, most):
     got = sorted((r.id, r.name) for r in graph.mentions(spark, m, n, most).collect())
     assert got == sorted((k, x) for k, t in enumerate(texts) if t for x in set(names) if len(x.encode()) >= 4 and x.lower() in t.lower())
     assert graph.mentions(spark, m, n.filter("false"), most).count() == 0
+
+
+def test_edit_and_learn_keep_one_row_an_id(spark):
+    from mnemospark.operators import analytics, lifecycle
+
+    rows = spark.createDataFrame([(1, "l", "a", T0), (2, "l", "b", T0), (3, "l", "c", T0)], "id long, library string, content string, created_at timestamp")
+    changes = spark.createDataFrame([(1, 2, "b"), (3, 9, "z"), (7, 8, "unknown")], "id long, new_id long, new_content string")
+    assert sorted((r.id, r.content) for r in lifecycle.edit(rows, changes, F.lit(T0)).collect()) == [(2, "b"), (9, "z")]
+    both = spark.createDataFrame([(1, 9, "z"), (2, 9, "z")], "id long, new_id long, new_content string")
+    assert sorted(r.id for r in lifecycle.edit(rows, both, F.lit(T0)).collect()) == [3, 9]
+    known = spark.createDataFrame([(1, "e", "f", 4, 2, True)], "id long, trigger_error string, fix string, success_count int, fail_count int, verified boolean")
+    new = spark.createDataFrame([(1, "e", "g", False), (1, "e", "h", None), (2, "x", "y", True)], "id long, trigger_error string, fix string, verified boolean")
+    assert sorted(map(tuple, analytics.learn(known, new).collect())) == [(1, "e", "h", 4, 2, True), (2, "x", "y", 0, 0, True)]
+
+
+def test_quarantine_refuses_secrets_and_takes_the_memory_s_id(spark):
+    from mnemospark.operators import lifecycle
+
+    held = spark.createDataFrame([], "id string, library string, content string, source string, reason string, created_at timestamp")
+    new = spark.createDataFrame([("l", " hm ", None, "too_short"), ("l", "hm", None, "too_short"), ("l", "  ", None, "too_short"), ("l", None, None, "x"), ("l", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', None, "x")], "library string, content string, source string, reason string")
+    got = lifecycle.add_quarantined(held, new, F.lit(T0)).collect()
+    want = spark.range(1).select(lifecycle.memory_id(F.lit("l"), F.lit("hm"))).first()[0]
+    assert [(r.id, r.content) for r in got] == [(want, "hm")]
