@@ -16,7 +16,7 @@ from math import log2
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mnemospark.functions import belief
 
@@ -102,43 +102,26 @@ def folded(assertions: DataFrame, mode: str) -> DataFrame:
     return rows.mapInPandas(run, _OUT.replace("timestamp", "timestamp_ntz"))
 
 
-class Duels(StatefulProcessor):
-    """The same fold over a stream: visible values in a map that stays, hidden ones in a map that forgets after ``ttl_ms`` (a value written again after that counts as new)."""
-
-    VALUE = "created double, dependants long, status string, until double"
-
-    def __init__(self, mode: str, ttl_ms: int) -> None:
-        self.w_new, self.ttl_ms = weight(mode), ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.shown = handle.getMapState("shown", "object string", self.VALUE)
-        self.hidden = handle.getMapState("hidden", "object string", self.VALUE, self.ttl_ms)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["created_at", "event_id"])
-        values = {k[0]: [*v] for state in (self.hidden, self.shown) for k, v in state.iterator()}
-        before = {o: list(v) for o, v in values.items()}
-        axis = Axis(pdf["cardinality"].iloc[0] == "temporal-single", self.w_new, values)
-        out = [axis.write(o, int(d), t) for o, d, t in zip(pdf["object"], pdf["dependants"], _seconds(pdf["created_at"]), strict=True)]
-        for o, v in axis.values.items():
-            if v == before.get(o):
-                continue
-            to, other = (self.shown, self.hidden) if v[2] in VISIBLE else (self.hidden, self.shown)
-            to.updateValue((o,), (float(v[0]), int(v[1]), v[2], None if v[3] is None else float(v[3])))
-            if other.containsKey((o,)):
-                other.removeKey((o,))
-        yield pdf[["event_id", "subject", "predicate", "object"]].assign(verdict=[v for v, _ in out], retired=[x for _, x in out])
-
-    def close(self) -> None:
-        pass
-
-
 def streamed(assertions: DataFrame, mode: str = "chat-only", ttl: str = "365 days") -> DataFrame:
     """(event_id, subject, predicate, object, verdict, retired) of a stream of writes on one-value axes, which carry their cardinality.
 
-    Needs the RocksDB state store. Writes of a batch are taken in event time; the order between batches is theirs.
+    State is the axis's values. Visible ones stay; one that was hidden for ``ttl`` before the axis's latest write is
+    forgotten, so that it counts as new when it is written again. Writes of a batch are taken in event time; the order
+    between batches is theirs.
     """
+    w_new, span = weight(mode), pd.Timedelta(ttl).total_seconds()
+
+    def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(pdfs)).sort_values(["created_at", "event_id"])
+        values = {o: [c, d, s, u] for o, c, d, s, u in zip(*state.get, strict=True)} if state.exists else {}
+        axis, times = Axis(pdf["cardinality"].iloc[0] == "temporal-single", w_new, values), _seconds(pdf["created_at"])
+        out = [axis.write(o, int(d), t) for o, d, t in zip(pdf["object"], pdf["dependants"], times, strict=True)]
+        kept = {o: v for o, v in axis.values.items() if v[2] in VISIBLE or (v[3] if v[3] is not None else v[0]) >= times[-1] - span}
+        state.update((list(kept), *([v[k] for v in kept.values()] for k in range(4))))
+        yield pdf[["event_id", "subject", "predicate", "object"]].assign(verdict=[v for v, _ in out], retired=[x for _, x in out])
+
     rows = assertions.withColumn("created_at", F.col("created_at").cast("timestamp_ntz")).withColumn("dependants", F.coalesce("dependants", F.lit(0)).cast("long"))
     rows = rows.select("event_id", "subject", "predicate", "object", "dependants", "created_at", "cardinality")
+    kinds = "objects array<string>, created array<double>, dependants array<long>, status array<string>, until array<double>"
     out = "event_id long, subject string, predicate string, object string, verdict string, retired string"
-    return rows.groupBy("subject", "predicate").transformWithStateInPandas(Duels(mode, int(pd.Timedelta(ttl) / pd.Timedelta(milliseconds=1))), out, "append", "processingTime")
+    return rows.groupBy("subject", "predicate").applyInPandasWithState(fold, out, kinds, "append", GroupStateTimeout.NoTimeout)

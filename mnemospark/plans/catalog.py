@@ -348,7 +348,7 @@ def fl5_filters(s: Store) -> DataFrame:
     return s.memories.filter(memories.selected(("src1", "src2"), "en", None, since, before)).select("id")
 
 
-@query("""select 'e' || event_id as k, case event_id % 4 when 0 then $S(date_trunc('day', ts)) when 1 then $S(ts) when 2 then $S(ts) - 7200 end as at_s from events
+@query("""select 'e' || event_id as k, case event_id % 4 when 0 then $S(d) when 1 then $S(ts) when 2 then $S(ts) - 7200 end as at_s from (select event_id, ts, date_trunc('day', ts) as d from events)
 union all select 'c' || c_custkey, null from customer""")
 def fl6_parse_bound(s: Store) -> DataFrame:
     k, ts = F.col("event_id") % 4, F.col("ts").cast("timestamp")

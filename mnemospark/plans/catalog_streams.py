@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.operators import analytics, auditlog, facts, memories, models, paging, revision
+from mnemospark.plans import catalog_life  # noqa: F401  whose SQL one of these builds on
 from mnemospark.plans.catalog import AXES, SQL, VECTORS, cited, query, scores, secs
 from mnemospark.plans.views import Store
 from mnemospark.sources.shared import Tables
@@ -34,8 +35,9 @@ def st2_window_stream(s: Store) -> DataFrame:
 
 
 @query("""with g as (select user_id, ts, case when ts - lag(ts) over w <= interval 30 minute then 0 else 1 end as fresh from events window w as (partition by user_id order by ts)),
-k as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g)
-select user_id, $S(min(ts)) as start_s, count(*) as n from k group by user_id, k having max(ts) + interval 30 minute <= (select max(ts) from events) - interval 10 minute""")
+k as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g),
+t as (select user_id, min(ts) as first, count(*) as n from k group by user_id, k having max(ts) + interval 30 minute <= (select max(ts) from events) - interval 10 minute)
+select user_id, $S(first) as start_s, n from t""")
 def st3_session_stream(s: Store) -> DataFrame:
     return runs.session_stream(s.spark, _events(s), SLICES).select("user_id", secs("start").alias("start_s"), "n")
 
