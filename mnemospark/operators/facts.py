@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import belief, text
 from mnemospark.operators import duels
+from mnemospark.sources.shared import Tables
 
 #: Statuses that a default read does not show.
 HIDDEN = ("stale", "propagation_shadowed", "quarantine_candidate", "superseded")
@@ -79,11 +80,12 @@ def conflicts(facts: DataFrame, predicates: DataFrame) -> DataFrame:
 
 
 def redo_duels(facts: DataFrame, predicates: DataFrame) -> DataFrame:
-    """Of each one-value axis the newest fact stays active; the others are stale, or superseded if temporal."""
+    """Of each one-value axis the newest fact stays active; the others are stale, or superseded if temporal. Axes of many values stay out of the window."""
     w = Window.partitionBy("subject", "predicate").orderBy(F.col("created_at").desc(), "seq")
-    ranked = registered(facts, predicates).withColumn("place", F.row_number().over(w))
-    keep = (F.col("cardinality") == "multi") | (F.col("place") == 1)
-    return ranked.withColumn("status", F.when(keep, "active").otherwise(belief.retire(F.col("cardinality")))).drop("place")
+    rows = registered(facts, predicates)
+    ranked = rows.filter("cardinality <> 'multi'").withColumn("place", F.row_number().over(w))
+    duelled = ranked.withColumn("status", F.when(F.col("place") == 1, "active").otherwise(belief.retire(F.col("cardinality")))).drop("place")
+    return duelled.unionByName(rows.filter("cardinality = 'multi'").withColumn("status", F.lit("active")))
 
 
 def top_dependants(facts: DataFrame, n: int) -> DataFrame:
@@ -111,14 +113,16 @@ def duelled_facts(assertions: DataFrame, predicates: DataFrame, mode: str = "cha
 def walk(spark: SparkSession, edges: DataFrame, start: str, hops: int) -> DataFrame:
     """Entities reachable from start (any case) with the least number of hops, breadth first along both ends of edges.
 
-    The frontier of each hop is joined with the edges; what was met before is left out, so cycles end.
+    The frontier of each hop is joined with the edges; what was met before is left out, so cycles end. Frontiers are
+    written, so a hop's plan does not carry those before it.
     """
+    tables = Tables(spark, "reached")
     both = edges.select(F.col("subject").alias("a"), F.col("object").alias("b")).unionByName(edges.select(F.col("object").alias("a"), F.col("subject").alias("b"))).distinct()
     seen = both.filter(F.lower("a") == start.lower()).select(F.col("a").alias("entity")).distinct().withColumn("depth", F.lit(0))
-    front = seen
+    front = seen = tables.put(seen, "hop0")
     for depth in range(1, hops + 1):
         near = both.join(front.select(F.col("entity").alias("a")), "a").select(F.col("b").alias("entity")).distinct()
-        front = near.join(seen.select("entity"), "entity", "left_anti").withColumn("depth", F.lit(depth))
+        front = tables.put(near.join(seen.select("entity"), "entity", "left_anti").withColumn("depth", F.lit(depth)), f"hop{depth}")
         seen = seen.unionByName(front)
     return seen
 
