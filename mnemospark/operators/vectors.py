@@ -2,14 +2,16 @@
 
 Rows are assigned to the nearest of at most CELLS centroids, which are learnt from a sample of SAMPLE rows a
 hash draws; every row is assigned and every cell keeps its radius. For a query q and a cell with centre c and
-radius r no row of the cell scores above ``q.c + |q| r`` (triangle inequality), so a query first visits the
-likeliest cells, and then only those whose bound reaches its k-th score so far. Both visits are a join of
-queries and rows by cell: the rows of a part of a cell stream into a task before the queries that visit it.
+radius r no row of the cell scores above ``q.c + |q| r`` (triangle inequality). Rows and queries are dealt to
+blocks, and every block of rows meets every block of queries of its group in a task, where the rows stand by cell:
+a query looks at its likeliest cells first, and then only at those whose bound reaches its k-th score so far. So a
+vector is shipped once a block of the other side, about SHARE times, and not once a cell; the looking
+itself is quadratic where bounds leave nothing out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +19,14 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemospark.sources.shared import Tables
+from mnemospark.sources.shared import Tables, sent
 
 #: Rows that centroids are learnt from, at most; centroids, at most; rows of a cell, about, while there are fewer.
 SAMPLE, CELLS, CELL_ROWS = 16_384, 1024, 256
-#: Rows of a part of a cell, at most about: so many vectors are held by a task.
-PART_ROWS = 65_536
-#: Queries that a part's rows are multiplied with at once.
-BATCH = 1024
+#: Blocks that a group's rows, and its queries, are dealt to; rows of a block, at least and at most, about: so many vectors are held by a task.
+SHARE, LEAST_ROWS, PART_ROWS = 8, 16_384, 262_144
+#: Queries that a block's rows are multiplied with at once, and rows of a tile of these, at least about and at most.
+BATCH, TILE, WIDE = 1024, 64, 1024
 #: Scores are rounded to 6 digits; bounds are widened by more than rounding and summing can move them.
 SLACK = 2e-6
 
@@ -68,7 +70,6 @@ class Index:
         cells = {r["cell"]: r for r in self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("r")).collect()}  # a row a cell
         self.counts = np.array([cells[c]["n"] if c in cells else 0 for c in range(k)], np.int64)
         self.radius = np.array([cells[c]["r"] if c in cells else -np.inf for c in range(k)])
-        self.parts = np.maximum(1, -(-self.counts // PART_ROWS)).astype(np.int32)
 
     def _assigned(self, rows: DataFrame) -> DataFrame:
         """Adds cell and the distance to its centre."""
@@ -86,39 +87,40 @@ class Index:
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
         return rows.mapInArrow(run, f"{kinds}, cell int, far double")
 
-    def _visits(self, queries: DataFrame, choose: Callable[..., np.ndarray]) -> DataFrame:
-        """A row for each cell (and part of it) that a query visits: choose(counts, dots, bounds, floors) marks the cells of each."""
-        shared = self.spark.sparkContext.broadcast((self.centres, self.radius, self.counts, self.parts))
-        dim = self.dim
+    def _blocks(self, n, most: int):
+        """Into how many blocks n rows are dealt: eight, of LEAST_ROWS rows at least and ``most`` at most."""
+        size = F.least(F.lit(most), F.greatest(F.lit(LEAST_ROWS), F.ceil(n / SHARE)))
+        return F.greatest(F.ceil(n / size), F.lit(1)).cast("int")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c, r, n, parts = shared.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                q = matrix(b, "vec", dim)
-                dots = q @ c.T
-                bounds = np.where(n > 0, dots + np.sqrt((q * q).sum(1))[:, None] * np.maximum(r, 0) + SLACK, -np.inf)
-                who, cell = np.nonzero(choose(n, dots, bounds, b.column("floor").to_numpy()) & (n > 0))
-                again = np.repeat(np.arange(len(who)), parts[cell])
-                part = np.arange(len(again)) - np.repeat(np.cumsum(parts[cell]) - parts[cell], parts[cell])
-                for at in range(0, len(again), 4096):  # a batch of visits holds the vectors of its queries
-                    some = again[at : at + 4096]
-                    out = b.take(pa.array(who[some]))
-                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell[some].astype(np.int32)), pa.array(part[at : at + 4096].astype(np.int32))], [*b.schema.names, "cell", "part"])
-
-        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields)
-        return queries.mapInArrow(run, f"{kinds}, cell int, part int")
-
-    def _met(self, visits: DataFrame, k: int, lower: bool = False) -> DataFrame:
-        """(qid, id, score): the k best of each visited part with a score of the query's floor at least (k 0: all); lower: only rows of smaller id."""
+    def _dealt(self, rows: DataFrame, queries: DataFrame, same: bool) -> DataFrame:
+        """Rows (side 0) and queries (side 1) by pairs of a block of rows ``i`` and one of queries ``j`` of their group, each pair a task's; same: pairs of a block with itself or a later one."""
+        self.asks += 1
         g = [self.group] if self.group else []
-        nb = F.create_map(*[F.lit(int(x)) for pair in enumerate(self.parts) for x in pair])[F.col("cell")]
-        rows = self.rows.select(*g, "cell", F.pmod(F.xxhash64("id"), nb).cast("int").alias("part"), F.lit(0).alias("side"), "id", "vec", "place", F.lit(0.0).alias("floor"))
-        q = visits.select(*g, "cell", "part", F.lit(1).alias("side"), F.col("qid").alias("id"), "vec", "place", "floor")
-        keys = [*g, "cell", "part"]
-        met = rows.unionByName(q).repartition(*keys).sortWithinPartitions(*keys, "side", "id")
-        dim, ordered = self.dim, self.order is not None
+        count = lambda d, c: d.groupBy(*g).agg(F.count(F.lit(1)).alias(c))
+        sizes = count(rows, "n")
+        if g:
+            asked = count(queries, "m").withColumnRenamed(g[0], "__h")
+            sizes = sizes.join(asked, F.col(g[0]).eqNullSafe(F.col("__h"))).drop("__h").withColumnRenamed(g[0], "__g")
+        else:
+            sizes = sizes.crossJoin(count(queries, "m"))
+        sizes = sent(self.tables.put(sizes.select(*(["__g"] if g else []), self._blocks(F.col("n"), PART_ROWS).alias("ni"), self._blocks(F.col("m"), PART_ROWS).alias("nj")), f"sizes-{self.asks}"))
+        on = F.col(g[0]).eqNullSafe(F.col("__g")) if g else F.lit(True)
+        of = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        upto = lambda a, b: F.explode(F.sequence(a, b))
+        cols = ["side", "cell", "id", "vec", "place", "floor"]
+        x = rows.select(*g, F.lit(0).alias("side"), "cell", "id", "vec", "place", F.lit(0.0).alias("floor")).join(sizes, on).withColumn("i", of("ni"))
+        x = x.withColumn("j", upto(F.col("i") if same else F.lit(0), F.col("nj") - 1))
+        q = queries.select(*g, F.lit(1).alias("side"), F.lit(0).alias("cell"), F.col("qid").alias("id"), "vec", "place", "floor").join(sizes, on).withColumn("j", of("nj"))
+        q = q.withColumn("i", upto(F.lit(0), F.col("j") if same else F.col("ni") - 1))
+        keys = [*g, "i", "j"]
+        both = x.select(*keys, *cols).unionByName(q.select(*keys, *cols))
+        return both.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "side", "cell", "id")
+
+    def _met(self, rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        """(qid, id, score): the k best rows of each block with a score of the query's floor at least; k 0: all, each pair once, the larger id as qid."""
+        met, dim, ordered = self._dealt(rows, queries, not k), self.dim, self.order is not None
+        shared = self.spark.sparkContext.broadcast((self.centres, self.radius))
+        keys = [*([self.group] if self.group else []), "i", "j"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, held, block, waiting, count = None, [], None, [], 0
@@ -126,22 +128,9 @@ class Index:
             def visit() -> Iterator[pa.RecordBatch]:
                 nonlocal waiting, count
                 if block is not None and waiting:
-                    ids, x, place = block
-                    qid, v, before, floor = (np.concatenate(y) for y in zip(*waiting, strict=True))
-                    s = np.round(v @ x.T, 6)
-                    if ordered:
-                        s = np.where(place[None, :] < before[:, None], s, -np.inf)
-                    ok = (s >= floor[:, None]) & (s > -np.inf)
-                    if lower:
-                        ok &= ids[None, :] < qid[:, None]
-                    if k and s.shape[1] > k:
-                        # The k-th best score of each query; what ties with it is kept, the smaller ids are taken later.
-                        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                        ok &= s >= least[:, None]
-                        rank = np.cumsum(ok & (s == least[:, None]), axis=1)  # rows stand by id: k ties at most are needed
-                        ok &= (s > least[:, None]) | (rank <= k)
-                    i, j = np.nonzero(ok)
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(ids[j]), pa.array(s[i, j])], ["qid", "id", "score"])
+                    q = tuple(np.concatenate(y) for y in zip(*waiting, strict=True))
+                    for some in _top(block, *q, k, ordered) if k else _all(block, *q, now[-2] == now[-1]):
+                        yield pa.RecordBatch.from_arrays([pa.array(y) for y in some], ["qid", "id", "score"])
                 waiting, count = [], 0
 
             for b in batches:
@@ -163,12 +152,13 @@ class Index:
                         now, held, block = key, [], None
                     ids, v, place = piece.column("id").to_numpy().copy(), matrix(piece, "vec", dim), piece.column("place").to_numpy().copy()
                     if piece.column("side")[0].as_py() == 0:
-                        held.append((ids, v, place))
+                        held.append((ids, v, place, piece.column("cell").to_numpy().copy()))
                         continue
                     if held:
-                        block, held = tuple(np.concatenate(y) for y in zip(*held, strict=True)), []
+                        block, held = Block(*(np.concatenate(y) for y in zip(*held, strict=True)), *shared.value), []
                     for at in range(0, len(ids), BATCH):
-                        waiting.append((ids[at : at + BATCH], v[at : at + BATCH], place[at : at + BATCH], piece.column("floor").to_numpy()[at : at + BATCH]))
+                        some = slice(at, at + BATCH)
+                        waiting.append((ids[some], v[some], place[some], piece.column("floor").to_numpy()[some].copy()))
                         count += len(waiting[-1][0])
                         if count >= BATCH:
                             yield from visit()
@@ -183,48 +173,146 @@ class Index:
 
     def topk(self, queries: DataFrame, k: int) -> DataFrame:
         """(qid, id, score, rank): the k rows of the highest dot product with each query (qid, vec, the group if named), ties by id."""
-        # The likeliest cells until they hold four times what is asked for.
-        first = _first(4 * k)
         self.asks += 1
         asked = self.tables.put(self._asked(queries), f"asked-{self.asks}")
-        hits = best(self._met(self._visits(asked, lambda n, d, u, f: first(n, d)), k), k)
-        if len(self.centres) == 1:
-            return hits
-        hits = self.tables.put(hits, f"first-{self.asks}")
-        floors = hits.filter(F.col("rank") == k).select(F.col("qid").alias("q"), F.col("score").alias("found"))
-        more = asked.join(floors, F.col("qid") == F.col("q"), "left").withColumn("floor", F.coalesce("found", "floor")).drop("q", "found")
-        rest = self._met(self._visits(more, lambda n, d, u, f: ~first(n, d) & (u >= f[:, None])), k)
-        return best(hits.drop("rank").unionByName(rest), k)
+        return best(self._met(self.rows, asked, k), k)
 
     def within(self, least: float) -> DataFrame:
         """(a, b, score), a < b: all pairs of rows of a group with a dot product of ``least`` or more."""
         g = [self.group] if self.group else []
         asked = self.rows.select(F.col("id").alias("qid"), "vec", "place", *g).withColumn("floor", F.lit(float(least)))
-        met = self._met(self._visits(asked, lambda n, d, u, f: u >= f[:, None]), 0, lower=True)
+        met = self._met(self.rows, asked, 0)
         return met.select(F.col("id").alias("a"), F.col("qid").alias("b"), "score")
 
     def visited(self, queries: DataFrame, k: int) -> DataFrame:
-        """(qid, cells, rows): how many cells and rows a query has to look at, for a report of what the bounds leave out."""
-        first, n = _first(4 * k), self.counts
-        asked = self._asked(queries)
-        floors = best(self._met(self._visits(asked, lambda n, d, u, f: first(n, d)), k), k).filter(F.col("rank") == k).select(F.col("qid").alias("q"), F.col("score").alias("found"))
-        more = asked.join(floors, F.col("qid") == F.col("q"), "left").withColumn("floor", F.coalesce("found", "floor")).drop("q", "found")
-        both = self._visits(more, lambda n, d, u, f: first(n, d) | (u >= f[:, None])).filter("part = 0")
-        size = F.create_map(*[F.lit(int(x)) for pair in enumerate(n) for x in pair])[F.col("cell")]
-        return both.groupBy("qid").agg(F.count(F.lit(1)).alias("cells"), F.sum(size).alias("rows"))
-
-
-def _first(need: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """Marks the likeliest cells of each query until they hold ``need`` rows."""
-
-    def mark(n: np.ndarray, dots: np.ndarray) -> np.ndarray:
-        order = np.argsort(-dots, axis=1, kind="stable")
-        before = np.cumsum(n[order], axis=1) - n[order]
-        out = np.zeros(dots.shape, bool)
-        np.put_along_axis(out, order, before < need, axis=1)
+        """(qid, cells, rows): how many cells and rows have a bound that reaches a query's k-th score, for a report of what the bounds leave out."""
+        floors = self.topk(queries, k).filter(F.col("rank") == k).select(F.col("qid").alias("q"), F.col("score").alias("found"))
+        asked = self._asked(queries).join(floors, F.col("qid") == F.col("q"), "left").select("qid", "vec", F.coalesce("found", "floor").alias("floor"))
+        shared, dim = self.spark.sparkContext.broadcast((self.centres, self.radius, self.counts)), self.dim
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c, r, n = shared.value
+            for b in batches:
+                q = matrix(b, "vec", dim)
+                ok = (_bounds(q, c, r) >= b.column("floor").to_numpy()[:, None]) & (n > 0)
+                yield pa.RecordBatch.from_arrays([b.column("qid"), pa.array(ok.sum(1)), pa.array(ok @ n)], ["qid", "cells", "rows"])
+
+        return asked.mapInArrow(run, "qid long, cells long, rows long")
+
+
+def _bounds(q: np.ndarray, c: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """What no row of a cell scores above, for each query."""
+    return q @ c.T + np.sqrt((q * q).sum(1))[:, None] * np.maximum(r, 0) + SLACK
+
+
+class Block:
+    """Rows by cell, in tiles of TILE to WIDE rows (of whole cells, or of one cell), with what their scores take."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, place: np.ndarray, cell: np.ndarray, centres: np.ndarray, radius: np.ndarray) -> None:
+        self.ids, self.x, self.place = ids, x, place
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        self.c, self.r = centres[cell[first]], radius[cell[first]]
+        end, self.tiles, begin = np.r_[first[1:], len(ids)].tolist(), [], 0
+        for k, (a, b) in enumerate(zip(first.tolist(), end, strict=True)):
+            if b - first[begin] >= TILE or k == len(end) - 1:
+                self.tiles += [(at, min(at + WIDE, b), begin, k + 1) for at in range(int(first[begin]), b, WIDE)]
+                begin = k + 1
+        self.norm = float(np.sqrt((x * x).sum(1).max(initial=0)))
+        # Single precision sifts, double precision scores. Where single could overflow, all is double.
+        self.small = x.astype(np.float32) if self.norm < 1e15 else None
+
+    def sifted(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bound of each query and tile, the queries to sift with, and by how much a sifted score may be off."""
+        bounds = _bounds(v, self.c, self.r)
+        tops = np.stack([bounds[:, i:j].max(1) for _, _, i, j in self.tiles], axis=1)
+        norms = np.sqrt((v * v).sum(1))
+        low = self.small is not None and norms.max(initial=0) < 1e15
+        off = norms * self.norm * ((v.shape[1] + 8) * 2.0**-23 if low else 1e-12) + SLACK
+        return tops, v.astype(np.float32) if low else v, off
+
+    def scores(self, w: np.ndarray, a: int, b: int) -> np.ndarray:
+        return w @ (self.small if w.dtype == np.float32 else self.x)[a:b].T
+
+    def exact(self, v: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.empty(len(i))
+        for at in range(0, len(i), 65_536):
+            some = slice(at, at + 65_536)
+            out[some] = np.round(np.einsum("ij,ij->i", v[i[some]], self.x[j[some]]), 6)
         return out
 
-    return mark
+
+def _top(block: Block, qid: np.ndarray, v: np.ndarray, before: np.ndarray, floor: np.ndarray, k: int, ordered: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """The k best rows of a block for each query: its likeliest tile first, then those whose bound reaches the k-th score so far."""
+    tops, w, off = block.sifted(v)
+    score, who = np.full((len(qid), k), -np.inf), np.full((len(qid), k), np.iinfo(np.int64).max)
+
+    def look(t: int, q: np.ndarray) -> None:
+        a, b, _, _ = block.tiles[t]
+        least = np.maximum(floor[q], score[q, k - 1])
+        hit = block.scores(w[q], a, b) >= (least - off[q]).astype(w.dtype)[:, None]
+        n = np.count_nonzero(hit)
+        if 16 * n > hit.size and b - a > k:  # many rows reach it: the tile's own k best, of ties those of the smallest ids
+            s = np.round(v[q] @ block.x[a:b].T, 6)
+            hit &= s >= least[:, None]
+            if ordered:
+                hit &= block.place[None, a:b] < before[q][:, None]
+            s = np.where(hit, s, -np.inf)
+            kth = np.partition(s, b - a - k, axis=1)[:, b - a - k]
+            hit &= s >= kth[:, None]
+            by = np.argsort(block.ids[a:b], kind="stable")
+            tie = hit & (s == kth[:, None])
+            rank = np.empty(hit.shape, np.int32)
+            rank[:, by] = np.cumsum(tie[:, by], axis=1)
+            i, j = np.nonzero(hit & (~tie | (rank <= k)))
+            s, j = s[i, j], j + a
+        else:
+            i, j = np.nonzero(hit)
+            j += a
+            if ordered:
+                ok = block.place[j] < before[q[i]]
+                i, j = i[ok], j[ok]
+            s = block.exact(v[q], i, j)
+            ok = s >= least[i]
+            i, j, s = i[ok], j[ok], s[ok]
+        if not len(i):
+            return
+        some = np.unique(i)
+        at = np.r_[np.repeat(some, k), i]
+        s, ids = np.r_[score[q[some]].ravel(), s], np.r_[who[q[some]].ravel(), block.ids[j]]
+        order = np.lexsort((ids, -s, at))
+        at, s, ids = at[order], s[order], ids[order]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        take = first[:, None] + np.arange(k)
+        score[q[some]], who[q[some]] = s[take], ids[take]
+
+    likely = tops.argmax(1)
+    for t in np.unique(likely).tolist():
+        look(t, np.flatnonzero(likely == t))
+    for t in range(len(block.tiles)):
+        need = (tops[:, t] >= np.maximum(floor, score[:, k - 1])) & (likely != t)
+        if need.any():
+            look(t, np.flatnonzero(need))
+    i, j = np.nonzero(score > -np.inf)
+    yield qid[i], who[i, j], score[i, j]
+
+
+def _all(block: Block, qid: np.ndarray, v: np.ndarray, before: np.ndarray, floor: np.ndarray, own: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """(larger id, smaller id, score) of all pairs of a query and a row of a block that reach the query's floor; own: the queries are the block's rows."""
+    tops, w, off = block.sifted(v)
+    for t, (a, b, _, _) in enumerate(block.tiles):
+        q = np.flatnonzero(tops[:, t] >= floor)
+        if not len(q):
+            continue
+        i, j = np.nonzero(block.scores(w[q], a, b) >= (floor - off)[q].astype(w.dtype)[:, None])
+        i, j = q[i], j + a
+        if own:
+            ok = block.ids[j] < qid[i]
+            i, j = i[ok], j[ok]
+        s = block.exact(v, i, j)
+        ok = s >= floor[i]
+        if ok.any():
+            x, y = qid[i[ok]], block.ids[j[ok]]
+            yield np.maximum(x, y), np.minimum(x, y), s[ok]
 
 
 def usable(vec: str):
