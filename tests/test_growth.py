@@ -41,3 +41,14 @@ def test_novelty_makes_no_row_of_a_token(spark):
     out = memories.novelty(rows, near)
     assert {r.id: r.novelty for r in out.collect()} == {1: 0.5, 2: 1.0, 3: 1.0, 4: 0.0, 5: 0.0}
     assert "Generate" not in plan(out)
+
+
+def test_error_rate_looks_at_no_row_again(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(k, "ab"[k % 2] if k % 7 else None, "test_passed" if k % 3 else "cited_by", k % 4 == 0, t + dt.timedelta(hours=7 * (k // 2)) if k % 11 else None) for k in range(200)]
+    df = spark.createDataFrame(rows, "event_id long, source string, signal_type string, success boolean, ts timestamp_ntz")
+    out = analytics.error_rate(df)
+    assert "604800 ," not in plan(out).replace(",", " ,") and "-604800" not in plan(out)
+    failed = [(s, x) for _, s, kind, ok, x in rows if kind == "test_passed" and not ok]
+    inside = lambda x, y: x is None and y is None or (x is not None and y is not None and 0 <= (y - x).total_seconds() <= 604_800)
+    assert {r.event_id: r.failures for r in out.collect()} == {k: sum(s == z and inside(x, y) for z, x in failed) for k, s, _, _, y in rows}
