@@ -35,20 +35,21 @@ def inverse(df: Column, n: Column) -> Column:
 class SparseIndex:
     """Postings of rows (id, content) for the terms of some queries (qid, content), by blocks, written to the shared folder."""
 
-    def __init__(self, spark: SparkSession, queries: DataFrame, rows: DataFrame, block: int = BLOCK) -> None:
+    def __init__(self, spark: SparkSession, queries: DataFrame, rows: DataFrame, block: int = BLOCK, copies: str | None = None) -> None:
         self.tables, self.found = Tables(spark, "postings"), {}
         asked = self.tables.put(terms(queries, "qid", "content").groupBy("qid", "term").agg(F.count(F.lit(1)).alias("tq")), "asked")
         # Classes of length double every second one: some sixty at most, however many rows.
         length = F.floor(2 * F.log2(1.0 + F.coalesce(F.char_length("content"), F.lit(0)))).cast("int")
-        rows = rows.select("id", "content", length.alias("length"))
-        sizes = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
-        self.n = sum(sizes.values())
+        rows = rows.select("id", "content", length.alias("length"), (F.col(copies) if copies else F.lit(1)).cast("long").alias("copies"))
+        counted = rows.groupBy("length").agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("copies")).collect()
+        sizes = {r["length"]: r["rows"] for r in counted}
+        self.n = sum(r["copies"] for r in counted)
         cuts = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, -(-n // block))]) if sizes else F.create_map(F.lit(0), F.lit(1))
         own = F.col("length").cast("long") * (1 << 40) + F.pmod(F.xxhash64("id"), cuts[F.col("length")])
-        posted = terms(rows.withColumn("block", own), "id", "content", "block")
-        posted = posted.join(sent(asked.select("term").distinct()), "term", "left_semi").groupBy("block", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
+        posted = terms(rows.withColumn("block", own), "id", "content", "block", "copies")
+        posted = posted.join(sent(asked.select("term").distinct()), "term", "left_semi").groupBy("block", "id", "term", "copies").agg(F.count(F.lit(1)).alias("tf"))
         self.posted = self.tables.put(posted, "posted")
-        weights = self.posted.groupBy("term").agg(inverse(F.count(F.lit(1)), F.lit(self.n)).alias("idf"))
+        weights = self.posted.groupBy("term").agg(inverse(F.sum("copies"), F.lit(self.n)).alias("idf"))
         self.asked = self.tables.put(asked.join(weights, "term"), "weighted")
         # What each term of a query can add in a block, and how many postings it has there.
         peaks = self.posted.groupBy("block", "term").agg(F.max("tf").alias("top"), F.count(F.lit(1)).alias("held"))

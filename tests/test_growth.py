@@ -43,6 +43,21 @@ def test_novelty_makes_no_row_of_a_token(spark):
     assert "Generate" not in plan(out)
 
 
+def test_alike_procedures_are_sought_once(spark, monkeypatch):
+    seen, real = [], retrieval.dense_topk
+    monkeypatch.setattr(retrieval, "dense_topk", lambda spark, q, rows, k: seen.append((q.count(), rows.count())) or real(spark, q, rows, k))
+    errors = ["disk is full now", "no such file here", "disk was full once", "port in use"]
+    made = spark.createDataFrame([(k, errors[k % 4], f"fix {k}") for k in range(120)], "id long, trigger_error string, fix string")
+    known = models.embed(made, models.hashing(64), "h", "trigger_error")
+    asked = known.filter("id % 10 = 0").select(F.col("id").alias("qid"), F.col("trigger_error").alias("error"), "vec")
+    stats = made.select("id", F.lit(True).alias("verified"), F.lit(1).alias("success_count"), F.lit(0).alias("fail_count"))
+    got = {(r.qid, r["rank"]): r.id for r in retrieval.recall_procedures(spark, asked, known, stats, 2).collect()}
+    assert seen == [(2, 4)]
+    assert {q for q, _ in got} == set(range(0, 120, 10))
+    for q in range(0, 120, 10):
+        assert [got[q, k] for k in (1, 2, 3, 4)] == [q % 4 + 4 * k for k in range(4)]
+
+
 def test_words_of_questions_are_not_sent_to_every_task(spark):
     q = spark.createDataFrame([(1, "what did src1 say"), (2, "nothing")], "qid long, content string")
     out = retrieval.classify_query(q, spark.createDataFrame([("src1",)], "library string"))
