@@ -576,12 +576,7 @@ def rt14_recorded_access(s: Store) -> DataFrame:
 def a19_recall(s: Store) -> DataFrame:
     m, q = _base(s)
     hits = retrieval.search(s.spark, q, m)
-    # Gold: containment, sought by each question's first word among the documents' words, not by a cross join.
-    word = lambda c: F.regexp_extract(F.lower(c), r"([\p{L}\p{N}]+)", 1)
-    held = m.select("id", F.col("content").alias("text"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"([\p{L}\p{N}]+)"), 1))).alias("w"))
-    longest = F.element_at(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"(?<=[^\p{L}\p{N}])([\p{L}\p{N}]+)(?=[^\p{L}\p{N}])"), 1)), lambda a, b: F.char_length(b) - F.char_length(a)), 1)
-    gold = q.select("qid", F.col("content").alias("asked"), F.coalesce(longest, word("content")).alias("w")).join(held, "w").filter(F.contains("text", "asked")).select("qid", "id").distinct()
-    return analytics.recall_at(hits, gold)
+    return analytics.recall_at(hits, retrieval.holding(q, m))
 
 
 @query("""select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a join embeddings b on a.vec_id < b.vec_id where round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) >= 0.4""")

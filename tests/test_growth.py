@@ -58,6 +58,13 @@ def test_alike_procedures_are_sought_once(spark, monkeypatch):
         assert [got[q, k] for k in (1, 2, 3, 4)] == [q % 4 + 4 * k for k in range(4)]
 
 
+def test_questions_within_texts(spark):
+    """A question of one word, or of signs alone, may stand inside a longer word or between others."""
+    rows = spark.createDataFrame([(1, "many cats here"), (2, "the big dog barks"), (3, "->* x"), (4, None)], "id long, content string")
+    q = spark.createDataFrame([(1, "cat"), (2, "e big dog b"), (3, "->*"), (4, "Big dog"), (5, None)], "qid long, content string")
+    assert sorted((r.qid, r.id) for r in retrieval.holding(q, rows).collect()) == [(1, 1), (2, 2), (3, 3)]
+
+
 def test_words_of_questions_are_not_sent_to_every_task(spark):
     q = spark.createDataFrame([(1, "what did src1 say"), (2, "nothing")], "qid long, content string")
     out = retrieval.classify_query(q, spark.createDataFrame([("src1",)], "library string"))
