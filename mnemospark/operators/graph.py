@@ -8,11 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemospark.operators import models
 from mnemospark.operators.memories import flag
 from mnemospark.sources.shared import Tables
 
-#: Names that an automaton holds in every worker, at most; more meet the texts by their first characters.
+#: Names, or beginnings of names, that an automaton holds in every worker, at most; characters of a beginning, at most.
 NAMES = 50_000
 GRAM = 4
 
@@ -55,8 +54,9 @@ def walk_edges(spark: SparkSession, facts: DataFrame, start: str, hops: int) ->
 def mentions(spark: SparkSession, memories: DataFrame, names: DataFrame, most: int = NAMES) -> DataFrame:
     """(id, name), each once: memories (id, content) whose text holds a name of four bytes and more, in any case, anywhere.
 
-    Up to ``most`` names are one automaton in every worker, which reads each text once. More are joined with the
-    texts' runs of GRAM characters by their first ones (a shorter name by all of its own), and then sought.
+    Up to ``most`` names are one automaton in every worker, which reads each text once. Of more, their beginnings of up to GRAM
+    characters are; where one stands, as many characters as the names of that beginning have are joined with the names. So names
+    that begin alike do not meet every text that holds their beginning.
     """
     known = names.select("name", F.lower("name").alias("low")).filter("octet_length(name) >= 4").distinct()
     counted = known.limit(most + 1).count()
@@ -84,17 +84,29 @@ def mentions(spark: SparkSession, memories: DataFrame, names: DataFrame, most: i
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["id", "name"])
 
         return memories.select(F.col("id").cast("long").alias("id"), F.lower("content").alias("low")).mapInArrow(run, "id long, name string").distinct()
-    texts = memories.select(F.col("id").cast("long").alias("id"), F.lower("content").alias("text")).filter("text is not null")
-    out = None
-    for size in range(1, GRAM + 1):  # names of fewer characters meet texts by all of them
-        some = known.filter(F.char_length("low") == size if size < GRAM else F.char_length("low") >= size)
-        some = some.select("name", "low", F.substring("low", 1, size).alias("gram"))
-        runs = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - (size - 1), F.lit(1))), lambda k: F.array_join(F.slice(c, k, size), ""))  # noqa: B023, E731
-        grams = F.array_distinct(models.once(F.split("text", ""), runs))
-        met = texts.select("id", F.explode(grams).alias("gram")).join(some, "gram").select("id", "name", "low")
-        hit = met.join(texts, "id").filter(F.contains("text", "low")).select("id", "name")
-        out = hit if out is None else out.unionByName(hit)
-    return out.distinct()
+    for size in range(GRAM, 0, -1):  # as long beginnings as are few enough
+        heads = known.groupBy(F.substring("low", 1, size).alias("head")).agg(F.collect_set(F.char_length("low")).alias("sizes"))
+        if size == 1 or heads.limit(most + 1).count() <= most:
+            break
+    begun = spark.sparkContext.broadcast([(r["head"], sorted(r["sizes"])) for r in heads.collect()])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for head, sizes in begun.value:
+            machine.add_word(head, (len(head) - 1, sizes))
+        machine.make_automaton()
+        for b in batches:
+            ids, out = [], []
+            for i, t in zip(b.column("id").to_pylist(), b.column("low").to_pylist(), strict=True):
+                hit = {t[end - back : end - back + n] for end, (back, sizes) in machine.iter(t) for n in sizes if end - back + n <= len(t)} if t else ()
+                ids += [i] * len(hit)
+                out += sorted(hit)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["id", "low"])
+
+    runs = memories.select(F.col("id").cast("long").alias("id"), F.lower("content").alias("low")).mapInArrow(pick, "id long, low string")
+    return runs.join(known.hint("merge"), "low").select("id", "name").distinct()
 
 
 def brain(spark: SparkSession, facts: DataFrame, memories: DataFrame, visible: Column, per_library: int | None = 200) -> tuple[DataFrame, DataFrame]:

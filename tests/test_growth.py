@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
-from mnemospark.operators import analytics, memories, models, retrieval, vectors
+from mnemospark.operators import analytics, graph, memories, models, retrieval, vectors
 
 
 def plan(df):
@@ -81,3 +81,14 @@ def test_error_rate_looks_at_no_row_again(spark):
     failed = [(s, x) for _, s, kind, ok, x in rows if kind == "test_passed" and not ok]
     inside = lambda x, y: x is None and y is None or (x is not None and y is not None and 0 <= (y - x).total_seconds() <= 604_800)
     assert {r.event_id: r.failures for r in out.collect()} == {k: sum(s == z and inside(x, y) for z, x in failed) for k, s, _, _, y in rows}
+
+
+def test_names_that_begin_alike(spark):
+    """Names of one beginning meet only the texts that hold them: what is joined stays few rows."""
+    texts = [(k, f"{'x' * (240 + k)} user_{k} and user_ alone " + "user_77777 😀name" * (k == 3)) for k in range(40)] + [(90, None)]
+    names = [(f"user_{k}",) for k in range(3000)] + [("😀name",), ("a name of more than twenty-four characters",)]
+    m = spark.createDataFrame(texts, "id long, content string")
+    made = graph.mentions(spark, m, spark.createDataFrame(names, "name string"), 10)
+    got = {(r.id, r.name) for r in made.collect()}
+    assert got == {(k, n) for k, t in texts if t for (n,) in names if n in t}
+    assert "Contains" not in plan(made) and "contains" not in plan(made)
