@@ -33,6 +33,11 @@ def cover(first: Column, last: Column, levels: int) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at)))
 
 
+def _code(c: Column) -> Column:
+    """A cell as one number."""
+    return c["level"].cast("long") * (1 << 40) + c["cell"]
+
+
 def as_of_join(instants: DataFrame, facts: DataFrame, key: str = "subject", levels: int = LEVELS) -> DataFrame:
     """instants (key, at, more) with each fact of their key that held then: known states, valid, created_at <= at < valid_until.
 
@@ -47,11 +52,11 @@ def as_of_join(instants: DataFrame, facts: DataFrame, key: str = "subject", leve
     inside = lambda t: F.greatest(F.least(leaf(t), F.lit((1 << levels) - 1)), F.lit(0))
     created, until = (F.unix_micros(F.col(c).cast("timestamp")) for c in ("created_at", "valid_until"))
     held = facts.filter(F.col("valid") & state & (F.coalesce(created, F.lit(low)) <= high) & (F.coalesce(until, F.lit(high + 1)) > low))
-    held = held.withColumn("__c", F.explode(cover(inside(F.coalesce(created, F.lit(low))), inside(F.coalesce(until, F.lit(high))), levels)))
+    held = held.withColumn("__c", F.explode(F.transform(cover(inside(F.coalesce(created, F.lit(low))), inside(F.coalesce(until, F.lit(high))), levels), _code)))
     taken = {c: f"fact_{c}" for c in facts.columns if c in instants.columns and c != key}
     held = held.withColumnRenamed(key, "__key").withColumnsRenamed(taken)
-    steps = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda level: F.struct(level.alias("level"), F.floor(inside(at) / F.pow(F.lit(2), level)).cast("long").alias("cell")))
+    steps = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda level: _code(F.struct(level.alias("level"), F.floor(inside(at) / F.pow(F.lit(2), level)).cast("long").alias("cell"))))
     asked = instants.filter(F.col("at").isNotNull()).withColumn("__i", F.explode(steps))
-    met = asked.join(held, (F.col(key) == F.col("__key")) & (F.col("__i.level") == F.col("__c.level")) & (F.col("__i.cell") == F.col("__c.cell")))
+    met = asked.join(held, (F.col(key) == F.col("__key")) & (F.col("__i") == F.col("__c")))
     named = lambda c: F.col(taken.get(c, c)).cast("timestamp")
     return met.filter(valid_at(named("created_at"), named("valid_until"), F.col("at").cast("timestamp"))).drop("__i", "__c", "__key")
