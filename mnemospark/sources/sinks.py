@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.functions import ids, text
 
-CHUNK = 500
+#: Characters of a chunk, about; texts that a worker holds as Python strings at once.
+CHUNK, SLICE = 500, 256
 
 
 def _ranges(sizes: list[int], most: int, carry: int):
@@ -40,11 +41,13 @@ def chunks_of(s: str, most: int = CHUNK) -> list[str]:
 
 
 def chunks(c: Column) -> Column:
-    """A text's chunks; null as empty. The carry makes each chunk hang on the one before, so this is Python, by batches."""
+    """A text's chunks; null as empty. The carry makes each chunk hang on the one before, so this is Python, by batches, of which SLICE texts at a time are strings there."""
 
-    @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: chunks_of(x or ""))
+    @F.arrow_udf("array<string>")
+    def run(s: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.string())
+        some = [pa.array([chunks_of(x or "") for x in s.slice(at, SLICE).to_pylist()], kind) for at in range(0, len(s), SLICE)]
+        return pa.concat_arrays(some) if some else pa.array([], kind)
 
     return run(c)
 
