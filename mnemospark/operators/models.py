@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,12 +39,17 @@ def normalised(v: Column) -> Column:
 def hashing(size: int = 64, prefix: str = "") -> Embedder:
     """Embeds a text as its counted token buckets, normalised; ``prefix`` tells queries from passages, as models want it."""
 
-    def embed(c: Column) -> Column:
-        places = F.sequence(F.lit(0), F.lit(size - 1))
-        counts = lambda b: F.transform(places, lambda k: F.size(F.filter(b, lambda x: x == k)).cast("double"))
-        return normalised(once(buckets(F.concat(F.lit(prefix), c) if prefix else c, size), counts))
-
-    return embed
+    @F.arrow_udf("array<double>")
+    def counted(b: pa.Array) -> pa.Array:
+        """All buckets of a batch are counted at once; a zero vector stays."""
+        n = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(b), 0), np.int64)
+        of = np.repeat(np.arange(len(b), dtype=np.int64), n)
+        c = np.bincount(of * size + b.flatten().to_numpy(zero_copy_only=False), minlength=len(b) * size).reshape(-1, size).astype(float)
+        norm = np.sqrt((c * c).sum(axis=1))
+        c /= np.where(norm > 0, norm, 1)[:, None]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * size), pa.array(c.ravel()), mask=b.is_null())
+
+    return lambda c: counted(buckets(F.concat(F.lit(prefix), c) if prefix else c, size))
 
 
 def pooled(states: Column, mask: Column, how: str = "mean") -> Column:
