@@ -11,6 +11,8 @@ itself is quadratic where bounds leave nothing out.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,8 @@ SAMPLE, CELLS, CELL_ROWS = 16_384, 1024, 256
 SHARE, LEAST_ROWS, PART_ROWS = 8, 16_384, 262_144
 #: Queries that a block's rows are multiplied with at once, and rows of a tile of these, at least about and at most.
 BATCH, TILE, WIDE = 1024, 64, 1024
+#: Signs that sift pairs which share a band; a multiple of 64.
+SIFT = 192
 #: Scores are rounded to 6 digits; bounds are widened by more than rounding and summing can move them.
 SLACK = 2e-6
 
@@ -329,31 +333,48 @@ def banded_pairs(spark: SparkSession, rows: DataFrame, least: float, bands: int
     """(library, a, b, score), a < b: pairs of unit vectors of a library that share a band of signs and score ``least`` or more.
 
     Each band is ``bits`` signs of projections on seeded random directions. A pair at a cosine of 0.95 agrees
-    on a sign with 0.899, so on one of 20 bands of 16 with 0.98; closer pairs more often. Candidates are
-    narrow rows; vectors are fetched for the distinct ones and the dot product decides.
+    on a sign with 0.899, so on one of 20 bands of 16 with 0.98; closer pairs more often. Of the pairs that meet, those
+    that ``banded`` leaves get their vectors and the dot product decides.
     """
     kept = rows.filter(usable("vec")).select("library", "id", "vec")
+    pairs = banded(kept, least, bands, bits, seed)
+    va, vb = kept.select(F.col("id").alias("a"), F.col("vec").alias("va")), kept.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
+    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, x: t + x)
+    return pairs.join(va, "a").join(vb, "b").withColumn("score", F.round(dot, 6)).filter(F.col("score") >= least).select("library", "a", "b", "score")
+
+
+def banded(kept: DataFrame, least: float, bands: int, bits: int, seed: int) -> DataFrame:
+    """(library, a, b), a < b: pairs that share a band and whose SIFT signs of further directions can be those of a score of ``least``.
+
+    How many unlike pairs meet in a band grows with the square of the rows, so they are refused where they meet. Of a
+    pair at an angle of p times pi, SIFT * p signs differ in the mean; eight deviations more are let through.
+    """
+    words = [f"s{k}" for k in range(SIFT // 64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         powers = 1 << np.arange(bits, dtype=np.int64)
         for b in batches:
             size = pa.compute.list_value_length(b.column("vec")).to_numpy()
             for dim in np.unique(size).tolist():
                 some = b.filter(pa.array(size == dim))
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, bands * bits))
-                signs = (matrix(some, "vec", dim) @ planes[dim] >= 0).reshape(some.num_rows, bands, bits)
+                    planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, bands * bits)), np.random.default_rng([seed, dim, 1]).standard_normal((dim, SIFT))
+                x = matrix(some, "vec", dim)
+                signs = (x @ planes[dim][0] >= 0).reshape(some.num_rows, bands, bits)
                 keys = (signs @ powers).astype(np.int64) + (np.arange(bands, dtype=np.int64) << 40) + (dim << 48)
                 again = np.repeat(np.arange(some.num_rows), bands)
-                yield pa.RecordBatch.from_arrays([some.column("library").take(pa.array(again)), some.column("id").take(pa.array(again)), pa.array(keys.ravel())], ["library", "id", "key"])
+                sifted = np.packbits(x @ planes[dim][1] >= 0, axis=1).view(np.int64)[again]
+                norm = np.ceil(1000 * np.sqrt((x * x).sum(1)))[again] / 1000
+                yield pa.RecordBatch.from_arrays([some.column("library").take(pa.array(again)), some.column("id").take(pa.array(again)), pa.array(keys.ravel()), pa.array(norm), *[pa.array(np.ascontiguousarray(w)) for w in sifted.T]], ["library", "id", "key", "norm", *words])
 
-    keys = kept.mapInArrow(run, "library string, id long, key long")
-    other = keys.select(F.col("library").alias("l"), F.col("key").alias("k"), F.col("id").alias("b"))
-    pairs = keys.join(other, F.col("library").eqNullSafe(F.col("l")) & (F.col("key") == F.col("k")) & (F.col("id") < F.col("b"))).select("library", F.col("id").alias("a"), "b").distinct()
-    va, vb = kept.select(F.col("id").alias("a"), F.col("vec").alias("va")), kept.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, x: t + x)
-    return pairs.join(va, "a").join(vb, "b").withColumn("score", F.round(dot, 6)).filter(F.col("score") >= least).select("library", "a", "b", "score")
+    keys = kept.mapInArrow(run, f"library string, id long, key long, norm double, {', '.join(f'{w} long' for w in words)}")
+    x, y = keys.alias("x"), keys.alias("y")
+    p = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), least / F.greatest(F.col("x.norm") * F.col("y.norm"), F.lit(1e-9))))) / math.pi
+    unlike = functools.reduce(lambda s, w: s + F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))), words, F.lit(0))
+    met = F.col("x.library").eqNullSafe(F.col("y.library")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))
+    near = unlike <= SIFT * p + 8 * F.sqrt(SIFT * p * (1 - p)) + 1
+    return x.join(y, met & near).select("x.library", F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def near_classes(spark: SparkSession, rows: DataFrame, least: float = 0.95, exact: bool = False, bands: int = 20, bits: int = 16) -> tuple[DataFrame, DataFrame]:
@@ -376,13 +397,13 @@ def near_classes(spark: SparkSession, rows: DataFrame, least: float = 0.95, exac
 
 
 def merged(spark: SparkSession, rows: DataFrame, least: float = 0.95, exact: bool = False) -> DataFrame:
-    """(id, winner) for memories (library, id, content, created_at, vec) that go: the most preferred near one stays.
+    """(id, winner) for memories (library, id, content, created_at, vec) that go: the most preferred near one stays. ``chars`` may stand for the content, which then is shipped nowhere.
 
     A near row of the library is preferred if it is longer, then older, then has the smaller id.
     """
     members, pairs = near_classes(spark, rows.select("library", "id", "vec"), least, exact)
     far = F.lit("9999-12-31").cast("timestamp")
-    order = rows.select("id", F.struct(-F.char_length("content").alias("n"), F.coalesce("created_at", far).alias("at"), F.col("id").alias("id")).alias("o"))
+    order = rows.select("id", F.struct(-(F.col("chars") if "chars" in rows.columns else F.char_length("content")).alias("n"), F.coalesce("created_at", far).alias("at"), F.col("id").alias("id")).alias("o"))
     tables = Tables(spark, "merge")
     ranked = tables.put(members.join(order, "id"), "ranked")
     top = ranked.groupBy("class").agg(F.min("o").alias("o"))

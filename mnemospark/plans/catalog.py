@@ -602,7 +602,8 @@ select id, winner from l"""
 
 def _with_vectors(s: Store) -> DataFrame:
     n = s.embeddings.count()
-    return s.memories.filter("content is not null").withColumn("vec_id", F.col("id") % n).join(s.embeddings.select("vec_id", F.col("embedding").alias("vec")), "vec_id")
+    rows = s.memories.filter("content is not null").select("id", "library", F.char_length("content").alias("chars"), "created_at", (F.col("id") % n).alias("vec_id"))
+    return rows.join(s.embeddings.select("vec_id", F.col("embedding").alias("vec")), "vec_id")
 
 
 @query(MERGE)

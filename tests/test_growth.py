@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from mnemospark.operators import analytics, graph, memories, models, retrieval, vectors
+from mnemospark.plans import catalog
 
 
 def plan(df):
@@ -92,3 +93,24 @@ def test_names_that_begin_alike(spark):
     got = {(r.id, r.name) for r in made.collect()}
     assert got == {(k, n) for k, t in texts if t for (n,) in names if n in t}
     assert "Contains" not in plan(made) and "contains" not in plan(made)
+
+
+def test_unlike_pairs_of_a_band_get_no_vectors(spark):
+    """The square of the rows meets in bands; what gets vectors grows with the pairs that are near."""
+    x, rows = vectors_of(spark, 3000, 64)
+    near = np.vstack([x, 0.99 * x[:50] + 0.05 * x[50:100]])
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    planted = {(k, 3000 + k) for k in range(50)}
+    for scale in (1.0, 1.3):  # of no unit length: a score of 0.95 is a smaller cosine
+        rows = spark.createDataFrame([("l", k, [float(v) for v in r]) for k, r in enumerate(near * scale)], "library string, id long, vec array<double>")
+        pairs = {(r.a, r.b) for r in vectors.banded(rows, 0.95, 20, 8, 7).collect()}
+        assert planted <= pairs and (scale > 1 or len(pairs) < 200)
+    found = {(r.a, r.b) for r in vectors.banded_pairs(spark, rows, 0.95, 20, 8).collect()}
+    assert planted <= found
+
+
+def test_texts_are_not_shipped_to_be_merged(spark):
+    """Merging by length and age needs no text beyond its length."""
+    store = catalog.Store(spark, "/root/testdata/sf0.001")
+    assert "content" not in catalog._with_vectors(store).columns
+    assert catalog.QUERIES["wd16_merged_exact"](spark, "/root/testdata/sf0.001").count() == catalog.QUERIES["wd16_merged_bands"](spark, "/root/testdata/sf0.001").count()
