@@ -22,6 +22,8 @@ from mnemospark.functions import belief
 
 VISIBLE = ("active", "contested")
 EPOCH = dt.datetime(1970, 1, 1)
+#: Buckets that share a stream's axes, or keys: a call of Python for each of them and batch.
+BUCKETS = 2048
 
 
 class Axis:
@@ -105,23 +107,35 @@ def folded(assertions: DataFrame, mode: str) -> DataFrame:
 def streamed(assertions: DataFrame, mode: str = "chat-only", ttl: str = "365 days") -> DataFrame:
     """(event_id, subject, predicate, object, verdict, retired) of a stream of writes on one-value axes, which carry their cardinality.
 
-    State is the axis's values. Visible ones stay; one that was hidden for ``ttl`` before the axis's latest write is
-    forgotten, so that it counts as new when it is written again. Writes of a batch are taken in event time; the order
-    between batches is theirs.
+    State is the values of the axes, BUCKETS of which share the axes by hash: a call of Python and a row of state a bucket, not
+    an axis. Visible values stay; one that was hidden for ``ttl`` before its axis's latest write is forgotten, so that it
+    counts as new when it is written again. Writes of a batch are taken in event time; the order between batches is theirs.
     """
     w_new, span = weight(mode), pd.Timedelta(ttl).total_seconds()
 
     def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs)).sort_values(["created_at", "event_id"])
-        values = {o: [c, d, s, u] for o, c, d, s, u in zip(*state.get, strict=True)} if state.exists else {}
-        axis, times = Axis(pdf["cardinality"].iloc[0] == "temporal-single", w_new, values), _seconds(pdf["created_at"])
-        out = [axis.write(o, int(d), t) for o, d, t in zip(pdf["object"], pdf["dependants"], times, strict=True)]
-        kept = {o: v for o, v in axis.values.items() if v[2] in VISIBLE or (v[3] if v[3] is not None else v[0]) >= times[-1] - span}
-        state.update((list(kept), *([v[k] for v in kept.values()] for k in range(4))))
+        pdf = pd.concat(list(pdfs)).sort_values(["subject", "predicate", "created_at", "event_id"])
+        axes: dict[tuple, dict[str, list]] = {}
+        for s, p, o, *v in zip(*state.get, strict=True) if state.exists else ():
+            axes.setdefault((s, p), {})[o] = v
+        now, axis, out, last = None, None, [], {}
+        for s, p, o, d, card, t in zip(*(pdf[c] for c in ("subject", "predicate", "object", "dependants", "cardinality")), _seconds(pdf["created_at"]), strict=True):
+            # Null names are one axis, as they are one group.
+            of = tuple(None if pd.isna(x) else x for x in (s, p))
+            if axis is None or of != now:
+                now, axis = of, Axis(card == "temporal-single", w_new, axes.get(of))
+                axes[of] = axis.values
+            out.append(axis.write(o, int(d), t))
+            last[of] = t
+        for of, t in last.items():
+            axes[of] = {o: v for o, v in axes[of].items() if v[2] in VISIBLE or (v[3] if v[3] is not None else v[0]) >= t - span}
+        kept = [(*of, o, *v) for of, values in axes.items() for o, v in values.items()]
+        state.update(tuple(map(list, zip(*kept, strict=True))) if kept else ([],) * 7)
         yield pdf[["event_id", "subject", "predicate", "object"]].assign(verdict=[v for v, _ in out], retired=[x for _, x in out])
 
     rows = assertions.withColumn("created_at", F.col("created_at").cast("timestamp_ntz")).withColumn("dependants", F.coalesce("dependants", F.lit(0)).cast("long"))
     rows = rows.select("event_id", "subject", "predicate", "object", "dependants", "created_at", "cardinality")
-    kinds = "objects array<string>, created array<double>, dependants array<long>, status array<string>, until array<double>"
+    kinds = "subjects array<string>, predicates array<string>, objects array<string>, created array<double>, dependants array<long>, status array<string>, until array<double>"
     out = "event_id long, subject string, predicate string, object string, verdict string, retired string"
-    return rows.groupBy("subject", "predicate").applyInPandasWithState(fold, out, kinds, "append", GroupStateTimeout.NoTimeout)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("subject", "predicate"), F.lit(BUCKETS)).cast("int"))
+    return rows.groupBy("bucket").applyInPandasWithState(fold, out, kinds, "append", GroupStateTimeout.NoTimeout)

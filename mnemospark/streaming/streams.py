@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mnemospark.operators import duels as fold
+from mnemospark.operators.duels import BUCKETS
 
 
 def pulses(audit: DataFrame) -> DataFrame:
@@ -69,25 +70,36 @@ def quota(writes: DataFrame, most: int, seconds: int = 60, late: str = "10 minut
 def doubt_counters(observations: DataFrame, least: int = 5, forget: str = "3650 days", late: str = "10 minutes") -> DataFrame:
     """(key, seq, counter, inside) for drift observations (key, seq, drifted, at): a drift counts up, its absence resets.
 
-    A key that is not observed for ``forget`` loses its counter once the watermark says so.
+    A key that is not observed for ``forget`` loses its counter once the watermark says so. Keys are dealt to buckets by
+    hash, each a row of state with the counters of its keys and when these end, so that Python is called once a bucket, not a key.
     """
     span = pd.Timedelta(forget).total_seconds()
 
     def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs()
+        held = {k: (n, end) for k, n, end in zip(*state.get, strict=True)} if state.exists else {}
         if state.hasTimedOut:
+            held = {k: v for k, v in held.items() if v[1] >= mark}
+        else:
+            pdf = pd.concat(list(pdfs)).sort_values("seq")
+            names, out, seen = [None if pd.isna(k) else k for k in pdf["key"]], [], {}
+            for k, d, t in zip(names, pdf["drifted"], _seconds(pdf["at"]), strict=True):
+                n, latest = seen[k] if k in seen else (held[k][0] if k in held else 0, t)
+                n = n + 1 if d else 0
+                seen[k] = n, max(latest, t)
+                out.append(n)
+            held = {k: v for k, v in held.items() if v[1] >= mark} | {k: (n, max(int((t + span) * 1000), mark + 1)) for k, (n, t) in seen.items()}
+        if held:
+            state.update((list(held), [n for n, _ in held.values()], [end for _, end in held.values()]))
+            state.setTimeoutTimestamp(max(min(end for _, end in held.values()), mark + 1))
+        else:
             state.remove()
-            return
-        pdf = pd.concat(list(pdfs)).sort_values("seq")
-        n, out = state.get[0] if state.exists else 0, []
-        for d in pdf["drifted"]:
-            n = n + 1 if d else 0
-            out.append(n)
-        state.update((n,))
-        _forget(state, max(_seconds(pdf["at"])) + span)
-        yield pd.DataFrame({"key": key[0], "seq": pdf["seq"].to_numpy(), "counter": out, "inside": [x >= least for x in out]})
-
-    rows = observations.withWatermark("at", late).groupBy("key")
-    return rows.applyInPandasWithState(fold, "key string, seq long, counter int, inside boolean", "n int", "append", GroupStateTimeout.EventTimeTimeout)
+        if not state.hasTimedOut:
+            yield pd.DataFrame({"key": names, "seq": pdf["seq"].to_numpy(), "counter": out, "inside": [x >= least for x in out]})
+
+    rows = observations.withWatermark("at", late).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")).groupBy("bucket")
+    kinds = "keys array<string>, counters array<int>, ends array<long>"
+    return rows.applyInPandasWithState(fold, "key string, seq long, counter int, inside boolean", kinds, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _seconds(c: pd.Series) -> list[float]:

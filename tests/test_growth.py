@@ -5,8 +5,9 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
-from mnemospark.operators import analytics, graph, memories, models, retrieval, vectors
+from mnemospark.operators import analytics, duels, graph, memories, models, retrieval, vectors
 from mnemospark.plans import catalog
+from mnemospark.streaming import runs, streams
 
 
 def plan(df):
@@ -114,3 +115,23 @@ def test_texts_are_not_shipped_to_be_merged(spark):
     store = catalog.Store(spark, "/root/testdata/sf0.001")
     assert "content" not in catalog._with_vectors(store).columns
     assert catalog.QUERIES["wd16_merged_exact"](spark, "/root/testdata/sf0.001").count() == catalog.QUERIES["wd16_merged_bands"](spark, "/root/testdata/sf0.001").count()
+
+
+def test_streams_call_python_once_a_bucket(spark):
+    """Axes and keys by the hundred take one row of state for each bucket, and every one keeps its own values and counter."""
+    at = dt.datetime(2024, 1, 1)
+    writes = spark.createDataFrame([(k, f"u{k % 300}", "p", f"v{k // 300}", 1, at + dt.timedelta(hours=k), "single") for k in range(900)], "event_id long, subject string, predicate string, object string, dependants long, created_at timestamp, cardinality string")
+    monkey = duels.BUCKETS, streams.BUCKETS
+    duels.BUCKETS = streams.BUCKETS = 4
+    try:
+        run = runs.run_slices(spark, "few-duels", writes, duels.streamed, "created_at")
+        got = {r.event_id: (r.verdict, r.retired) for r in run.rows().collect()}
+        want = {r.event_id: (r.verdict, r.retired) for r in duels.folded(writes, "chat-only").filter("event_id is not null").collect()}
+        assert got == want and len(got) == 900
+        assert max(s["numRowsTotal"] for p in run.progress for s in p["stateOperators"]) <= 4
+        seen = spark.createDataFrame([(f"u{k % 300}", k, k % 300 < 200 or k < 300, at + dt.timedelta(minutes=k)) for k in range(900)], "key string, seq long, drifted boolean, at timestamp")
+        run = runs.run_slices(spark, "few-doubts", seen, streams.doubt_counters, "at")
+        assert {r.seq: r.counter for r in run.rows().collect()} == {k: 1 + k // 300 if k % 300 < 200 or k < 300 else 0 for k in range(900)}
+        assert max(s["numRowsTotal"] for p in run.progress for s in p["stateOperators"]) <= 4
+    finally:
+        duels.BUCKETS, streams.BUCKETS = monkey
