@@ -177,3 +177,28 @@ def test_lines_short_and_without_blanks(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.text for r in op8_line_dedup.dedup_lines(spark, docs).collect()}
     assert got == {0: texts[0], 1: "", 2: "\n  \nAnd so", 3: "กรุงเทพมหานคร", 4: "---\nnew"}
+
+
+def test_lines_found_whatever_else_shares_their_words(spark, monkeypatch):
+    """Near copies with letters changed go, alone and where each pair of their words stands in nine more lines, in crowds and many at a time too."""
+    rng = np.random.default_rng(9)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    word = lambda: "".join(rng.choice(letters, rng.integers(4, 9)))
+    lines, others = [], []
+    for _ in range(30):
+        x = [word() for _ in range(14)]
+        y = list(x)
+        for i in rng.choice(14, 5, replace=False):
+            y[i] = y[i][:2] + "0" + y[i][3:]
+        lines += [" ".join(x), " ".join(y)]
+        for a, b, c, d in zip(x, x[1:], y, y[1:]):
+            if (a, b) == (c, d):
+                others += [" ".join([*(word() for _ in range(6)), a, b, *(word() for _ in range(6))]) for _ in range(9)]
+    want = {k for k in range(len(lines)) if k % 2}
+    gone = lambda texts: {r.doc_id for r in op8_line_dedup.dedup_lines(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect() if r.n_dropped}
+    assert gone(lines) == want
+    assert gone(lines + others) == want
+    monkeypatch.setattr(op8_line_dedup, "CROWD", 9)
+    monkeypatch.setattr(op8_line_dedup, "PAIRED", 1)
+    monkeypatch.setattr(op8_line_dedup, "HELD", 10)
+    assert gone(lines + others) == want
