@@ -33,6 +33,8 @@ BATCH, TILE, WIDE = 1024, 64, 1024
 SIFT = 192
 #: Scores are rounded to 6 digits; bounds are widened by more than rounding and summing can move them.
 SLACK = 2e-6
+#: What stands where no id is found.
+LAST = np.iinfo(np.int64).max
 
 
 def centroids(sample: np.ndarray, k: int, rounds: int = 4) -> np.ndarray:
@@ -120,8 +122,9 @@ class Index:
         both = x.select(*keys, *cols).unionByName(q.select(*keys, *cols))
         return both.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "side", "cell", "id")
 
-    def _met(self, rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-        """(qid, id, score): the k best rows of each block with a score of the query's floor at least; k 0: all, each pair once, the larger id as qid."""
+    def _met(self, rows: DataFrame, queries: DataFrame, k: int, lost: bool = False) -> DataFrame:
+        """(qid, id, score): the k best rows of each block with a score of the query's floor at least; k 0: all, each pair once, the larger id as qid;
+        lost: of these pairs, for the one of the later place the smallest id that it meets in a block, without a score."""
         met, dim, ordered = self._dealt(rows, queries, not k), self.dim, self.order is not None
         shared = self.spark.sparkContext.broadcast((self.centres, self.radius))
         keys = [*([self.group] if self.group else []), "i", "j"]
@@ -133,10 +136,16 @@ class Index:
                 nonlocal waiting, count
                 if block is not None and waiting:
                     q = tuple(np.concatenate(y) for y in zip(*waiting, strict=True))
-                    for some in _top(block, *q, k, ordered) if k else _all(block, *q, now[-2] == now[-1]):
+                    own = now[-2] == now[-1]
+                    for some in _top(block, *q, k, ordered) if k else _lost(block, *q, own) if lost else _all(block, *q, own):
                         yield pa.RecordBatch.from_arrays([pa.array(y) for y in some], ["qid", "id", "score"])
                 waiting, count = [], 0
 
+            def beaten() -> Iterator[pa.RecordBatch]:
+                if lost and block is not None:
+                    some = np.flatnonzero(block.winner < LAST)
+                    yield pa.RecordBatch.from_arrays([pa.array(block.ids[some]), pa.array(block.winner[some]), pa.array(np.zeros(len(some)))], ["qid", "id", "score"])
+
             for b in batches:
                 code = np.zeros(b.num_rows, bool)
                 for name in [*keys, "side"]:
@@ -153,6 +162,7 @@ class Index:
                     key = tuple(piece.column(name)[0].as_py() for name in keys)
                     if key != now:
                         yield from visit()
+                        yield from beaten()
                         now, held, block = key, [], None
                     ids, v, place = piece.column("id").to_numpy().copy(), matrix(piece, "vec", dim), piece.column("place").to_numpy().copy()
                     if piece.column("side")[0].as_py() == 0:
@@ -167,6 +177,7 @@ class Index:
                         if count >= BATCH:
                             yield from visit()
             yield from visit()
+            yield from beaten()
 
         return met.mapInArrow(run, "qid long, id long, score double")
 
@@ -188,6 +199,15 @@ class Index:
         met = self._met(self.rows, asked, 0)
         return met.select(F.col("id").alias("a"), F.col("qid").alias("b"), "score")
 
+    def beaten(self, least: float) -> DataFrame:
+        """(id, winner): of the rows of a group with a dot product of ``least`` or more that come before a row in the order named, the smallest id.
+
+        Pairs are folded where they are found, so that what leaves a task is a row for each row and block, however many are near.
+        """
+        g = [self.group] if self.group else []
+        asked = self.rows.select(F.col("id").alias("qid"), "vec", "place", *g).withColumn("floor", F.lit(float(least)))
+        return self._met(self.rows, asked, 0, lost=True).groupBy(F.col("qid").alias("id")).agg(F.min("id").alias("winner"))
+
     def visited(self, queries: DataFrame, k: int) -> DataFrame:
         """(qid, cells, rows): how many cells and rows have a bound that reaches a query's k-th score, for a report of what the bounds leave out."""
         floors = self.topk(queries, k).filter(F.col("rank") == k).select(F.col("qid").alias("q"), F.col("score").alias("found"))
@@ -221,6 +241,7 @@ class Block:
             if b - first[begin] >= TILE or k == len(end) - 1:
                 self.tiles += [(at, min(at + WIDE, b), begin, k + 1) for at in range(int(first[begin]), b, WIDE)]
                 begin = k + 1
+        self.winner = np.full(len(ids), LAST)
         self.norm = float(np.sqrt((x * x).sum(1).max(initial=0)))
         # Single precision sifts, double precision scores. Where single could overflow, all is double.
         self.small = x.astype(np.float32) if self.norm < 1e15 else None
@@ -248,7 +269,7 @@ class Block:
 def _top(block: Block, qid: np.ndarray, v: np.ndarray, before: np.ndarray, floor: np.ndarray, k: int, ordered: bool) -> Iterator[tuple[np.ndarray, ...]]:
     """The k best rows of a block for each query: its likeliest tile first, then those whose bound reaches the k-th score so far."""
     tops, w, off = block.sifted(v)
-    score, who = np.full((len(qid), k), -np.inf), np.full((len(qid), k), np.iinfo(np.int64).max)
+    score, who = np.full((len(qid), k), -np.inf), np.full((len(qid), k), LAST)
 
     def look(t: int, q: np.ndarray) -> None:
         a, b, _, _ = block.tiles[t]
@@ -301,7 +322,25 @@ def _top(block: Block, qid: np.ndarray, v: np.ndarray, before: np.ndarray, floor
 
 
 def _all(block: Block, qid: np.ndarray, v: np.ndarray, before: np.ndarray, floor: np.ndarray, own: bool) -> Iterator[tuple[np.ndarray, ...]]:
-    """(larger id, smaller id, score) of all pairs of a query and a row of a block that reach the query's floor; own: the queries are the block's rows."""
+    """(larger id, smaller id, score) of all pairs of a query and a row of a block that reach the query's floor."""
+    for i, j, s in _reached(block, qid, v, floor, own):
+        x, y = qid[i], block.ids[j]
+        yield np.maximum(x, y), np.minimum(x, y), s
+
+
+def _lost(block: Block, qid: np.ndarray, v: np.ndarray, before: np.ndarray, floor: np.ndarray, own: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """(id, winner, 0) of the queries that a row of the block comes before; what the queries come before is noted in the block."""
+    winner = np.full(len(qid), LAST)
+    for i, j, _ in _reached(block, qid, v, floor, own):
+        later = before[i] > block.place[j]
+        np.minimum.at(winner, i[later], block.ids[j[later]])
+        np.minimum.at(block.winner, j[~later], qid[i[~later]])
+    some = np.flatnonzero(winner < LAST)
+    yield qid[some], winner[some], np.zeros(len(some))
+
+
+def _reached(block: Block, qid: np.ndarray, v: np.ndarray, floor: np.ndarray, own: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query, row, score) of all pairs that reach the query's floor; own: the queries are the block's rows, and the row has the smaller id."""
     tops, w, off = block.sifted(v)
     for t, (a, b, _, _) in enumerate(block.tiles):
         q = np.flatnonzero(tops[:, t] >= floor)
@@ -315,8 +354,7 @@ def _all(block: Block, qid: np.ndarray, v: np.ndarray, before: np.ndarray, floor
         s = block.exact(v, i, j)
         ok = s >= floor[i]
         if ok.any():
-            x, y = qid[i[ok]], block.ids[j[ok]]
-            yield np.maximum(x, y), np.minimum(x, y), s[ok]
+            yield i[ok], j[ok], s[ok]
 
 
 def usable(vec: str):

@@ -589,9 +589,8 @@ r as (select doc_id as id, length(text) as n from documents),
 l as (select case when (x.n > y.n) or (x.n = y.n and x.id < y.id) then y.id else x.id end as id, case when (x.n > y.n) or (x.n = y.n and x.id < y.id) then x.id else y.id end as winner from p join r x on x.id = p.a join r y on y.id = p.b)
 select id, min(winner) as winner from l group by id""")
 def wd16_merge_near(s: Store) -> DataFrame:
-    pairs = retrieval.near_pairs(s.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 0.4)
-    rows = s.documents.select(F.col("doc_id").alias("id"), F.lit("all").alias("library"), F.col("text").alias("content"), F.lit(None).cast("timestamp").alias("created_at"))
-    return retrieval.merge_near(pairs, rows)
+    rows = s.documents.select(F.col("doc_id").alias("id"), F.lit("all").alias("library"), F.char_length("text").alias("chars"), F.lit(None).cast("timestamp").alias("created_at"))
+    return retrieval.merged_near(rows, s.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 0.4)
 
 
 MERGE = """with v as (select m.id, m.library, length(m.content) as n, coalesce($S(m.created_at), 253402214400) as at, e.embedding::double[] as vec from memories m join embeddings e on e.vec_id = m.id % (select count(*) from embeddings) where m.content is not null),

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.operators import ingest, models, sparse, vectors
+from mnemospark.operators import ingest, models, retrieval, sparse, vectors
 
 
 def frame(spark, x, group=None, key="id"):
@@ -125,3 +125,20 @@ def test_ingest_sees_its_own_batch(spark):
     }
     assert {r.outcome for r in ingest.run(spark, c.filter("kind <> 'memory'"), known, confine=True).collect()} == {"skipped_scope_procedures", "skipped_scope_facts"}
     assert ingest.run(spark, c.filter("false"), known).count() == 0
+
+
+def test_merged_near_keeps_no_pairs(spark, monkeypatch):
+    """What goes and why is as by pairs, in blocks of few rows; a task hands on a row for each row and block, not for each pair."""
+    monkeypatch.setattr(vectors, "LEAST_ROWS", 40)
+    monkeypatch.setattr(vectors, "BATCH", 16)
+    x = np.concatenate([clustered(11, 300, 8, 20), np.tile(clustered(12, 1, 8, 1), (200, 1))])
+    t = dt.datetime(2024, 1, 1)
+    data = [(k, ["l", "m", None][k % 3], k * 7 % 5 if k % 11 else None, None if k % 4 else t + dt.timedelta(days=k * 5 % 9), [float(v) for v in row]) for k, row in enumerate(x)]
+    rows = spark.createDataFrame(data, "id long, library string, chars int, created_at timestamp, vec array<double>")
+    texts = rows.withColumn("content", F.expr("repeat('x', chars)"))
+    pairs = vectors.Index(spark, rows).within(0.8)
+    want = {(r.id, r.winner) for r in retrieval.merge_near(pairs, texts).collect()}
+    assert {(r.id, r.winner) for r in retrieval.merged_near(rows.drop("vec"), rows, 0.8, block=30).collect()} == want and len(want) > 200
+    index = vectors.Index(spark, rows.filter("id >= 300").withColumn("place", F.col("id")), order="place")
+    asked = index.rows.select(F.col("id").alias("qid"), "vec", "place").withColumn("floor", F.lit(0.8))
+    assert index._met(index.rows, asked, 0).count() == 200 * 199 / 2 and index._met(index.rows, asked, 0, lost=True).count() < 2 * 8 * 200
