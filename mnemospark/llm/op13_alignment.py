@@ -1,10 +1,10 @@
 """Alignment of two tokenizers' tokens by bytes.
 
-Python tasks only tokenise: per document the ids and the byte ends of its tokens by either vocabulary. All
-else is higher-order functions. The ends that both have (``array_intersect``) cut the tokens into groups. An
-A and a B token overlap in exactly one run of bytes between neighbouring ends of either, so the links are the
-tokens that own the byte before each distinct end; the owners of all bytes come from ``array_repeat`` by
-length, which keeps the work linear in a text however long its groups are.
+Python tasks tokenise and link, all texts of a batch at once: the byte ends of the tokens by either
+vocabulary are marked along the batch, and both vocabularies end at a text's end, so texts part by
+themselves. The ends that both have cut the tokens into groups. An A and a B token overlap in exactly one
+run of bytes between neighbouring ends of either, so the links are the tokens that own the byte before each
+distinct end, which is linear in a text however long its groups are.
 
 How many documents hold a pair is one aggregation with map-side sums over distinct pairs. Sums over a
 document's links need the counts again: the most frequent pairs, whose number is bounded by a histogram of
@@ -18,30 +18,35 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.llm.common import BROADCAST_ROWS, Scratch, hinted, pieces
 from mnemospark.llm.tokens import BYTES, encoder
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-_COLUMNS = ("a", "a_size", "a_ends", "b", "b_size", "b_ends")
-_TOKENS = "row long, doc_id long, " + ", ".join(f"{c} array<int>" for c in _COLUMNS)
+_LINKS = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>"
 #: Bytes of a dictionary of pairs in a written table: enough for those of a task, so that a link takes about two bytes there.
 DICTIONARY = 8 << 20
 #: Steps of a doubling in the histogram of counts.
 STEPS = 16
 
 
+#: What follows an id in the text of groups.
+_SIGNS = ("", ",", "|", ";")
+_LAST, _COMMA, _BAR, _SEMICOLON = range(4)
+
+
 class _Bytes:
-    """The bytes of each id, and their numbers."""
+    """The bytes of each id, and their numbers; and the id as text before each of the signs, in the eight bytes of a number."""
 
     def __init__(self, table: list[bytes]) -> None:
         self.table, self.size = table, np.array([len(x) for x in table], np.int32)
+        self.named = np.array([[f"{i}{s}".encode() for i in range(len(table))] for s in _SIGNS], "S8").view("<u8").reshape(len(_SIGNS), -1)
 
     def of(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.table.__getitem__, ids.tolist()))
@@ -68,70 +73,60 @@ def _tokenizers(a_path: str, b_path: str):
     return _made[a_path, b_path]
 
 
-def _lists(ids: list[np.ndarray]) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)), pa.array(np.concatenate(ids) if ids else np.zeros(0), pa.int32()))
-
-
-def tokenised(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, a, a_size, a_ends, b, b_size, b_ends): ids, bytes and byte ends over blank+text; no tokens where either's bytes differ from it."""
+def links(a: np.ndarray, a_bytes: _Bytes, b: np.ndarray, b_bytes: _Bytes, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Of texts with so many tokens each, in a row: the links' pairs, how many links and groups each text has, and its groups as text.
+
+    A link's pair is its A id times 2**32 plus its B id. Every text has tokens, and either side's are of the same bytes."""
+    a_ends, b_ends = np.cumsum(a_bytes.size[a], dtype=np.int64), np.cumsum(b_bytes.size[b], dtype=np.int64)
+    mark = np.zeros(a_ends[-1] + 1, np.int8)
+    mark[a_ends] = 1
+    mark[b_ends] += 2
+    ends = np.flatnonzero(mark)
+    mark = mark[ends]
+    # The owners of the byte before each end: as many tokens as ended before it come first.
+    ends_a, ends_b, cut = mark & 1 > 0, mark > 1, mark == 3
+    own_a, own_b = np.cumsum(ends_a) - ends_a, np.cumsum(ends_b) - ends_b
+    pairs = a[own_a].astype(np.int64) << 32 | b[own_b]
+    last_a, last_b = own_a[cut], own_b[cut]
+    of_text = np.searchsorted(ends, a_ends[np.cumsum(n_a) - 1]) + 1
+    # A group's A tokens and then its B tokens: a token comes after those of the other side in the groups before it, or up to it.
+    sign_a, sign_b = np.full(len(a), _COMMA), np.full(len(b), _COMMA)
+    sign_a[last_a], sign_b[last_b] = _BAR, _SEMICOLON
+    sign_b[np.cumsum(n_b) - 1] = _LAST
+    per_a, per_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+    named = np.zeros(len(a) + len(b), np.uint64)
+    named[np.arange(len(a)) + np.repeat(last_b + 1 - per_b, per_a)] = a_bytes.named[sign_a, a]
+    named[np.arange(len(b)) + np.repeat(last_a + 1, per_b)] = b_bytes.named[sign_b, b]
+    chars = named.view(np.uint8)
+    full = chars != 0
+    size = np.add.reduceat(full.view(np.int8), 8 * (np.cumsum(n_a + n_b) - n_a - n_b), dtype=np.int64)
+    data, at = chars[full].tobytes(), np.cumsum(size).tolist()
+    return pairs, np.diff(of_text, prepend=0), np.diff(np.cumsum(cut)[of_text - 1], prepend=0), [data[x:y] for x, y in zip([0, *at], at, strict=False)]
+
+
+def linked(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs) over blank+text; no tokens where either's bytes differ from it."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
         enc, a_bytes, sp, b_bytes = _tokenizers(a_path, b_path)
-        for b in pieces(batches, "text"):
-            texts = b.column("text").to_pylist()
+        for batch in pieces(batches, "text"):
+            texts = batch.column("text").to_pylist()
             spaced = [" " + t if t else "" for t in texts]
-            raw = [t.encode() for t in spaced]
-            a = [np.frombuffer(x, "<u4").astype(np.int32) for x in enc.arrow(pa.array(spaced, pa.string()))]
-            bb = [np.array(x, np.int32) for x in sp.encode(texts, num_threads=1)]
-            out: list[list[np.ndarray]] = [[] for _ in _COLUMNS]
-            for text, whole, x, y in zip(texts, raw, a, bb, strict=True):
-                if not text or a_bytes.of(x) != whole or b_bytes.of(y) != whole:
-                    x = y = np.zeros(0, np.int32)
-                m, n = a_bytes.size[x], b_bytes.size[y]
-                for k, v in enumerate((x, m, np.cumsum(m, dtype=np.int32), y, n, np.cumsum(n, dtype=np.int32))):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), *map(_lists, out)], ["row", "doc_id", *_COLUMNS])
-
-    return rows.mapInArrow(run, _TOKENS)
-
-
-def let(c: Column, then: Callable[[Column], Column]) -> Column:
-    """then(c), with c computed once: as a lambda's variable, which the optimizer does not write out at each use."""
-    return F.transform(F.array(c), then)[0]
-
-
-def linked(tokens: DataFrame) -> DataFrame:
-    """(row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs): a link's pair is its A id times 2**32 plus its B id."""
-    owner = lambda size: F.flatten(F.transform(size, lambda n, i: F.array_repeat(i, n)))
-
-    def part(names: Column, last: Column, before: Column) -> Column:
-        """The ids after ``before`` up to ``last`` as text; mostly one. (A slice would read the whole array for each group.)"""
-        several = F.array_join(F.transform(F.sequence(before + 1, last), lambda i: names[i]), ",")
-        return F.when(last - before == 1, names[last]).otherwise(several)
-
-    def grouped(g: Column) -> Column:
-        """The groups as one text; a and b hold -1 and then the indices of the groups' last tokens."""
-        one = lambda k: F.concat(part(g["sa"], g["a"][k], g["a"][k - 1]), F.lit("|"), part(g["sb"], g["b"][k], g["b"][k - 1]))
-        return F.array_join(F.transform(F.sequence(F.lit(1), F.size(g["a"]) - 1), one), ";")
-
-    def made(o: Column) -> Column:
-        """Of the owners of all bytes and the common ends."""
-        lasts = lambda side: F.concat(F.array(F.lit(-1)), F.transform(o["cuts"], lambda e: o[side][e - 1]))
-        names = F.struct(lasts("a").alias("a"), lasts("b").alias("b"), F.col("a").cast("array<string>").alias("sa"), F.col("b").cast("array<string>").alias("sb"))
-        pair = lambda e: F.shiftleft(F.col("a")[o["a"][e - 1]].cast("long"), 32).bitwiseOR(F.col("b")[o["b"][e - 1]].cast("long"))
-        return F.struct(
-            F.size(o["cuts"]).alias("n_groups"), F.sha2(let(names, grouped).cast("binary"), 256).alias("sha"),
-            F.transform(F.sort_array(F.array_union("a_ends", "b_ends")), pair).alias("pairs"),
-        )
-
-    owners = F.struct(owner("a_size").alias("a"), owner("b_size").alias("b"), F.array_intersect("a_ends", "b_ends").alias("cuts"))
-    out = tokens.withColumn("x", F.when(F.size("a") > 0, let(owners, made)))
-    pairs = F.coalesce("x.pairs", F.array().cast("array<long>"))
-    return out.select(
-        "row", "doc_id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.coalesce("x.n_groups", F.lit(0)).cast("long").alias("n_groups"),
-        F.size(pairs).cast("long").alias("n_links"), F.coalesce("x.sha", F.lit("")).alias("groups_sha256"), pairs.alias("pairs"),
-    )
+            a = [np.frombuffer(x, "<u4") for x in enc.arrow(pa.array(spaced, pa.string()))]
+            b = [np.array(x, np.uint32) for x in sp.encode(texts, num_threads=1)]
+            n = np.zeros((4, len(texts)), np.int64)
+            sha, pairs = [""] * len(texts), np.zeros(0, np.int64)
+            whole = [k for k, t in enumerate(spaced) if t and a_bytes.of(a[k]) == b_bytes.of(b[k]) == t.encode()]
+            if whole:
+                n[:2, whole] = [[len(a[k]) for k in whole], [len(b[k]) for k in whole]]
+                pairs, n[3, whole], n[2, whole], groups = links(np.concatenate([a[k] for k in whole]), a_bytes, np.concatenate([b[k] for k in whole]), b_bytes, *n[:2, whole])
+                for k, g in zip(whole, groups, strict=True):
+                    sha[k] = hashlib.sha256(g).hexdigest()
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n[3])].astype(np.int32)), pa.array(pairs))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *map(pa.array, n), pa.array(sha, pa.string()), lists], [c.split()[0] for c in _LINKS.split(", ")])
+
+    return rows.mapInArrow(run, _LINKS)
 
 
 def pair_counts(spark: SparkSession, links: DataFrame, scratch: Scratch) -> tuple[DataFrame, float]:
@@ -155,7 +150,7 @@ def pair_counts(spark: SparkSession, links: DataFrame, scratch: Scratch) -> tupl
 def align(spark: SparkSession, docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     scratch = Scratch(spark, "alignment")
-    links = scratch.put(linked(tokenised(docs, a_path, b_path, id_col, text_col)), "links", **{"parquet.dictionary.page.size": DICTIONARY})
+    links = scratch.put(linked(docs, a_path, b_path, id_col, text_col), "links", **{"parquet.dictionary.page.size": DICTIONARY})
     pairs, least = pair_counts(spark, links, scratch)
     frequent = F.floor(F.log2("n") * STEPS) >= least
     hot, cold = F.broadcast(pairs.filter(frequent)), pairs.filter(~frequent)

@@ -237,3 +237,22 @@ def test_alignment_odd(spark, odd, none):
     assert len(got) == odd.count() and {r.doc_id: r.n_a for r in got}[1] == 0 and {r.doc_id: r.n_a for r in got}[4] > 60_000
     assert [r.n_links == r.n_a + r.n_b - r.n_groups for r in got] == [True] * len(got)
     assert op13_alignment.align(spark, none, A, B).count() == 0
+
+
+def test_links_of_many_texts_at_once():
+    """Tokens of random lengths: texts of a batch are cut, linked and written as if each stood alone."""
+    rng = np.random.default_rng(3)
+    table = [b"x" * n for n in range(1, 40)]
+    tool = op13_alignment._Bytes(table)
+    parts = lambda total: np.array([n - 1 for n in np.diff([0, *sorted(rng.choice(np.arange(1, total), min(total - 1, int(rng.integers(total // 8, total))), replace=False)), total])])
+    sides = [(parts(n), parts(n)) for n in rng.integers(20, 30, 200)]
+    counts = [np.array([len(s[k]) for s in sides]) for k in (0, 1)]
+    pairs, n_links, n_groups, text = op13_alignment.links(np.concatenate([a for a, _ in sides]), tool, np.concatenate([b for _, b in sides]), tool, *counts)
+    ends = np.cumsum(n_links)
+    for k, (a, b) in enumerate(sides):
+        ea, eb = np.cumsum(a + 1), np.cumsum(b + 1)
+        want = [(int(i) << 32) + int(j) for x, i in zip(ea, a, strict=True) for y, j in zip(eb, b, strict=True) if max(x - i - 1, y - j - 1) < min(x, y)]
+        assert pairs[ends[k] - n_links[k] : ends[k]].tolist() == want
+        common = sorted({*ea} & {*eb})
+        cut = lambda ids, e: [",".join(str(i) for i, x in zip(ids, e, strict=True) if lo < x <= hi) for lo, hi in zip([0, *common], common, strict=False)]  # noqa: E731, B023
+        assert n_groups[k] == len(common) and text[k].decode() == ";".join(f"{x}|{y}" for x, y in zip(cut(a, ea), cut(b, eb), strict=True))
