@@ -2,7 +2,9 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from mnemospark.llm import op4_ngram_join, op8_line_dedup
@@ -202,3 +204,27 @@ def test_lines_found_whatever_else_shares_their_words(spark, monkeypatch):
     monkeypatch.setattr(op8_line_dedup, "PAIRED", 1)
     monkeypatch.setattr(op8_line_dedup, "HELD", 10)
     assert gone(lines + others) == want
+
+
+def test_many_edit_distances_at_once():
+    rng = np.random.default_rng(6)
+    text = lambda: "".join(rng.choice(list("ab é日"), int(rng.integers(1, 200))))
+    a = [text() for _ in range(150)]
+    b = ["".join(c for c in x if rng.random() > 0.1) + "z" for x in a[:100]] + [text() for _ in range(50)]
+    assert op8_line_dedup.edit_distances(a, b).tolist() == [op8_line_dedup.edit_distance(x, y) for x, y in zip(a, b, strict=True)]
+    assert op8_line_dedup.all_alike(a, b).tolist() == [op8_line_dedup.alike(x, y) for x, y in zip(a, b, strict=True)]
+
+
+def test_near_lines_leave_a_task_as_lines_not_pairs():
+    """400 lines that are near each other at one seed beyond KIN bits: a row each leaves the task, where 79,800 pairs did; each pair is verified once, however many seeds it shares."""
+    rng = np.random.default_rng(7)
+    rows = np.zeros(400, op8_line_dedup._ROW)
+    bits = rng.random((400, 128)) < 0.18
+    rows["k1"], rows["chars"] = np.arange(400), op8_line_dedup._log(np.full(400, 60))
+    rows["sim"], rows["sim2"] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).T
+    batch = pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([rows.tobytes()], pa.binary())], ["part", "rows"])
+    out = pa.Table.from_batches(list(op8_line_dedup._near([batch])))
+    assert out.num_rows < 2 * 400 and {*out.filter(pa.compute.invert(out["star"]))["a"].to_pylist()} > {*range(100)}
+    lines = ["one two three four five six seven eight", "one two three four five six seven night", "other words " * 4]
+    pdf = pd.DataFrame([(key, k, k, lines[k], [5, 9], (1 << 33) - 1 if k == 1 else 0, 0, None) for key in (5, 9) for k in range(3)], columns=["key", "k1", "k2", "text", "keys", "sim", "sim2", "component"])
+    assert op8_line_dedup._verified(pdf)[["a1", "b1"]].to_numpy().tolist() == [[0, 1]]
