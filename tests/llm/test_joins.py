@@ -228,3 +228,34 @@ def test_near_lines_leave_a_task_as_lines_not_pairs():
     lines = ["one two three four five six seven eight", "one two three four five six seven night", "other words " * 4]
     pdf = pd.DataFrame([(key, k, k, lines[k], [5, 9], (1 << 33) - 1 if k == 1 else 0, 0, None) for key in (5, 9) for k in range(3)], columns=["key", "k1", "k2", "text", "keys", "sim", "sim2", "component"])
     assert op8_line_dedup._verified(pdf)[["a1", "b1"]].to_numpy().tolist() == [[0, 1]]
+
+
+def test_passage_shared_by_unlike_documents_joins_none_of_them(spark, monkeypatch):
+    """A crowd at a shingle that counts as rare is no weak component: what is shipped to be verified is the three that are near, not all 600."""
+    monkeypatch.setattr(op4_ngram_join, "FREQUENT", 0)
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = {i: f"{passage} " + " ".join(f"u{i}x{k}" for k in range(120 + i % 7)) for i in range(600)}
+    texts |= {1000 + i: texts[5] + f" end{i}" * i for i in range(3)}
+    seen, count = [], op4_ngram_join.block_counts
+
+    def counted(rows, weight, most):
+        seen.append(rows.count())
+        return count(rows, weight, most)
+
+    monkeypatch.setattr(op4_ngram_join, "block_counts", counted)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in op4_ngram_join.jaccard_components(spark, docs).collect()}
+    assert got == {i: c for i, (_, c) in brute(texts, 4, 85).items()} and got[1002] == 5
+    assert seen[-1] < 10
+
+
+def test_parity_bits_of_unlike_widths_never_refuse_a_near_pair():
+    rng = np.random.default_rng(3)
+    for n in (3, 127, 129, 500, 1023, 4100):
+        a = rng.integers(1, 2**63, n).astype(np.uint64)
+        b = np.r_[a[: n - n // 20], rng.integers(1, 2**63, n // 10).astype(np.uint64)]
+        far = [rng.integers(1, 2**63, len(b)).astype(np.uint64) for _ in range(30)]
+        sets = [a, b, *far]
+        rep, root = op4_ngram_join.crowd_stars(np.arange(32), np.array([len(s) for s in sets]), [op4_ngram_join.parity(s) for s in sets], 85)
+        pairs = {frozenset(p) for p in zip(rep.tolist(), root.tolist(), strict=True)}
+        assert n < 20 or pairs == {frozenset((0, 1))}
