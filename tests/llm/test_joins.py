@@ -259,3 +259,24 @@ def test_parity_bits_of_unlike_widths_never_refuse_a_near_pair():
         rep, root = op4_ngram_join.crowd_stars(np.arange(32), np.array([len(s) for s in sets]), [op4_ngram_join.parity(s) for s in sets], 85)
         pairs = {frozenset(p) for p in zip(rep.tolist(), root.tolist(), strict=True)}
         assert n < 20 or pairs == {frozenset((0, 1))}
+
+
+def test_texts_of_near_lines_take_turns_and_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    words = [f"{a}{b}word" for a in "abcdefgh" for b in "ijklmnop"]
+    base = [" ".join(rng.choice(words, 14, replace=False)) for _ in range(6)]
+    texts = {}
+    for i in range(90):
+        w = base[i % 6].split()
+        for at in rng.choice(14, 2, replace=False):
+            w[at] = words[rng.integers(64)]
+        texts[i] = "\n".join([" ".join(w), f"own{i} of{i * 7}"])
+    docs = spark.createDataFrame([*texts.items(), (3, "another text of the same id"), (3, texts[3])], "doc_id long, text string").repartition(4)
+    put, names, got = op8_line_dedup.Scratch.put, [], []
+    monkeypatch.setattr(op8_line_dedup.Scratch, "put", lambda self, df, name, **o: names.append(name) or put(self, df, name, **o))
+    for share in (0, 2):
+        monkeypatch.setattr(op8_line_dedup, "SHARE", share)
+        names.clear()
+        got.append(sorted((r.doc_id, r.text, r.n_dropped) for r in op8_line_dedup.dedup_lines(spark, docs).collect()))
+    assert got[0] == got[1] and sum(r[2] for r in got[0]) > 60
+    assert "links3" in names and "met" not in names
