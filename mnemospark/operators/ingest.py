@@ -8,56 +8,83 @@ whether a text is live or held hangs on outcomes, and that is a fold by text wit
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.operators import memories
 from mnemospark.operators.memories import flag
 from mnemospark.operators.vectors import Index
-from mnemospark.sources.shared import Tables
+from mnemospark.sources.shared import Tables, freed
 
 #: Neighbours whose tokens count, the least share of new ones, and from which score on a text is a near duplicate.
 NEIGHBOURS, LEAST_NOVEL, NEAR = 3, 0.30, 0.95
+#: Neighbours whose words are met take turns, so that a share of the words lies in shuffle files at a time.
+TURNS = 4
 
 COUNTERS = ("stored_memories", "stored_facts", "stored_procedures", "skipped_dup", "skipped_secret", "quarantined", "promoted", "reasserted", "skipped_scope_facts", "skipped_scope_procedures")
 
 
 def points(candidates: DataFrame, known: DataFrame) -> DataFrame:
-    """(id, library, content, vec, place): the texts of the store and of the batch, each once, by what had it first.
+    """(id, library, vec, place, words): the texts of the store and of the batch, each once, by what had it first; words of the store's only.
 
-    Stored ones take the ids -1 - id and the place -1; those of the batch keep their id, which is their place.
+    candidates: id, library, vec, t (a hash of the text); known: these and words. Stored ones take the ids -1 - id and
+    the place -1; those of the batch keep their id, which is their place.
     """
-    old = known.select((-1 - F.col("id")).alias("id"), "library", "content", "vec", F.lit(-1).cast("long").alias("place"))
-    new = candidates.select(F.col("id").cast("long").alias("id"), "library", "content", "vec", F.col("id").cast("long").alias("place"))
-    both = old.unionByName(new).filter("content is not null").withColumn("t", F.sha2(F.trim("content"), 256))
+    old = known.select((-1 - F.col("id")).cast("long").alias("id"), "library", "t", "vec", F.lit(-1).cast("long").alias("place"), "words")
+    new = candidates.select("id", "library", "t", "vec", F.col("id").alias("place"), F.lit(None).cast("string").alias("words"))
+    both = old.unionByName(new).filter("t is not null")
     first = both.groupBy("library", "t").agg(F.min(F.struct("place", "id")).alias("first")).select("first.id")
     return both.join(first, "id", "left_semi").drop("t")
 
 
-def neighbours(spark: SparkSession, candidates: DataFrame, known: DataFrame, k: int = NEIGHBOURS) -> tuple[DataFrame, DataFrame]:
-    """(id, other, score, rank): the k nearest points of the library before each candidate (id, library, content, vec); and the points."""
-    # The vectors may cost a model's pass, so they are written once.
-    tables = Tables(spark, "ingest")
-    candidates = tables.put(candidates.select("id", "library", "content", "vec"), "candidates")
-    there = tables.put(points(candidates, known), "points")
-    asked = candidates.select(F.col("id").cast("long").alias("qid"), "library", "vec", F.col("id").cast("long").alias("place"))
-    near = Index(spark, there, "library", "place").topk(asked, k)
-    return near.select(F.col("qid").alias("id"), F.col("id").alias("other"), "score", "rank"), there
+def said() -> Column:
+    """A hash of the text without blanks around it."""
+    return F.sha2(F.trim("content"), 256)
+
+
+def stored(known: DataFrame, *more: str | Column) -> DataFrame:
+    """What is looked at of stored texts (id, library, content, vec), and more columns."""
+    return known.select("id", "library", "vec", said().alias("t"), memories.worded()["words"].alias("words"), *more)
 
 
 def novelty(spark: SparkSession, candidates: DataFrame, known: DataFrame) -> DataFrame:
-    """(id, novelty, score): the share of a candidate's tokens that its nearest texts lack, and the nearest one's score; null without neighbours."""
-    candidates = candidates.select(F.col("id").cast("long").alias("id"), "library", "content", "vec")
-    near, there = neighbours(spark, candidates, known)
-    near = Tables(spark, "ingest").put(near, "near")
-    candidates = candidates.drop("vec")
-    said = there.select("id", "content").unionByName(candidates.join(there.select("id"), "id", "left_anti").select("id", "content"))
-    new = memories.novelty(said, near.select("id", "other"))
+    """(id, novelty, score): the share of a candidate's tokens that its nearest texts lack, and the nearest one's score; null without neighbours.
+
+    candidates: id, library, content, vec; known: these, or what ``stored`` made of them. Neighbours are the nearest points of the library before each candidate. Texts are written as their distinct words and shuffled twice: to where a
+    candidate's neighbours are known, and, by turns, to these.
+    """
+    # The vectors may cost a model's pass, so they are written once.
+    tables = Tables(spark, "ingest")
+    candidates = candidates.select(F.col("id").cast("long").alias("id"), "library", said().alias("t"), "vec", memories.worded().alias("w"))
+    candidates = tables.put(candidates.select("id", "library", "t", "vec", "w.words", "w.counts"), "candidates")
+    there = tables.put(points(candidates, known if "words" in known.columns else stored(known)), "points")
+    asked = candidates.select(F.col("id").alias("qid"), "library", "vec", F.col("id").alias("place"))
+    index = Index(spark, there, "library", "place")
+    near = index.topk(asked, NEIGHBOURS)
+    near = tables.put(near.select(F.col("qid").alias("id"), F.col("id").alias("other"), "score", "rank"), "near")
+    index.tables.drop()
+    pairs = memories.dealt(near)
+    others = pairs.groupBy("id").agg(F.collect_list(F.struct("other", "piece")).alias("others"))
+    worded = tables.put(candidates.select("id", "words", "counts").join(others, "id", "left"), "worded")
+    tables.drop("candidates")
+    pairs = others = asked = candidates = None
+    freed(spark)
+    texts = worded.select(F.col("id").alias("other"), "words").unionByName(there.filter("place = -1").select(F.col("id").alias("other"), "words"))
+    seen = []
+    for turn in range(TURNS):
+        now = F.pmod(F.xxhash64("other"), F.lit(TURNS)) == turn
+        own = worded.select("id", "words", F.explode("others").alias("o")).select("id", "o.other", "o.piece", "words").filter(now)
+        wanted = worded.select(F.explode("others").alias("o")).select("o.other", "o.piece").filter(now).distinct()
+        seen.append(tables.put(memories.met(own, wanted.join(texts.filter(now), "other")), f"seen{turn}"))
+        own = wanted = None
+        freed(spark)
+    new = memories.shares(worded, functools.reduce(DataFrame.unionByName, seen))
     top = near.filter("rank = 1").select("id", "score")
-    return candidates.select("id").join(new, "id", "left").join(top, "id", "left")
+    return worded.select("id").join(new, "id", "left").join(top, "id", "left")
 
 
 def _fold(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,13 +117,15 @@ def run(spark: SparkSession, candidates: DataFrame, known: DataFrame, confine: b
     known: id, library, content, vec, quarantined. ``held`` is the reason under which a text went to quarantine.
     """
     c = candidates.withColumn("id", F.col("id").cast("long"))
-    said = c.filter("kind = 'memory' and secret is null")
-    scored = said.join(novelty(spark, said, known), "id")
-    scored = scored.withColumn("reason", F.coalesce("reason", F.when(F.col("novelty") < LEAST_NOVEL, "low_novelty")))
     key = F.sha2(F.concat_ws("\0", F.coalesce("library", F.lit("")), F.trim(F.coalesce("content", F.lit("")))), 256).alias("key")
-    turn = scored.select(key, F.lit(1).alias("side"), "id", F.lit(False).alias("live"), F.col("reason").isNotNull().alias("refused"), F.coalesce(F.col("score") >= NEAR, F.lit(False)).alias("close"))
+    # Stored texts are read once; no join of outcomes takes a text along.
+    known = Tables(spark, "ingest").put(stored(known, key, "quarantined"), "known")
+    own = c.filter("kind = 'memory' and secret is null")
+    scored = own.select("id", key, "reason").join(novelty(spark, own, known), "id")
+    scored = scored.withColumn("reason", F.coalesce("reason", F.when(F.col("novelty") < LEAST_NOVEL, "low_novelty")))
+    turn = scored.select("key", F.lit(1).alias("side"), "id", F.lit(False).alias("live"), F.col("reason").isNotNull().alias("refused"), F.coalesce(F.col("score") >= NEAR, F.lit(False)).alias("close"))
     no = F.lit(False)
-    old = known.select(key, F.lit(0).alias("side"), F.col("id").cast("long").alias("id"), (~flag("quarantined")).alias("live"), no.alias("refused"), no.alias("close"))
+    old = known.select("key", F.lit(0).alias("side"), F.col("id").cast("long").alias("id"), (~flag("quarantined")).alias("live"), no.alias("refused"), no.alias("close"))
     done = old.unionByName(turn).repartition("key").sortWithinPartitions("key", "side", "id").mapInPandas(_fold, "id long, outcome string")
     judged = done.join(scored.select("id", "reason"), "id")
     held = F.when(F.col("outcome") == "skipped_dup_held", "near_dup_drop").when(F.col("outcome") == "quarantined", F.col("reason"))

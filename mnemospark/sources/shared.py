@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,17 @@ class Tables:
         df.write.mode("error").partitionBy(*partitions).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def drop(self, *names: str) -> None:
+        """Deletes tables that are done with; without names, all."""
+        for path in [f"{self.path}/{name}" for name in names] or [self.path]:
+            delete(self.spark, path)
+
+
+def freed(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of tables that are written: Spark deletes them once no plan in the driver refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
 
 def sent(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted size allows; else a shuffled join is left, whose skew AQE splits."""

@@ -135,3 +135,16 @@ def test_streams_call_python_once_a_bucket(spark):
         assert max(s["numRowsTotal"] for p in run.progress for s in p["stateOperators"]) <= 4
     finally:
         duels.BUCKETS, streams.BUCKETS = monkey
+
+
+def test_words_of_a_text_near_many_are_sent_once_a_piece(spark, monkeypatch):
+    """A long text is near 40 others: its words go to the pieces that these are dealt to, and what leaves is a bit a word, not its words."""
+    monkeypatch.setattr(memories, "MEETING", 15)
+    rows = spark.createDataFrame([(0, " ".join(f"word{k}" for k in range(3000)))] + [(k, f"word{k} word{k} Word{k + 1} fresh{k}") for k in range(1, 41)], "id long, content string")
+    near = spark.createDataFrame([(k, 0) for k in range(1, 41)] + [(k, k - 1) for k in range(2, 41)], "id long, other long")
+    seen, met = [], memories.met
+    monkeypatch.setattr(memories, "met", lambda own, theirs: seen.append((own.count(), theirs.filter("other = 0").count())) or met(own, theirs))
+    assert {r.id: r.novelty for r in memories.novelty(rows, near).collect()} == {k: 0.25 for k in range(1, 41)}
+    assert seen == [(79, 3)]
+    bits = met(spark.createDataFrame([(1, 7, 0, "aa bb cc")], "id long, other long, piece long, words string"), spark.createDataFrame([(7, 0, "cc dd aa")], "other long, piece long, words string"))
+    assert [tuple(r) for r in bits.collect()] == [(1, bytearray([0b10100000]))]
